@@ -68,12 +68,13 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^ \\t-\\r]+ of all texts, A-Z in lower case, and each word's text index. Works in pieces of 1 MB."""
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Of the words [^ \\t-\\r]+ of all texts, A-Z in lower case: hashes, text indices, and first and last byte (exclusive) in
+    the texts' UTF-8 joined by newlines; those bytes; and where each text begins in them. Works in pieces of 1 MB."""
     coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = b"\n".join(coded)
     begins = np.cumsum([0] + [len(c) + 1 for c in coded[:-1]]) if coded else np.zeros(0, np.int64)
-    hashes, places, at = [], [], 0
+    hashes, places, ends, at = [], [], [], 0
     while at < len(data):
         end = min(len(data), at + _PIECE)
         while end < len(data) and not _SPACE[data[end]]:  # a piece ends where a word ends
@@ -87,10 +88,18 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[_LOWER[raw]] * up[: len(raw)])])
             hashes.append(mix((total[last] - total[first]) * down[first]))
             places.append(first + at)
+            ends.append(last + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.searchsorted(begins, np.concatenate(places), side="right") - 1
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none, data, begins
+    place = np.concatenate(places)
+    return np.concatenate(hashes), np.searchsorted(begins, place, side="right") - 1, place, np.concatenate(ends), data, begins
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts and each word's text index; see words()."""
+    return words(texts)[:2]
 
 
 def blocks(sizes: Iterable[int], limit: int = _PIECE) -> Iterator[tuple[int, int]]:
