@@ -356,6 +356,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_set
     return rows.join(named, on, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = 100_000) -> DataFrame:
+    """The rows of docs, with all their columns, but for those that link with an earlier one. Of equal rows one stays."""
+    found = jaccard_components(docs, k, percent, broadcast_rows=broadcast_rows)
+    gone = cut(found.filter("component_id != doc_id").select(F.col("doc_id").alias("gone_id")))
+    kept = docs.join(small_side(gone, gone.count(), broadcast_rows), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    again = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id")))
+    n = again.count()
+    if not n:
+        return kept
+    same, again = F.col("doc_id") == F.col("again_id"), small_side(again, n, broadcast_rows)
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, 90 percent, over all documents."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +174,19 @@ def predict_language(docs: DataFrame, model: Filter) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_judge(shared), "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Filter, least: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a known language with a score of at least least."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = shared.value.judge(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; learns outside the held-out part (crc32 of the id, modulo 4, is 2)."""
     docs = table(spark, sf_dir, "documents")
