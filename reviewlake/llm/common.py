@@ -31,6 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """df, after its session's Arrow batches are bounded in rows and bytes (if larger), so that a Python worker holds few texts at once."""
+    conf = df.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if now <= 0 or now > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def small_side(df: DataFrame, rows: int | None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a side whose row count was measured; other sides are shuffled, adaptively split if skewed."""
     return F.broadcast(df) if rows is not None and rows <= bound else df

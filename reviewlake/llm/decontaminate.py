@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import _MULT, blocks, mix, table, word_hashes
+from reviewlake.llm.common import _MULT, blocks, lean, mix, table, word_hashes
 
 SEED_WORDS, MIN_SEEDS, MIN_ITEM_WORDS, MIN_SCORE = 3, 2, 5, 0.55
 BLOCK_CHARS = 4_000_000
@@ -227,7 +227,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MI
                         keep[b + found[0]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

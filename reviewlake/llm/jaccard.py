@@ -30,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import blocks, cut, mix, shingle_sets, small_side, table
+from reviewlake.llm.common import blocks, cut, lean, mix, shingle_sets, small_side, table
 from reviewlake.llm.components import components, star_forest
 
 #: Signatures gathered in a map task before they are combined and sent.
-FLUSH = 2_000_000
+FLUSH = 500_000
 #: Signatures meant for one reduce group.
 BUCKET_SIGNATURES = 1_000_000
 #: Sets and tokens of one block of a family, at most.
@@ -326,7 +326,7 @@ def _verify(percent: int):
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS, broadcast_rows: int = 100_000, local_edges: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = lean(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = cut(docs.mapInPandas(_classes(k), "doc_id long, n_shingles long, cls long"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, total * (100 - percent) // 30 // BUCKET_SIGNATURES + 1)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import bucket_of, mix, table
+from reviewlake.llm.common import bucket_of, lean, mix, table
 
 SAMPLE_TEXTS, GRAMS, SLOTS, HASHES = 1500, 6000, 1 << 18, 3
 #: Characters that are read at once; longer texts are read in pieces.
@@ -171,7 +171,7 @@ def _judge(model):
 def predict_language(docs: DataFrame, model: Filter) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_judge(shared), "doc_id long, lang_pred string, score double")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_judge(shared), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Filter, least: float = 0.3) -> DataFrame:
@@ -184,7 +184,7 @@ def keep_identified(docs: DataFrame, model: Filter, least: float = 0.3) -> DataF
             lang, score = shared.value.judge(batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
