@@ -5,8 +5,9 @@ join is exact (but for 64-bit hash collisions) and emits no pairs within copies:
 
 1. Texts with equal sets are one class, known by a digest of the set; only classes go on.
 2. Classes are partitioned into families that hold every possible link. Two sets that link differ in at most H(size)
-   tokens. Tokens are dealt by hash to more than H parts, so some untouched part is equal in both; classes that share a
-   part's signature join the same family. Sizes fall into levels so narrow that linked sets are in the same or adjacent
+   tokens. Tokens are dealt by hash to more than H parts, so some untouched part is equal in both (of larger sets: to more
+   than H/2 parts of three thirds, so some part has two equal thirds, which are rarer to agree by chance); classes that
+   share a signature join the same family. Sizes fall into levels so narrow that linked sets are in the same or adjacent
    levels, and every set signs for its own level and the one below. A set with so many empty parts that the untouched one
    may be empty signs again with other deals. Every map task sends one entry a signature; the other holders become local
    edges. So no signature, however common, piles up.
@@ -41,6 +42,8 @@ BUCKET_SIGNATURES = 1_000_000
 BLOCK_SETS, BLOCK_TOKENS = 2048, 4_000_000
 #: Sets of one group of the token-group matrix.
 GROUP_SETS = 16
+#: Differences from which on parts have three thirds.
+WIDE = 16
 #: Deals of tokens to parts, after which a set with too many empty parts signs for its level as a whole.
 DEALS = 4
 
@@ -90,27 +93,38 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> t
                 out_s.append(mix(mix(t.astype(np.uint64) + np.uint64(1 << 40))))
                 out_d.append(docs)
                 break
-            parts = most[t] + 3 + most[t] // 16
+            # sets with room for it: parts of three thirds, few enough differences that one part has at most one, and so two
+            # equal thirds; other sets: parts few enough that one has none. Spare parts make up for empty ones.
+            wide = most[t] >= WIDE
+            spare = np.where(wide, 2 + most[t] // 32, 2 + most[t] // 16)
+            parts = np.where(wide, most[t] // 2, most[t]) + 1 + spare
+            cells = np.where(wide, 3 * parts, parts)
             begin = np.zeros(len(n), np.int64)
-            begin[docs] = np.cumsum(parts) - parts
+            begin[docs] = np.cumsum(cells) - cells
             count = np.zeros(len(n), np.int64)
-            count[docs] = parts
+            count[docs] = cells
             mine = use[doc]
             hh, dd = h[mine], doc[mine]
             dealt = mix(hh ^ np.uint64(0xABCD0001 + deal))
             gid = begin[dd] + ((dealt >> np.uint64(20)) % count[dd].astype(np.uint64)).astype(np.int64)
-            total = int(parts.sum())
+            total = int(cells.sum())
             cnt = np.bincount(gid, minlength=total)
-            low = np.bincount(gid, weights=(dealt & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total)
-            high = np.bincount(gid, weights=(dealt >> np.uint64(32)).astype(np.float64), minlength=total)
-            owner = np.repeat(np.arange(len(docs)), parts)
-            part = np.arange(total) - begin[docs][owner]
-            key = (t[owner] * DEALS + deal).astype(np.uint64) * np.uint64(1 << 32) + part.astype(np.uint64)
-            sig = mix(mix(low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(11))) ^ mix(high.astype(np.uint64) + key * np.uint64(0x9E3779B97F4A7C15)))
+            low = np.bincount(gid, weights=(dealt & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total).astype(np.uint64)
+            high = np.bincount(gid, weights=(dealt >> np.uint64(32)).astype(np.float64), minlength=total).astype(np.uint64)
+            owner = np.repeat(np.arange(len(docs)), cells)
+            cell = np.arange(total) - begin[docs][owner]
+            mate = np.where(wide[owner], np.arange(total) - cell % 3 + (cell + 1) % 3, np.arange(total))  # the next third of the part
+            twin = mate != np.arange(total)
+            key = (t[owner] * DEALS + deal).astype(np.uint64) * np.uint64(1 << 32) + cell.astype(np.uint64)
+            cnt = cnt + np.where(twin, cnt[mate], 0)
+            both_low, both_high = low + np.where(twin, low[mate], 0).astype(np.uint64), high + np.where(twin, high[mate], 0).astype(np.uint64)
+            sig = mix(mix(both_low + (both_high << np.uint64(11))) ^ mix(both_high + key * np.uint64(0x9E3779B97F4A7C15)))
             full = cnt > 0
             out_s.append(sig[full])
             out_d.append(docs[owner[full]])
-            again = np.bincount(owner[full], minlength=len(docs)) <= most[t]
+            part = (np.cumsum(parts) - parts)[owner] + np.where(wide[owner], cell // 3, cell)
+            holed = np.bincount(part, weights=~full, minlength=int(parts.sum())) > 0
+            again = np.bincount(np.repeat(np.arange(len(docs)), parts), weights=holed, minlength=len(docs)) > spare
             use = np.zeros(len(n), bool)
             use[docs[again]] = True
     if not out_s:
@@ -170,18 +184,18 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(k: int, percent: int, buckets: int):
-    """Rows (bucket, blob) of combined signatures; rows of bucket -1 hold edges found in the task."""
+    """Rows (bucket, kind, blob): of kind 0 combined signatures, of kind 1 edges found in the task."""
 
     def flush(sigs: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         sig, hub, a, b = _combine(np.concatenate(sigs), np.concatenate(owners))
         edges = star_forest(a, b) if len(a) else (a, b)
         bucket = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         cutp = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-        rows = [(i, _pack(sig[s:e], hub[s:e])) for i, (s, e) in enumerate(zip(cutp[:-1], cutp[1:])) if e > s]
-        for i in range(0, len(edges[0]), 500_000):
-            rows.append((-1, np.concatenate([edges[0][i : i + 500_000], edges[1][i : i + 500_000]]).tobytes()))
+        rows = [(i, 0, _pack(sig[s:e], hub[s:e])) for i, (s, e) in enumerate(zip(cutp[:-1], cutp[1:])) if e > s]
+        for i in range(0, len(edges[0]), 50_000):
+            rows.append((int(edges[0][i]) % buckets, 1, np.concatenate([edges[0][i : i + 50_000], edges[1][i : i + 50_000]]).tobytes()))
         for i in range(0, len(rows), 64):
-            yield pd.DataFrame(rows[i : i + 64], columns=["bucket", "blob"])
+            yield pd.DataFrame(rows[i : i + 64], columns=["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -214,23 +228,17 @@ def _send(k: int, percent: int, buckets: int):
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one bucket."""
-    bucket = pdf["bucket"].iloc[0]
-    if bucket == -1:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    pairs = [_unpack(b) for b in pdf["blob"]]
-    _, _, a, b = _combine(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+    """Edges of one bucket: those that tasks found, and those of signatures that several tasks sent."""
+    pairs = [_unpack(b) for b, kind in zip(pdf["blob"], pdf["kind"]) if kind == 0]
+    found = [np.frombuffer(b, np.int64).reshape(2, -1) for b, kind in zip(pdf["blob"], pdf["kind"]) if kind == 1]
+    a, b = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+    if pairs:
+        _, _, c, d = _combine(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+        a, b = np.concatenate([a, c]), np.concatenate([b, d])
     a, b = star_forest(a, b) if len(a) else (a, b)
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _local_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for blob in pdf["blob"]:
-            both = np.frombuffer(blob, np.int64).reshape(2, -1)
-            yield pd.DataFrame({"a": both[0], "b": both[1]})
-
-
 def _fetch(k: int):
     """Token sets of the family members, a row for each pair of blocks that the member is needed in."""
 
@@ -255,7 +263,7 @@ def _fetch(k: int):
 
 def link_sets(cls: list[int], sets: list[np.ndarray], blk: list[int], cross: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets, by the token-group matrix; cross: only links between blocks."""
-    order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i]), cls[i]))  # similar sets share their smallest hash
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]), cls[i]))  # groups of like sizes, and there of like smallest hash
     cls, sets, blk = [cls[i] for i in order], [sets[i] for i in order], [blk[i] for i in order]
     size = np.array([len(s) for s in sets])
     uniq, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -330,9 +338,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_set
     rows = cut(docs.mapInPandas(_classes(k), "doc_id long, n_shingles long, cls long"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, total * (100 - percent) // 30 // BUCKET_SIGNATURES + 1)
-    sent = cut(docs.mapInPandas(_send(k, percent, int(buckets)), "bucket long, blob binary"))
-    met = sent.filter("bucket >= 0").groupBy("bucket").applyInPandas(_meet, "a long, b long")
-    family = components(met.union(sent.filter("bucket < 0").mapInPandas(_local_edges, "a long, b long")), local_edges)
+    sent = docs.mapInPandas(_send(k, percent, int(buckets)), "bucket long, kind int, blob binary")
+    family = components(sent.groupBy("bucket").applyInPandas(_meet, "a long, b long"), local_edges)
     family = family.select(F.col("node").alias("cls"), F.col("comp").alias("fam"))
     family = cut(family.union(family.select(F.col("fam").alias("cls"), "fam").distinct()))
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
