@@ -8,7 +8,8 @@ join is exact (but for 64-bit hash collisions) and emits no pairs within copies:
    tokens. Tokens are dealt by hash to more than H parts, so some untouched part is equal in both (of larger sets: to more
    than H/2 parts of three thirds, so some part has two equal thirds, which are rarer to agree by chance); classes that
    share a signature join the same family. Sizes fall into levels so narrow that linked sets are in the same or adjacent
-   levels, and every set signs for its own level and the one below. A set with so many empty parts that the untouched one
+   levels, and every set signs for its own level and the one below, as two nodes, so that families don't grow together across
+   levels; a family without a set of its own level is left out, as those pairs meet one level up. A set with so many empty parts that the untouched one
    may be empty signs again with other deals. Every map task sends one entry a signature; the other holders become local
    edges. So no signature, however common, piles up.
 3. In each family sets are sorted into groups of similar sets; each group has its token union. A query set opens only the
@@ -63,21 +64,21 @@ def levels(percent: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_digests(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One 64-bit digest (as int64) of each set; 0 for an empty one. h is in order of doc."""
+    """One 63-bit digest (as an even int64) of each set; 0 for an empty one. h is in order of doc."""
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
         s1, s2 = np.add.reduceat(mix(h), at), np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
         out[full] = mix(s1 + mix(s2 + n[full].astype(np.uint64)))
-    return out.view(np.int64)
+    return out.view(np.int64) & ~np.int64(1)
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text index) so that any two different linked sets share a signature."""
+def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text index, 1 if for the level below) so that any two different linked sets share a signature."""
     first, most = levels(percent, int(n.max(initial=1)))
     level = np.searchsorted(first, n, side="right") - 1
-    out_s, out_d = [], []
+    out_s, out_d, out_l = [], [], []
     for down in (0, 1):
         scheme = level - down
         use = (n > 0) & (scheme >= 0)
@@ -92,6 +93,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> t
             if deal == DEALS:
                 out_s.append(mix(mix(t.astype(np.uint64) + np.uint64(1 << 40))))
                 out_d.append(docs)
+                out_l.append(np.full(len(docs), down))
                 break
             # sets with room for it: parts of three thirds, few enough differences that one part has at most one, and so two
             # equal thirds; other sets: parts few enough that one has none. Spare parts make up for empty ones.
@@ -122,14 +124,15 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> t
             full = cnt > 0
             out_s.append(sig[full])
             out_d.append(docs[owner[full]])
+            out_l.append(np.full(len(out_d[-1]), down))
             part = (np.cumsum(parts) - parts)[owner] + np.where(wide[owner], cell // 3, cell)
             holed = np.bincount(part, weights=~full, minlength=int(parts.sum())) > 0
             again = np.bincount(np.repeat(np.arange(len(docs)), parts), weights=holed, minlength=len(docs)) > spare
             use = np.zeros(len(n), bool)
             use[docs[again]] = True
     if not out_s:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_s), np.concatenate(out_d)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_s), np.concatenate(out_d), np.concatenate(out_l)
 
 
 def _sets(texts: list[str | None], k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -214,9 +217,9 @@ def _send(k: int, percent: int, buckets: int):
                 if len(seen) > 2_000_000:
                     seen.clear()
                 mine = fresh[doc]
-                s, d = signatures(h[mine], doc[mine], np.where(fresh, n, 0), percent)
+                s, d, down = signatures(h[mine], doc[mine], np.where(fresh, n, 0), percent)
                 sigs.append(s)
-                owners.append(cls[d])
+                owners.append(cls[d] | down)
                 held += len(s)
                 if held >= FLUSH:
                     yield from flush(sigs, owners)
@@ -244,17 +247,20 @@ def _fetch(k: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, fam, want, nb = pdf["text"].tolist(), pdf["fam"].to_numpy(), pdf["cls"].to_numpy(), pdf["nb"].to_numpy()
+            texts, want = pdf["text"].tolist(), pdf["cls"].to_numpy()
+            slots = [(pdf[f"fam{x}"].to_numpy(), pdf[f"nb{x}"].to_numpy()) for x in (0, 1)]
             for b, e, h, doc, n in _sets(texts, k):
                 cls = set_digests(h, doc, n)
                 at = np.concatenate([[0], np.cumsum(n)])
                 rows = []
                 for i in range(e - b):
                     if n[i] and cls[i] == want[b + i]:  # else another row of the same doc_id
-                        m = int(nb[b + i])
-                        blk = int(mix(np.array([cls[i]]).view(np.uint64))[0] >> np.uint64(1)) % m
                         blob = h[at[i] : at[i + 1]].tobytes()
-                        rows += [(fam[b + i], min(blk, j), max(blk, j), blk, cls[i], blob) for j in range(m)]
+                        place = int(mix(np.array([cls[i]]).view(np.uint64))[0] >> np.uint64(1))
+                        for fam, nb in slots:
+                            if m := int(nb[b + i]):
+                                blk = place % m
+                                rows += [(fam[b + i], min(blk, j), max(blk, j), blk, cls[i], blob) for j in range(m)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["fam", "bi", "bj", "blk", "cls", "tokens"])
 
@@ -340,21 +346,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_set
     buckets = max(1, total * (100 - percent) // 30 // BUCKET_SIGNATURES + 1)
     sent = docs.mapInPandas(_send(k, percent, int(buckets)), "bucket long, kind int, blob binary")
     family = components(sent.groupBy("bucket").applyInPandas(_meet, "a long, b long"), local_edges)
-    family = family.select(F.col("node").alias("cls"), F.col("comp").alias("fam"))
-    family = cut(family.union(family.select(F.col("fam").alias("cls"), "fam").distinct()))
+    family = family.select("node", F.col("comp").alias("fam"))
+    family = cut(family.union(family.select(F.col("fam").alias("node"), "fam").distinct()))
+    family = family.select(F.col("node").bitwiseAND(F.lit(-2).cast("long")).alias("cls"), F.col("node").bitwiseAND(F.lit(1).cast("long")).alias("down"), "fam")
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
-    n_family = family.count()
     whole = linked.groupBy("cls").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
-    member = whole.join(small_side(family, n_family, broadcast_rows), "cls")
-    size = member.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_shingles") / block_tokens)).cast("long").alias("nb"))
-    member = cut(member.join(size, "fam").select(F.col("low").alias("doc_id"), "cls", "fam", "nb"))
-    fetched = docs.join(small_side(member, n_family, broadcast_rows), "doc_id").select("text", "fam", "cls", "nb").mapInPandas(_fetch(k), "fam long, bi long, bj long, blk long, cls long, tokens binary")
+    member = whole.join(small_side(family, family.count(), broadcast_rows), "cls")
+    size = member.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n_shingles") / block_tokens)).cast("long").alias("nb"), F.min("down").alias("own"))
+    member = member.join(size.filter("own = 0").drop("own"), "fam")
+    slots = [F.coalesce(F.max(F.when(F.col("down") == x, F.col(c))), F.lit(0).cast("long")).alias(f"{c}{x}") for x in (0, 1) for c in ("fam", "nb")]
+    member = cut(member.groupBy("cls").agg(F.min("low").alias("doc_id"), *slots))
+    n_member = member.count()
+    fetched = docs.join(small_side(member, n_member, broadcast_rows), "doc_id").select("text", "cls", "fam0", "nb0", "fam1", "nb1").mapInPandas(_fetch(k), "fam long, bi long, bj long, blk long, cls long, tokens binary")
     keys = ["fam", "bi", "bj"]
     links = fetched.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_verify(percent), "a long, b long")
     comp = cut(components(links, local_edges))
     found = comp.select(F.col("node").alias("cls"), F.col("comp").alias("of")).union(comp.select(F.col("comp").alias("cls"), F.col("comp").alias("of")).distinct())
     # every class of a component, or with copies, gets the smallest doc_id; all others keep their own
-    odd = whole.join(small_side(found, n_family, broadcast_rows), "cls", "left").filter("copies > 1 or of is not null").withColumn("of", F.coalesce("of", "cls"))
+    odd = whole.join(small_side(found, n_member, broadcast_rows), "cls", "left").filter("copies > 1 or of is not null").withColumn("of", F.coalesce("of", "cls"))
     low = cut(odd.select("cls", "of", "low"))
     least = low.groupBy("of").agg(F.min("low").alias("component"))
     named = cut(low.join(least, "of").select("cls", "component"))
