@@ -11,7 +11,8 @@ join is exact (but for 64-bit hash collisions) and emits no pairs within copies:
    levels, and every set signs for its own level and the one below, as two nodes, so that families don't grow together across
    levels; a family without a set of its own level is left out, as those pairs meet one level up. A set with so many empty parts that the untouched one
    may be empty signs again with other deals. Every map task sends one entry a signature; the other holders become local
-   edges. So no signature, however common, piles up.
+   edges. So no signature, however common, piles up. Buckets of signatures hold neighbouring levels, each level as many as
+   its tokens need, so that the signatures that two sets share meet in few buckets and few edges tell the same.
 3. In each family sets are sorted into groups of similar sets; each group has its token union. A query set opens only the
    groups whose union overlaps it enough, and compares with members that its component lacks. Families above a bound are
    cut into blocks; each pair of blocks is one task.
@@ -135,6 +136,21 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> t
     return np.concatenate(out_s), np.concatenate(out_d), np.concatenate(out_l)
 
 
+def level_bounds(tokens: dict[int, int]) -> np.ndarray:
+    """Where the signatures of each level begin between 0 and 1, in proportion to the tokens that sign for it, and a last 1."""
+    weight = np.ones(max(tokens, default=0) + 2)
+    for level, n in tokens.items():
+        weight[max(level - 1, 0) : level + 1] += n
+    return np.concatenate([[0.0], np.cumsum(weight) / weight.sum()])
+
+
+def place_signatures(sig: np.ndarray, scheme: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Signatures whose upper half lies in the range of their level."""
+    low, high = np.floor(bounds[scheme] * 2.0**32), np.floor(bounds[scheme + 1] * 2.0**32)
+    upper = np.floor(low + (high - low) * ((sig >> np.uint64(32)).astype(np.float64) / 2.0**32)).clip(0, 2.0**32 - 1).astype(np.uint64)
+    return (upper << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF))
+
+
 def _sets(texts: list[str | None], k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     for b, e in blocks(len(t) if t else 0 for t in texts):
         h, doc = shingle_sets(texts[b:e], k)
@@ -186,7 +202,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), names[index]
 
 
-def _send(k: int, percent: int, buckets: int):
+def _send(k: int, percent: int, buckets: int, bounds: np.ndarray):
     """Rows (bucket, kind, blob): of kind 0 combined signatures, of kind 1 edges found in the task."""
 
     def flush(sigs: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -218,7 +234,8 @@ def _send(k: int, percent: int, buckets: int):
                     seen.clear()
                 mine = fresh[doc]
                 s, d, down = signatures(h[mine], doc[mine], np.where(fresh, n, 0), percent)
-                sigs.append(s)
+                scheme = np.searchsorted(levels(percent, int(n.max(initial=1)))[0], n[d], side="right") - 1 - down
+                sigs.append(place_signatures(s, scheme, bounds))
                 owners.append(cls[d] | down)
                 held += len(s)
                 if held >= FLUSH:
@@ -342,9 +359,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_set
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
     docs = lean(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = cut(docs.mapInPandas(_classes(k), "doc_id long, n_shingles long, cls long"))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    total, longest = (x or 0 for x in rows.agg(F.sum("n_shingles"), F.max("n_shingles")).first())
+    tokens: dict[int, int] = {}
+    if percent < 100:  # a count a level, as many as the logarithm of the longest text
+        first = [int(x) for x in levels(percent, longest)[0]]
+        level = F.size(F.filter(F.lit(first), lambda x: x <= F.col("n_shingles"))) - 1
+        tokens = {x["level"]: x["tokens"] for x in rows.filter("n_shingles > 0").groupBy(level.alias("level")).agg(F.sum("n_shingles").alias("tokens")).collect()}
     buckets = max(1, total * (100 - percent) // 30 // BUCKET_SIGNATURES + 1)
-    sent = docs.mapInPandas(_send(k, percent, int(buckets)), "bucket long, kind int, blob binary")
+    sent = docs.mapInPandas(_send(k, percent, int(buckets), level_bounds(tokens)), "bucket long, kind int, blob binary")
     family = components(sent.groupBy("bucket").applyInPandas(_meet, "a long, b long"), local_edges)
     family = family.select("node", F.col("comp").alias("fam"))
     family = cut(family.union(family.select(F.col("fam").alias("node"), "fam").distinct()))
