@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a counted table of a few numbers a row is broadcast (a few MB).
@@ -51,6 +51,21 @@ def bucket_of(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+def smallest_by_hash(ids: DataFrame, group: str, counts: dict, n: int) -> DataFrame:
+    """(doc_id, group, place) of the n different ids of each group with the smallest hashes, place from 1 in that order.
+
+    counts holds the rows of each group; other groups are left out. Hashes beyond the share of the range in which 4 * n + 64
+    rows are expected are dropped before anything is shuffled, so a task gets that many rows of a group, however large it is.
+    A group that consists mostly of rows of a few ids may give fewer than n."""
+    h = F.xxhash64("doc_id")
+    within = F.lit(False)
+    for g, count in counts.items():
+        share = min(1.0, (4 * n + 64) / max(1, count))
+        within |= (F.col(group) == F.lit(g)) & (h <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64))))
+    few = ids.filter(within).select("doc_id", group).distinct()
+    return few.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(h, "doc_id"))).filter(F.col("place") <= n)
+
+
 # --- words of texts, as 64-bit hashes, on numpy arrays ---------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

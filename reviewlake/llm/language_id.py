@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import bucket_of, lean, mix, table
+from reviewlake.llm.common import bucket_of, lean, mix, smallest_by_hash, table
 
 SAMPLE_TEXTS, GRAMS, SLOTS, HASHES = 1500, 6000, 1 << 18, 3
 #: Characters that are read at once; longer texts are read in pieces.
@@ -141,8 +141,7 @@ def fit_filter(labelled: DataFrame, texts: int = SAMPLE_TEXTS, keep: int = GRAMS
     languages = [r["lang"] for r in sizes]
     if not languages:
         return Filter([]).close()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.filter(F.col("lang").isin(languages)).select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= texts).select("doc_id", "lang")
+    chosen = smallest_by_hash(labelled, "lang", {r["lang"]: r["count"] for r in sizes}, texts).select("doc_id", "lang")
     # at most 64 * texts ids
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     counts = sample.mapInPandas(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from reviewlake.llm import common, components, decontaminate, exact_topk, html_extract, jaccard, language_id, mixing, secret_scan, substring_dedup, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -298,3 +299,17 @@ def test_words_and_held_out():
     h, d = common.word_hashes(["The the x", None, "THE"])
     assert d.tolist() == [0, 0, 2] and h[0] == h[2] != h[1]
     assert zlib.crc32(b"12") % 4 in range(4)
+
+
+def test_smallest_by_hash(spark):
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "b").when(F.col("id") % 50 == 1, "c").otherwise("a").alias("lang"))
+    ids = ids.union(ids.limit(500)).select("doc_id", "lang", F.lit(1).alias("place"))  # repeated rows, a clashing name
+    counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect() if r["lang"] != "c"}
+    got = {}
+    for r in common.smallest_by_hash(ids, "lang", counts, 30).collect():
+        got.setdefault(r["lang"], {})[r["place"]] = r["doc_id"]
+    want = {}
+    for r in ids.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").collect():
+        want.setdefault(r["lang"], []).append(r["doc_id"])
+    assert got == {k: dict(enumerate(want[k][:30], 1)) for k in ("a", "b")}
+    assert common.smallest_by_hash(ids, "lang", {}, 30).count() == 0
