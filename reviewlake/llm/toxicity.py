@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import blocks, bucket_of, table, words
+from reviewlake.llm.common import blocks, bucket_of, smallest_by_hash, table, words
 
 SAMPLE_TEXTS, SAMPLE_CHARS = 3000, 24_000_000
 WINDOW_WORDS, DICTIONARY_BYTES, LEVEL = 10, 16_384, 3
@@ -158,8 +158,8 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
 def fit_model(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Model:
     """A model of docs(doc_id, text) and labels(doc_id, toxic). The driver gets at most texts rows a class and chars characters."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.filter("toxic in (0, 1)").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= texts).select("doc_id", "toxic", "place")
+    sizes = {r["toxic"]: r["count"] for r in marks.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    chosen = smallest_by_hash(marks, "toxic", sizes, texts)
     # at most 2 * texts ids
     sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
     sample = sample.withColumn("before", F.sum(F.length("text").cast("long")).over(Window.partitionBy("toxic").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
