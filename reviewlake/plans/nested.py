@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import markdown as M
 from reviewlake.functions import text as X
+from reviewlake.operators import assembly as A
 from reviewlake.operators import generation as G
 from reviewlake.operators import layout as Y
 from reviewlake.operators import notes as N
@@ -178,3 +179,31 @@ def strip_footnotes(load):
     """T3."""
     body = F.concat(F.lit("Body.\n<sup>1</sup> https://x\n<sup>2</sup> See Figure "), F.col("doc_id").cast("string"), F.lit("\n<sup>(</sup>a) kept"))
     return load("documents").select("doc_id", M.strip_footnotes(body).alias("text"))
+
+
+@query(
+    "legacy_rows",
+    "SELECT conv_id, CASE WHEN t IS NULL OR t % 8 = 2 THEN '' WHEN conv_id % 3 = 0 THEN 'Accept (Oral)' ELSE 'Reject' END AS paper_decision, n AS reviews, '{}' AS author_main_response FROM (SELECT conv_id, min(turn) FILTER (turn % 4 = 2) AS t, CAST(count_if(turn % 4 = 0) AS INTEGER) AS n FROM conversations GROUP BY conv_id)",
+)
+def legacy_rows(load):
+    """P11."""
+    notes = _notes(load).select(F.col("conv_id").alias("id"), F.lit(2020).alias("year"), F.lit(0).cast("long").alias("cdate"), F.lit(0).cast("long").alias("mdate"), F.create_map(F.lit("title"), F.lit("t")).alias("content"), "replies")
+    return A.legacy_row(notes, "c", 1).select(F.col("submission_id").alias("conv_id"), "paper_decision", F.json_array_length("reviewer_response_json").alias("reviews"), "author_main_response")
+
+
+@query(
+    "assembled_rows",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS submission_id, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 3 = 0 THEN 'https://site/pdf/' || o_orderkey ELSE '' END AS pdf_download_link, CASE WHEN o_orderkey % 5 = 0 THEN '/layout/' || o_orderkey ELSE '' END AS layout_path, n.normalized_reviews FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN count_if(l_returnflag = 'N') = 0 THEN '[' || string_agg(l_returnflag, ', ' ORDER BY l_linenumber, l_returnflag) || ']' END AS normalized_reviews FROM lineitem GROUP BY l_orderkey) n ON o_orderkey = l_orderkey",
+)
+def assembled_rows(load):
+    """J10."""
+    orders, reviews = load("orders"), _reviews(load).withColumnRenamed("l_orderkey", "o_orderkey")
+    key = F.col("o_orderkey").cast("string").alias("submission_id")
+    notes = orders.join(reviews, "o_orderkey", "left").select(key, F.year("o_orderdate").alias("year"), F.lit("t").alias("title"), F.lit("a").alias("abstract"), F.lit("Reject").alias("decision"), F.array(F.lit(1)).alias("ratings"), "reviews", F.lit(None).cast("struct<text: string>").alias("meta"))
+    each = reviews.select(key, F.posexplode("reviews").alias("review_index", "normalized")).withColumns({"type": F.lit("review"), "pos": F.lit(0)})
+    none = lambda name, kind="string": orders.limit(0).select(key, F.lit(None).cast(kind).alias(name))
+    path = lambda top, name: F.concat(F.lit(top), F.col("o_orderkey").cast("string")).alias(name)
+    manifest = orders.filter("o_orderkey % 3 = 0").select(key, path("/pdf/", "pdf_path"))
+    layouts = orders.filter("o_orderkey % 5 = 0").select(key, path("/layout/", "path"), path("/md/", "md_path"))
+    rows = A.assemble(notes, A.normalized_reviews(each), manifest, layouts, none("path"), none("meta_json"), none("images", "map<string, string>"), none("paths", "array<string>"), none("content_list"), none("gs_citation", "int"), "https://site", "/root")
+    return rows.select("submission_id", "year", "pdf_download_link", F.col("_mineru_path").alias("layout_path"), "normalized_reviews")
