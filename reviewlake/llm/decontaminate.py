@@ -1,11 +1,14 @@
-"""Benchmark decontamination (operator 8): rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination (operator 8): shared n-grams as an exact filter, then Smith-Waterman alignment.
 
-Test items are the small side: they are taken in blocks of at most BLOCK_CHARS characters, each indexed by its word
-n-grams (SEED_WORDS words). A first pass counts in how many documents each of these n-grams is, over all documents; each
-item's seeds are the rarer half of its n-grams. A second pass looks the seeds up in every whole document. Where MIN_SEEDS
-seeds of an item lie near each other, the words around them are aligned with the item's words (match 2, mismatch and gap
--1), so edited and paraphrased copies score by what they share: score is the best local alignment over twice the item's
-words. Documents with a score of at least MIN_SCORE are contaminated. Documents aren't shuffled; only counts of n-grams are.
+Test items are the small side: they are taken in blocks of at most BLOCK_CHARS characters, each indexed by all its pairs of
+words. One pass looks the pairs of every whole document up. Stretches that share enough pairs with an item are aligned with
+the item's words (match 2, mismatch and gap -1), so edited and paraphrased copies score by what they share: score is the best
+local alignment over twice the item's words. Documents with a score of at least MIN_SCORE are contaminated.
+
+The filter loses no alignment of that score. Of an item's m words let an alignment match M, with E mismatches and gaps, and
+2 M - E >= T, T being the score asked for times 2 m. The matches stand in at most E + 1 runs, so M - E - 1 >= T - m - 1
+pairs of words are shared, and the aligned words of the document are at most 3 m - T. Where T - m - 1 is under 1 (items of up
+to 10 words at MIN_SCORE), single words are looked up instead, of which T / 2 are shared. Nothing is shuffled.
 
 Defined results: null and empty texts hold nothing; items that are null or have fewer than MIN_ITEM_WORDS words are not
 searched for, as they occur by chance; rows with a null id are searched like others; repeated rows give repeated results,
@@ -25,10 +28,11 @@ from pyspark.sql import functions as F
 
 from reviewlake.llm.common import _MULT, blocks, lean, mix, table, word_hashes
 
-SEED_WORDS, MIN_SEEDS, MIN_ITEM_WORDS, MIN_SCORE = 3, 2, 5, 0.55
+MIN_ITEM_WORDS, MIN_SCORE = 5, 0.55
 BLOCK_CHARS = 4_000_000
 MATCH, MISS, GAP = 2, -1, -1
 _FILTER_BITS = 20
+_POSTINGS, _CELLS = 1 << 20, 1 << 18
 
 
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,47 +47,22 @@ def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return total[at], at
 
 
-class Index:
-    """Items of one block: words, n-grams, and for each n-gram where in which item it is."""
+class Lookup:
+    """The n-grams (n words each) of some items, and which items hold each."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        h, doc = word_hashes(texts)
-        sizes = np.bincount(doc, minlength=len(texts))
-        keep = np.flatnonzero(sizes >= MIN_ITEM_WORDS)
-        self.ids = [ids[i] for i in keep]
-        ends = np.cumsum(sizes)
-        self.words = [h[ends[i] - sizes[i] : ends[i]] for i in keep]
-        grams, item, place = [], [], []
-        for k, w in enumerate(self.words):
-            g, at = ngrams(w, np.zeros(len(w), np.int64), SEED_WORDS)
-            grams.append(g)
-            item.append(np.full(len(g), k))
-            place.append(at)
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.item = np.concatenate(item) if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place) if place else np.zeros(0, np.int64)
-        self.use(np.ones(len(self.grams), bool))
-
-    def use(self, which: np.ndarray) -> None:
-        """Look up these n-grams only."""
-        order = np.flatnonzero(which)
-        order = order[np.argsort(self.grams[order], kind="stable")]
-        self.of = order
-        self.keys, self.first, self.count = np.unique(self.grams[order], return_index=True, return_counts=True)
+    def __init__(self, n: int, of: np.ndarray, words: list[np.ndarray]):
+        self.n = n
+        grams = [np.unique(ngrams(words[k], np.zeros(len(words[k]), np.int64), n)[0]) for k in of]
+        gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        item = np.repeat(of, [len(g) for g in grams])
+        order = np.argsort(gram, kind="stable")
+        self.item = item[order]
+        self.keys, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def rare(self, counts: dict[int, int]) -> None:
-        """Use the rarer half of each item's n-grams, by the documents that hold them."""
-        df = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
-        which = np.zeros(len(df), bool)
-        for k in range(len(self.words)):
-            mine = np.flatnonzero(self.item == k)
-            which[mine[np.argsort(df[mine], kind="stable")[: max(MIN_SEEDS, -(-len(mine) // 2))]]] = True
-        self.use(which)
-
     def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in g that are n-grams of the index, and which key each is."""
+        """Positions in g that are n-grams of the items, and which key each is."""
         if not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.flatnonzero(self.filter[g >> np.uint64(64 - _FILTER_BITS)])
@@ -91,43 +70,114 @@ class Index:
         ok = self.keys[key] == g[at]
         return at[ok], key[ok]
 
-    def search(self, texts: list[str | None], least: float) -> list[tuple[int, int, float, int, int, int]]:
-        """(text, item, score, seeds, first word, last word) of the contaminated texts, the best place of each item."""
-        h, doc = word_hashes(texts)
-        g, where = ngrams(h, doc, SEED_WORDS)
+    def postings(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, item) of all hits, sorted by item and word; a text's hits come together, those of few texts at a time."""
+        g, where = ngrams(h, doc, self.n)
         at, key = self.hits(g)
         if not len(at):
-            return []
+            return
         n = self.count[key]
-        rep = np.repeat(np.arange(len(at)), n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        gram = self.of[self.first[key][rep] + inner]
-        word, item = where[at[rep]], self.item[gram]
-        owner = doc[word]
+        edge = np.append(np.flatnonzero(np.diff(doc[where[at]], prepend=-1)), len(at))
+        for b, e in blocks(np.add.reduceat(n, edge[:-1]).tolist(), _POSTINGS):
+            part = slice(edge[b], edge[e])
+            m = n[part]
+            inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            item = self.item[np.repeat(self.first[key[part]], m) + inner]
+            both = np.sort(item * len(h) + np.repeat(where[at[part]], m))
+            yield both % len(h), both // len(h)
+
+
+class Index:
+    """Items of one block: words, n-grams, and how many of them a text must share within how many words."""
+
+    def __init__(self, ids: list, texts: list[str], least: float = MIN_SCORE):
+        h, doc = word_hashes(texts)
+        sizes = np.bincount(doc, minlength=len(texts))
+        keep = np.flatnonzero(sizes >= MIN_ITEM_WORDS)
+        self.ids, self.least = [ids[i] for i in keep], least
+        ends = np.cumsum(sizes)
+        self.words = [h[ends[i] - sizes[i] : ends[i]] for i in keep]
+        self.size = sizes[keep]
+        score = np.ceil(MATCH * self.size * least - 1e-9).astype(np.int64)
+        pairs = score - self.size - 1
+        self.need = np.where(pairs >= 1, pairs, np.maximum(1, -(-score // MATCH)))
+        self.span = np.maximum(self.size, 3 * self.size - score)
+        self.lookups = [Lookup(n, of, self.words) for n, of in ((1, np.flatnonzero(pairs < 1)), (2, np.flatnonzero(pairs >= 1))) if len(of)]
+
+    def stretches(self, h: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, item, first word, last word, shared n-grams): all places where an item can score as asked."""
+        for lookup in self.lookups:
+            for word, item in lookup.postings(h, doc):
+                last = np.arange(len(word)) + self.need[item] - 1
+                first = np.flatnonzero(last < len(word))
+                last = last[first]
+                k, d, span = item[first], doc[word[first]], self.span[item[first]]
+                ok = (item[last] == k) & (doc[word[last]] == d) & (word[last] - word[first] <= span - lookup.n)
+                if not ok.any():
+                    continue
+                first, last, k, d, span = first[ok], last[ok], k[ok], d[ok], span[ok]
+                lo = np.maximum(starts[d], word[last] + lookup.n - span)
+                hi = np.minimum(starts[d + 1], word[first] + span)
+                new = np.ones(len(lo), bool)  # overlapping windows of a text and an item are one stretch
+                new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (lo[1:] > hi[:-1])
+                b = np.flatnonzero(new)
+                e = np.append(b[1:], len(new)) - 1
+                yield d[b], k[b], np.minimum.reduceat(lo, b), np.maximum.reduceat(hi, b), last[e] - first[b] + 1
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, float, int, int, int]]:
+        """(text, item, score, shared n-grams, first word, last word) of the contaminated texts, the best place of each item."""
+        h, doc = word_hashes(texts)
         starts = np.searchsorted(doc, np.arange(len(texts) + 1))
-        order = np.lexsort((word, item, owner))
-        word, item, owner = word[order], item[order], owner[order]
-        size = np.array([len(w) for w in self.words])[item]
-        new = np.ones(len(word), bool)  # a new cluster: other text or item, or further off than the item is long
-        new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > size[1:])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(word))
         best: dict[tuple[int, int], tuple] = {}
-        for b, e in zip(first.tolist(), last.tolist()):
-            seeds = len(np.unique(word[b:e]))
-            if seeds < MIN_SEEDS:
-                continue
-            k, d, m = int(item[b]), int(owner[b]), int(size[b])
-            lo, hi = max(int(starts[d]), int(word[b]) - m), min(int(starts[d + 1]), int(word[e - 1]) + SEED_WORDS + m)
-            for s in range(lo, hi, 64 * m):  # a long cluster in overlapping stretches
-                t = min(hi, s + 66 * m)
-                score, i, j = align(self.words[k], h[s:t])
-                found = (score / (MATCH * m), seeds, s + i - int(starts[d]), s + j - int(starts[d]))
-                if found[0] >= least and found[0] > best.get((d, k), (0.0,))[0]:
-                    best[d, k] = found
+        for d, k, lo, hi, shared in self.stretches(h, doc, starts):
+            m, over = self.size[k], self.span[k]
+            pieces = np.maximum(1, -(-(hi - lo - over) // (8 * m)))  # a long stretch in overlapping pieces
+            rep = np.repeat(np.arange(len(k)), pieces)
+            s = lo[rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * 8 * m[rep]
+            t = np.minimum(hi[rep], s + 8 * m[rep] + over[rep])
+            scores = score_all(self.words, k[rep], h, s, t)
+            for x in np.flatnonzero(scores >= self.least * MATCH * m[rep] - 1e-9).tolist():
+                of, key = int(rep[x]), (int(d[rep[x]]), int(k[rep[x]]))
+                value = float(scores[x]) / (MATCH * int(m[of]))
+                if value > best.get(key, (0.0,))[0]:
+                    _, i, j = align(self.words[key[1]], h[s[x] : t[x]])
+                    begin = int(s[x]) - int(starts[key[0]])
+                    best[key] = (value, int(shared[of]), begin + i, begin + j)
         return [(d, k, *v) for (d, k), v in sorted(best.items())]
 
 
+def score_all(items: list[np.ndarray], item: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Smith-Waterman scores of items[item] with text[lo:hi], many at once: those of like sizes share a table."""
+    size, width = np.array([len(items[k]) for k in item], np.int64), hi - lo
+    out = np.zeros(len(item), np.int64)
+    order = np.lexsort((width, size))
+    at = 0
+    while at < len(order):
+        ahead = order[at : at + 4096]
+        part = ahead[: max(1, _CELLS // max(1, int(width[ahead].max()), int(size[ahead].max())))]
+        at += len(part)
+        w, m = int(width[part].max()), int(size[part].max())
+        cell = np.minimum(lo[part][:, None] + np.arange(w), len(text) - 1)
+        inside = np.arange(w) < width[part][:, None]
+        b = text[cell]
+        a = np.zeros((len(part), m), np.uint64)
+        for r, p in enumerate(part.tolist()):
+            a[r, : size[p]] = items[item[p]]
+        kind = np.int16 if MATCH * m + w < 30000 else np.int64
+        slope = np.arange(w + 1, dtype=kind) * kind(-GAP)
+        row, best = np.zeros((len(part), w + 1), kind), np.zeros(len(part), kind)
+        for i in range(m):
+            same = (b == a[:, i : i + 1]) & inside & (i < size[part])[:, None]
+            up = np.maximum(row + kind(GAP), kind(0))
+            np.maximum(up[:, 1:], row[:, :-1] + np.where(same, kind(MATCH), kind(MISS)), out=up[:, 1:])
+            up += slope
+            np.maximum.accumulate(up, axis=1, out=up)
+            row = up - slope  # gaps along the row
+            np.maximum(best, row.max(axis=1), out=best)
+        out[part] = best
+    return out
+
+
 def _table(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local score and the ends of it in a and b (exclusive)."""
     slope = np.arange(len(b) + 1) * -GAP
@@ -152,48 +202,28 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, j - back, j
 
 
-def _count(index):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = index.value
-        for pdf in batches:
-            texts, total = pdf["text"].tolist(), np.zeros(len(ix.keys), np.int64)
-            for b, e in blocks(len(t) if t else 0 for t in texts):
-                h, doc = word_hashes(texts[b:e])
-                g, where = ngrams(h, doc, SEED_WORDS)
-                at, key = ix.hits(g)
-                pairs = np.unique(doc[where[at]] * len(ix.keys) + key)
-                total += np.bincount(pairs % max(1, len(ix.keys)), minlength=len(ix.keys))
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"gram": ix.keys[some].view(np.int64), "docs": total[some]})
-
-    return run
-
-
-def build_indices(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Index]:
-    """Indices of all items with their seeds chosen, one a block of items; what the driver gets is bounded by the block."""
+def build_indices(benchmark: DataFrame, least: float = MIN_SCORE, block_chars: int = BLOCK_CHARS) -> list[Index]:
+    """Indices of all items, one a block of items; what the driver gets is bounded by the block."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = int(-(-chars // block_chars))
     out = []
     for i in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        ix = Index([r["item_id"] for r in rows], [r["text"] for r in rows])
+        ix = Index([r["item_id"] for r in rows], [r["text"] for r in rows], least)
         if ix.ids:
-            shared = docs.sparkSession.sparkContext.broadcast(ix)
-            counts = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_count(shared), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-            ix.rare({r["gram"]: r["docs"] for r in counts.collect()})
             out.append(ix)
     return out
 
 
-def _find(index, least: float):
+def _find(index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
         for pdf in batches:
             texts, rows = pdf["text"].tolist(), []
             ids = pdf["doc_id"].astype("Int64")
             for b, e in blocks(len(t) if t else 0 for t in texts):
-                rows += [(ids.iloc[b + d], ix.ids[k], score, seeds, i, j) for d, k, score, seeds, i, j in ix.search(texts[b:e], least)]
+                rows += [(ids.iloc[b + d], ix.ids[k], score, seeds, i, j) for d, k, score, seeds, i, j in ix.search(texts[b:e])]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "n_seeds", "first_word", "end_word"])
 
@@ -205,13 +235,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = MIN
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id long, item_id {kind}, score double, n_seeds long, first_word long, end_word long"
-    parts = [docs.mapInPandas(_find(docs.sparkSession.sparkContext.broadcast(ix), least), schema) for ix in build_indices(docs, benchmark)]
+    parts = [docs.mapInPandas(_find(docs.sparkSession.sparkContext.broadcast(ix)), schema) for ix in build_indices(benchmark, least)]
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    indices = build_indices(docs, benchmark)
+    indices = build_indices(benchmark, least)
     if not indices:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(indices)
@@ -223,7 +253,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MI
             keep = np.ones(len(texts), bool)
             for b, e in blocks(len(t) if t else 0 for t in texts):
                 for ix in shared.value:
-                    for found in ix.search(texts[b:e], least):
+                    for found in ix.search(texts[b:e]):
                         keep[b + found[0]] = False
             yield batch.filter(pa.array(keep))
 

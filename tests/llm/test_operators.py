@@ -244,6 +244,39 @@ def test_alignment_scores_like_a_plain_table():
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+def edits(words, rng, kind):
+    """A copy with every fifth or sixth word changed, a word put in after every second (or, of short items, every) word, or random edits."""
+    every = {"sixth": 6, "fifth": 5}.get(kind)
+    if every:
+        return ["x" + w if i % every == every - 1 else w for i, w in enumerate(words)]
+    if kind == "inserted":
+        step = 1 if len(words) <= 10 else 2
+        return [v for i, w in enumerate(words) for v in ([w, f"y{i}"] if i % step == step - 1 and i < len(words) - 1 else [w])]
+    return [v for w in words for v in ([w], ["z"], [], [w, "z"])[rng.choices(range(4), [12, 2, 1, 1])[0]]]
+
+
+def test_decontamination_finds_what_alignment_of_all_finds(spark):
+    rng = random.Random(11)
+    items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(9)}" for _ in range(rng.choice([5, 8, 10, 11, 30, 59])))) for k in range(24)]
+    texts = []
+    for _, t in items:
+        for kind in ("sixth", "fifth", "inserted", "random"):
+            texts.append(" ".join([prose(rng, rng.randrange(90)), *edits(t.split(), rng, kind), prose(rng, rng.randrange(90))]))
+    texts += [" ".join(items[0][1].split()[:3]) + " q " + prose(rng, 30), " ".join(t for _, t in items[:6]) * 3]
+    rows = list(enumerate(texts))
+    words = [common.word_hashes([t])[0] for _, t in items]
+    want = {}
+    for d, t in rows:
+        h = common.word_hashes([t])[0]
+        for k, w in enumerate(words):
+            if (score := decontaminate.align(w, h)[0] / (2 * len(w))) >= decontaminate.MIN_SCORE - 1e-12:
+                want[d, k] = score
+    docs, bench = make(spark, [(i, t, "en", "s", 0) for i, t in rows]), make(spark, items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == pytest.approx(want) and {(4 * k + e, k) for k in range(24) for e in range(3)} <= set(got)
+    assert {r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_language_id(spark):
     rng = random.Random(7)
     vocab = {"xx": ["ba", "bo", "bum", "blik"], "yy": ["zor", "zi", "zang", "zu"]}
