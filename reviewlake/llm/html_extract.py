@@ -3,13 +3,15 @@
 The tag stream of every page becomes a tree of block elements with text slots; inline markup vanishes. A host's wrapper is a
 union-free regular expression over such streams: sequences, optional items (?) and repeated groups (+), no alternatives.
 A page is folded first (tandem repeats become groups), then wrappers are aligned two by two: equal items merge, an item
-that only one side has becomes optional, and repeats on one side become groups. Every element of the wrapper sums what its
-slots held: pages, characters, characters in links. The wrapper then names the host's main element: article or main if the
+that only one side has becomes optional, and repeats on one side become groups. A slot of the wrapper is constant while all
+pages that have it hold the same text (of a repeated item: the same texts in order), else it varies. Every element of the
+wrapper sums what its slots held: pages, words, words in links. The wrapper then names the host's main element: article or main if the
 host's pages have one outside boilerplate, else the element with most unlinked text under it that isn't boilerplate.
 
 Every page takes part. Wrappers are first merged inside each task, so that a host with most of the pages sends one small
-row a task; they are merged again by host. Extraction reads each whole page with its host's wrapper and gives the blocks
-of the main element in page order, without boilerplate inside it.
+row a task; they are merged again by host. Extraction matches each whole page with its host's wrapper and gives the blocks of
+the main element in page order, without boilerplate inside it and without slots that are constant over at least
+CONSTANT_PAGES different pages. On fewer pages, or if a page would keep nothing, equal text is no evidence and stays.
 
 Defined results: null or empty html gives the empty text; a null url is the host ''; pages without the host's main element
 give their own best element; unclosed and stray tags close as browsers close them; repeated rows give repeated results;
@@ -18,11 +20,13 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,11 @@ from pyspark.sql import functions as F
 
 from reviewlake.llm.common import cut, small_side, table
 
+#: Different pages that must hold the same text in a slot before it counts as part of the template.
+CONSTANT_PAGES = 8
+#: Characters of wrappers up to which they are broadcast.
+BROADCAST_CHARS = 16_000_000
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|head|textarea|select|object)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|[^<]+|<""",
     re.S | re.I,
@@ -92,6 +101,22 @@ def parse(page: str) -> Iterator[tuple[str, str, bool]]:
 
 
 # --- wrappers: an item is [key, items, least, most]; key "" is a group; least 0 means optional, most 2 means repeated ----
+# A slot (key #) has a fifth field: in a page its [numbers, texts] in page order; in a host's wrapper [digest of the texts,
+# up to CONSTANT_PAGES digests of pages], or None if it varies.
+
+
+def _digest(texts: list[str]) -> str:
+    return hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _within(x: list, y: list) -> list:
+    """Slots of one page that fall together."""
+    return [x[0] + y[0], x[1] + y[1]]
+
+
+def _across(x: list | None, y: list | None) -> list | None:
+    """Slots of different pages that fall together."""
+    return [x[0], sorted({*x[1], *y[1]})[:CONSTANT_PAGES]] if x and y and x[0] == y[0] else None
 
 
 def _name(item: list) -> str:
@@ -117,7 +142,7 @@ def fold(items: list[list]) -> list[list]:
                     continue
                 merged = items[at : at + period]
                 for i in range(1, n):
-                    merged = align(merged, items[at + i * period : at + (i + 1) * period])
+                    merged = align(merged, items[at + i * period : at + (i + 1) * period], _within)
                 if period == 1:
                     merged[0][3] = 2
                     out.append(merged[0])
@@ -131,36 +156,69 @@ def fold(items: list[list]) -> list[list]:
     return items
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
+def align(a: list[list], b: list[list], join=_across) -> list[list]:
     """One sequence that both match: equal items merged, the others optional."""
     an, bn = [_name(x) for x in a], [_name(x) for x in b]
     out: list[list] = []
-    for kind, a0, a1, b0, b1 in SequenceMatcher(None, an, bn, autojunk=False).get_opcodes():
+    for kind, a0, a1, b0, b1 in _opcodes(an, bn):
         if kind == "equal":
-            out += [[x[0], align(x[1], y[1]), min(x[2], y[2]), max(x[3], y[3])] for x, y in zip(a[a0:a1], b[b0:b1])]
+            out += [[x[0], align(x[1], y[1], join), min(x[2], y[2]), max(x[3], y[3]), *([join(x[4], y[4])] if x[0] == "#" else [])] for x, y in zip(a[a0:a1], b[b0:b1])]
         else:
             known = {n: i for i, n in enumerate(_name(x) for x in out)}
             for x in a[a0:a1] + b[b0:b1]:
                 if (n := _name(x)) in known:  # the other side has it at another place: it may repeat there
                     y = out[known[n]]
-                    y[1], y[3] = align(y[1], x[1]), 2
+                    y[1], y[3], y[4:] = align(y[1], x[1], join), 2, [join(y[4], x[4])] if n == "#" else []
                 else:
                     known[n] = len(out)
-                    out.append([x[0], x[1], 0, x[3]])
+                    out.append([x[0], x[1], 0, *x[3:]])
     return out
 
 
+def _opcodes(an: list[str], bn: list[str]) -> list[tuple]:
+    return [("equal", 0, len(an), 0, len(bn))] if an == bn else SequenceMatcher(None, an, bn, autojunk=False).get_opcodes()
+
+
+def slots(items: list[list], path: str = "") -> Iterator[tuple[str, list]]:
+    """All slots, each with the path of its element."""
+    for x in items:
+        if x[0] == "#":
+            yield path, x
+        else:
+            yield from slots(x[1], f"{path}/{x[0]}".lstrip("/") if x[0] else path)
+
+
+def is_constant(slot: list) -> bool:
+    return slot[4] is not None and len(slot[4][1]) >= CONSTANT_PAGES
+
+
+def match(wrapper: list[list], page: list[list]) -> Iterator[int]:
+    """Numbers of the page's texts that stand in constant slots of the wrapper; items fall together as in align."""
+    wn, pn = [_name(x) for x in wrapper], [_name(x) for x in page]
+    known = {n: x for n, x in zip(wn, wrapper)}
+    for kind, a0, a1, b0, b1 in _opcodes(wn, pn):
+        for i, y in enumerate(page[b0:b1]):
+            x = wrapper[a0 + i] if kind == "equal" else known.get(pn[b0 + i])
+            if x is None:
+                continue
+            if x[0] != "#":
+                yield from match(x[1], y[1])
+            elif is_constant(x) and x[4][0] == _digest(y[4][1]):
+                yield from y[4][0]
+
+
 def expression(items: list[list]) -> str:
     """The wrapper as a regular expression over tags and text slots (#)."""
-    return " ".join((f"<{k}>{expression(c)}</>" if k == "#" or c else f"<{k}/>" if k else f"({expression(c)})") + ("*" if lo == 0 and hi == 2 else "?" if lo == 0 else "+" if hi == 2 else "") if k != "#" else "#" for k, c, lo, hi in items)
+    return " ".join((f"<{k}>{expression(c)}</>" if k == "#" or c else f"<{k}/>" if k else f"({expression(c)})") + ("*" if lo == 0 and hi == 2 else "?" if lo == 0 else "+" if hi == 2 else "") if k != "#" else "#" for k, c, lo, hi, *_ in items)
 
 
-def page_wrapper(page: str) -> dict:
-    """The wrapper of one page: items, and of each path [pages, text, linked text] of its own slots."""
+def page_tree(page: str) -> dict:
+    """The wrapper of one page, with the page's texts in its slots: items, and of each path [pages, text, linked text, boilerplate] of its own slots."""
     stack: list[list[list]] = [[]]
     path: list[str] = []
     bad = [False]
     stats: dict[str, list] = {}
+    number = 0
     for kind, value, flag in parse(page):
         if kind == "open":
             item = [value, [], 1, 1]
@@ -173,9 +231,11 @@ def page_wrapper(page: str) -> dict:
             stack.pop()
             path.pop()
             bad.pop()
-        elif kind == "text" and (n := len(value.split())):
+        elif kind == "text" and (n := len(words := value.split())):
             if not stack[-1] or stack[-1][-1][0] != "#":
-                stack[-1].append(["#", [], 1, 1])
+                stack[-1].append(["#", [], 1, 1, [[number], [""]]])
+                number += 1
+            stack[-1][-1][4][1][-1] += " ".join(words) + " "
             s = stats.setdefault("/".join(path), [1, 0, 0, bad[-1]])
             s[1] += n
             s[2] += n if flag else 0
@@ -185,13 +245,23 @@ def page_wrapper(page: str) -> dict:
     return {"items": fold(stack[0]), "stats": stats}
 
 
+def page_wrapper(page: str) -> dict:
+    """The wrapper of one page: as page_tree, with digests in place of the texts."""
+    one = page_tree(page)
+    held = [x for _, x in slots(one["items"])]
+    whole = _digest([t for x in held for t in x[4][1]])
+    for x in held:
+        x[4] = [_digest(x[4][1]), [whole]]
+    return one
+
+
 def merge(a: dict, b: dict) -> dict:
     """One wrapper for the pages of both."""
     stats = {k: list(v) for k, v in a["stats"].items()}
     for k, v in b["stats"].items():
         s = stats.setdefault(k, [0, 0, 0, v[3]])
         s[0], s[1], s[2] = s[0] + v[0], s[1] + v[1], s[2] + v[2]
-    return {"items": a["items"] if json.dumps(a["items"]) == json.dumps(b["items"]) else align(a["items"], b["items"]), "stats": stats}
+    return {"items": align(a["items"], b["items"]), "stats": stats}
 
 
 def main_path(stats: dict[str, list]) -> str | None:
@@ -215,18 +285,20 @@ def main_path(stats: dict[str, list]) -> str | None:
     return max(holders, key=lambda p: (p.count("/"), p)) if holders else None
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """Blocks of the main element at path, in page order."""
+def extract(page: str | None, path: str | None, wrapper: str | None = None) -> str:
+    """Blocks of the main element at path, in page order, without texts in constant slots of the host's wrapper (its items as JSON)."""
     if not page:
         return ""
     events = list(parse(page))
+    fixed = set(match(_items(wrapper), page_tree(page)["items"])) if wrapper else set()
 
-    def read(target: str | None) -> tuple[bool, list[str]]:
+    def read(target: str | None, without: set[int]) -> tuple[bool, list[str]]:
         open_path: list[str] = []
         inside, bad, seen = 0, 0, False
         marks: list[tuple[bool, bool]] = []
         blocks: list[str] = []
         words: list[str] = []
+        number, within = -1, False  # of the text, as in page_tree
 
         def flush() -> None:
             if words:
@@ -236,10 +308,13 @@ def extract(page: str | None, path: str | None) -> str:
 
         for kind, value, flag in events:
             if kind == "text":
-                if (inside or target is None) and not bad:
+                if value.strip() and not within:
+                    number, within = number + 1, True
+                if (inside or target is None) and not bad and not (within and number in without):
                     words.append(value)
                 continue
             flush()
+            within = False
             if kind == "open":
                 open_path.append(value)
                 hit = target is not None and "/".join(open_path) == target
@@ -252,11 +327,18 @@ def extract(page: str | None, path: str | None) -> str:
         flush()
         return seen, blocks
 
-    if path is not None:
-        seen, blocks = read(path)
-        if seen:
-            return "\n".join(blocks)
-    return "\n".join(read(main_path(page_wrapper(page)["stats"]))[1])
+    for without in (fixed, set()) if fixed else (set(),):  # a page of nothing but constant text keeps it
+        seen, blocks = read(path, without) if path is not None else (False, [])
+        if not seen:
+            blocks = read(main_path(page_wrapper(page)["stats"]), without)[1]
+        if blocks:
+            break
+    return "\n".join(blocks)
+
+
+@lru_cache(64)
+def _items(wrapper: str) -> list[list]:
+    return json.loads(wrapper)
 
 
 WRAPPER = "host string, wrapper string"
@@ -286,28 +368,30 @@ def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
     whole: dict | None = None
     for w in sorted(pdf["wrapper"]):
         whole = json.loads(w) if whole is None else merge(whole, json.loads(w))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [main_path(whole["stats"])], "expression": [expression(whole["items"])]})
+    items = json.dumps(whole["items"]) if any(is_constant(x) for _, x in slots(whole["items"])) else None
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [main_path(whole["stats"])], "expression": [expression(whole["items"])], "items": [items]}, dtype=object)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path, expression): the wrapper of every host of pages(url, html), and the path of its main element."""
+    """(host, path, expression, items): the wrapper of every host of pages(url, html), and the path of its main element; items is null if no slot is constant."""
     parts = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(_infer, WRAPPER)
-    return parts.groupBy("host").applyInPandas(_combine, "host string, path string, expression string")
+    return parts.groupBy("host").applyInPandas(_combine, "host string, path string, expression string, items string")
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        text = [extract(p, w if isinstance(w, str) else None) for p, w in zip(pdf["html"], pdf["path"])]
+        text = [extract(p, w if isinstance(w, str) else None, i if isinstance(i, str) else None) for p, w, i in zip(pdf["html"], pdf["path"], pdf["items"])]
         yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
 
 def extract_pages(pages: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = cut(infer_wrappers(pages).select("host", "path"))
+    found = cut(infer_wrappers(pages).select("host", "path", "items"))
+    rows, chars = found.agg(F.count("*"), F.sum(F.length("items").cast("long"))).first()
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1))
-    joined = pages.withColumn("page_host", host).join(small_side(found, found.count(), broadcast_rows), F.col("page_host") == F.col("host"), "left")
-    return joined.select("page_id", "url", "html", "path").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    joined = pages.withColumn("page_host", host).join(small_side(found, rows if (chars or 0) <= BROADCAST_CHARS else None, broadcast_rows), F.col("page_host") == F.col("host"), "left")
+    return joined.select("page_id", "url", "html", "path", "items").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

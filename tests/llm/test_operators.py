@@ -328,6 +328,24 @@ def test_html_extraction(spark):
     assert html_extract.expression(html_extract.merge(html_extract.merge(w[0], w[1]), w[2])["items"]).count("+") >= 1
 
 
+def test_html_constant_slots_go(spark):
+    rng = random.Random(3)
+    body = [[prose(rng, 12) for _ in range(rng.randint(1, 4))] for _ in range(12)]
+
+    def page(i, paragraphs):
+        lead = "<div class='kicker'>Read our other stories</div>" if i % 3 else ""
+        return f"<html><body><article><h1>Title {i}</h1>{lead}{''.join(f'<p>{p}</p>' for p in paragraphs)}<div class='end'>All <b>rights</b> kept</div></article></body></html>"
+
+    rows = [(i, f"http://a.example/{i}", page(i, p)) for i, p in enumerate(body)]
+    rows += [(100 + i, f"http://b.example/{i}", page(i, p)) for i, p in enumerate(body[:4])]  # too few pages to tell
+    rows += [(200 + i, "http://c.example/", page(0, body[0])) for i in range(20)]  # one page many times
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(make(spark, rows, "page_id long, url string, html string")).collect()}
+    for i, p in enumerate(body):
+        assert got[i] == "\n".join([f"Title {i}", *p])
+    assert all("All rights kept" in got[100 + i] for i in range(4))
+    assert all(got[200 + i] == "\n".join(["Title 0", *body[0], "All rights kept"]) for i in range(20))
+
+
 def test_words_and_held_out():
     h, d = common.word_hashes(["The the x", None, "THE"])
     assert d.tolist() == [0, 0, 2] and h[0] == h[2] != h[1]
