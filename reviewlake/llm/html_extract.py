@@ -14,7 +14,8 @@ the main element in page order, without boilerplate inside it and without slots
 CONSTANT_PAGES different pages. On fewer pages, or if a page would keep nothing, equal text is no evidence and stays.
 
 Defined results: null or empty html gives the empty text; a null url is the host ''; pages without the host's main element
-give their own best element; unclosed and stray tags close as browsers close them; repeated rows give repeated results;
+give their own best element; unclosed and stray tags close as browsers close them, and a head without its end tag ends at
+the body, at text or at the first element that can't stand in it (only script, style and textarea run to the end of a page); repeated rows give repeated results;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -40,13 +41,16 @@ CONSTANT_PAGES = 8
 BROADCAST_CHARS = 16_000_000
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|head|textarea|select|object)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|[^<]+|<""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)|<title\b(?:"[^"]*"|'[^']*'|[^>"'])*>[^<]*(?:</title\s*>)?|<iframe\b(?:"[^"]*"|'[^']*'|[^>"'])*>(?:(?!<iframe\b).)*?</iframe\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|[^<]+|<""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset head noscript template iframe svg select object".split())
+#: Elements that stand in head; any other one, or text, ends it. Elements that end an open svg or select.
+HEAD_TAGS = frozenset("base link meta noscript template head".split())
+LEAVES_SVG = frozenset("article aside blockquote body center dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 BOILERPLATE_WORDS = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|adv|advert|adverts|advertisement|banner|sponsor|sponsored|promo|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|comment|comments|commentlist|disqus|replies|reader-comments|related|share|sharing|social|login|search|toolbar|complementary|contentinfo)(?:$|[-_ ])"
 )
@@ -62,11 +66,29 @@ def parse(page: str) -> Iterator[tuple[str, str, bool]]:
     for m in TOKEN.finditer(page):
         token = m.group(0)
         if token[0] != "<" or token == "<":
+            if open_tags and open_tags[-1] == "head" and token.strip():
+                open_tags.pop()
+                yield "close", "", False
             yield "text", token, links > 0
             continue
         if not m.group(3):
             continue  # comments, scripts, styles and other elements whose content isn't text
         tag, closing = m.group(3).lower(), m.group(2)
+        if not closing and open_tags:
+            if "svg" in open_tags and tag in LEAVES_SVG:
+                while True:
+                    yield "close", "", False
+                    if open_tags.pop() == "svg":
+                        break
+            elif open_tags[-1] == "iframe" or open_tags[-1] == "head" and tag not in HEAD_TAGS or open_tags[-1] in ("select", "option", "optgroup") and tag in LEAVES_SVG - {"hr"}:
+                while open_tags and open_tags[-1] in ("iframe", "head", "select", "option", "optgroup"):
+                    open_tags.pop()
+                    yield "close", "", False
+            elif "head" in open_tags and tag == "body":
+                while True:
+                    yield "close", "", False
+                    if open_tags.pop() == "head":
+                        break
         if tag in INLINE or tag in VOID:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1

@@ -346,6 +346,28 @@ def test_html_constant_slots_go(spark):
     assert all(got[200 + i] == "\n".join(["Title 0", *body[0], "All rights kept"]) for i in range(20))
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><meta charset=utf-8><script>x()</script><body><article><p>Kept</p></article>",
+        "<head><title>t</title><article><p>Kept</article>",
+        "<head><link rel=x><noscript>no</noscript><title>t</title><div><p>Kept</div>",
+        "<head><noscript><style>p{}</style><body><article><p>Kept</article>",
+        "<article><div><noscript>no</div><p>Kept</p></article>",
+        "<article><div><select><option>no<option>no</div><p>Kept</p></article>",
+        "<article><select><option>no<p>Kept</p></article>",
+        "<article><div><object data=x>no</div><p>Kept</p></article>",
+        "<article><svg><text>no<p>Kept</p></article>",
+        "<article><iframe src=x><p>Kept</p></article>",
+        "<article><iframe src=x><p>no</p></iframe><select><option><b>no</b></select><p>Kept</p><template><p>no</p></template></article>",
+        "<head><title>t<body><article><p>Kept</p></article>",
+        "<html><head><title>t</title></head><body><article><svg><title>no</title><text>no</text></svg><p>Kept</p><object>no</object></article>",
+    ],
+)
+def test_html_unclosed_elements_lose_no_text(page):
+    assert html_extract.extract(page, None) == "Kept"
+
+
 def test_words_and_held_out():
     h, d = common.word_hashes(["The the x", None, "THE"])
     assert d.tolist() == [0, 0, 2] and h[0] == h[2] != h[1]
