@@ -6,7 +6,8 @@ A page is folded first (tandem repeats become groups), then wrappers are aligned
 that only one side has becomes optional, and repeats on one side become groups. A slot of the wrapper is constant while all
 pages that have it hold the same text (of a repeated item: the same texts in order), else it varies. Every element of the
 wrapper sums what its slots held: pages, words, words in links. The wrapper then names the host's main element: article or main if the
-host's pages have one outside boilerplate, else the element with most unlinked text under it that isn't boilerplate.
+host's pages have one outside boilerplate, else the lowest element that holds all texts in varying slots that are neither
+boilerplate nor mostly links.
 
 Every page takes part. Wrappers are first merged inside each task, so that a host with most of the pages sends one small
 row a task; they are merged again by host. Extraction matches each whole page with its host's wrapper and gives the blocks of
@@ -28,6 +29,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -286,25 +288,27 @@ def merge(a: dict, b: dict) -> dict:
     return {"items": align(a["items"], b["items"]), "stats": stats}
 
 
-def main_path(stats: dict[str, list]) -> str | None:
-    """Path of the main element: the article or main element with most text, else the deepest element that holds most of the unlinked text."""
+def main_path(stats: dict[str, list], constant: frozenset[str] = frozenset()) -> str | None:
+    """Path of the main element: the article or main element with most text, else the lowest one over all unlinked text but that
+    of the constant paths; empty if only the whole page is over it, None without such text."""
     text: dict[str, float] = {}
+    own: list[str] = []
     for path, (_, n, linked, bad) in stats.items():
         if not bad:
-            parts = path.split("/")
+            parts = path.split("/") if path else []
             for i in range(1, len(parts) + 1):
                 key = "/".join(parts[:i])
                 text[key] = text.get(key, 0) + n - 2 * linked
+            if n > 2 * linked and path not in constant:
+                own.append(path)
     named = [p for p in text if re.match(r"(article|main)(\.|$)", p.rpartition("/")[2])]
     if named:
         top = [p for p in named if not any(p.startswith(q + "/") for q in named)]
         inner = [p for p in named if re.match(r"article(\.|$)", p.rpartition("/")[2]) and text[p] >= 0.7 * max(text[t] for t in top)]
         return max(inner or top, key=lambda p: (text[p], -len(p), p))
-    if not text:
-        return None
-    whole = max(text.values())
-    holders = [p for p, n in text.items() if n >= 0.8 * whole and not re.match(r"(p|li|h\d|td|pre|blockquote)(\.|$)", p.rpartition("/")[2])]
-    return max(holders, key=lambda p: (p.count("/"), p)) if holders else None
+    if not own:
+        return main_path(stats) if constant else None
+    return "/".join(commonprefix([p.split("/") if p else [] for p in own]))
 
 
 def extract(page: str | None, path: str | None, wrapper: str | None = None) -> str:
@@ -316,7 +320,7 @@ def extract(page: str | None, path: str | None, wrapper: str | None = None) -> s
 
     def read(target: str | None, without: set[int]) -> tuple[bool, list[str]]:
         open_path: list[str] = []
-        inside, bad, seen = 0, 0, False
+        inside, bad, seen = int(target == ""), 0, target == ""
         marks: list[tuple[bool, bool]] = []
         blocks: list[str] = []
         words: list[str] = []
@@ -390,8 +394,10 @@ def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
     whole: dict | None = None
     for w in sorted(pdf["wrapper"]):
         whole = json.loads(w) if whole is None else merge(whole, json.loads(w))
-    items = json.dumps(whole["items"]) if any(is_constant(x) for _, x in slots(whole["items"])) else None
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [main_path(whole["stats"])], "expression": [expression(whole["items"])], "items": [items]}, dtype=object)
+    held = list(slots(whole["items"]))
+    items = json.dumps(whole["items"]) if any(is_constant(x) for _, x in held) else None
+    constant = frozenset(p for p, x in held if is_constant(x)) - {p for p, x in held if not is_constant(x)}
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [main_path(whole["stats"], constant)], "expression": [expression(whole["items"])], "items": [items]}, dtype=object)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:

@@ -368,6 +368,21 @@ def test_html_unclosed_elements_lose_no_text(page):
     assert html_extract.extract(page, None) == "Kept"
 
 
+def test_html_main_element_drops_no_part_of_the_article(spark):
+    rng = random.Random(4)
+    parts = [[prose(rng, n) for n in (3, 15, 85)] for _ in range(12)]
+
+    def page(p, around=""):
+        return f"<html><body><ul class='nav'><li><a>Menu</a></li></ul><div class='strip'><a>More here</a></div>{around}<div class='post'><h1>{p[0]}</h1><div class='lead'>{p[1]}</div><div class='body'><p>{p[2]}</p></div></div><footer>Foot</footer></body></html>"
+
+    rows = [(i, f"http://a.example/{i}", page(p)) for i, p in enumerate(parts[:3])]
+    rows += [(100 + i, f"http://b.example/{i}", page(p, "<div class='motto'>All that is new</div>")) for i, p in enumerate(parts)]
+    rows += [(200, "http://c.example/", "<div><p>One</p></div><section>Two</section>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(make(spark, rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join(parts[i]) for i in range(3)) and all(got[100 + i] == "\n".join(p) for i, p in enumerate(parts))
+    assert got[200] == "One\nTwo"
+
+
 def test_words_and_held_out():
     h, d = common.word_hashes(["The the x", None, "THE"])
     assert d.tolist() == [0, 0, 2] and h[0] == h[2] != h[1]
