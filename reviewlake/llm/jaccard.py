@@ -30,8 +30,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reviewlake.llm.common import blocks, cut, lean, mix, shingle_sets, small_side, table
 from reviewlake.llm.components import components, star_forest
@@ -355,8 +357,9 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS, broadcast_rows: int = 100_000, local_edges: int = 500_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+def _linked(docs: DataFrame, k: int, percent: int, block_sets: int, block_tokens: int, broadcast_rows: int, local_edges: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, cls) of every row, and (named_cls, of, component) of the classes of more than one row or with a
+    link: a class that names the component, and the smallest doc_id in it."""
     docs = lean(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = cut(docs.mapInPandas(_classes(k), "doc_id long, n_shingles long, cls long"))
     total, longest = (x or 0 for x in rows.agg(F.sum("n_shingles"), F.max("n_shingles")).first())
@@ -388,23 +391,53 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_set
     odd = whole.join(small_side(found, n_member, broadcast_rows), "cls", "left").filter("copies > 1 or of is not null").withColumn("of", F.coalesce("of", "cls"))
     low = cut(odd.select("cls", "of", "low"))
     least = low.groupBy("of").agg(F.min("low").alias("component"))
-    named = cut(low.join(least, "of").select("cls", "component"))
-    named = small_side(named, named.count(), broadcast_rows).withColumnRenamed("cls", "named_cls")
+    return rows, cut(low.join(least, "of").select(F.col("cls").alias("named_cls"), "of", "component"))
+
+
+def _name(rows: DataFrame, named: DataFrame, broadcast_rows: int) -> DataFrame:
+    named = small_side(named.drop("of"), named.count(), broadcast_rows)
     on = (F.col("cls") == F.col("named_cls")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return rows.join(named, on, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS, broadcast_rows: int = 100_000, local_edges: int = 500_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+    return _name(*_linked(docs, k, percent, block_sets, block_tokens, broadcast_rows, local_edges), broadcast_rows)
+
+
+def _add_classes(k: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            n, cls = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for b, e, h, doc, m in _sets(texts, k):
+                n[b:e], cls[b:e] = m, set_digests(h, doc, m)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(cls)], names=[*batch.schema.names, "n_shingles_", "cls_"])
+
+    return run
+
+
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_rows: int = 100_000) -> DataFrame:
-    """The rows of docs, with all their columns, but for those that link with an earlier one. Of equal rows one stays."""
-    found = jaccard_components(docs, k, percent, broadcast_rows=broadcast_rows)
-    gone = cut(found.filter("component_id != doc_id").select(F.col("doc_id").alias("gone_id")))
-    kept = docs.join(small_side(gone, gone.count(), broadcast_rows), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The rows of docs, with all their columns, but for those that link with another one that stays: of each component one row
+    of the smallest doc_id stays. Rows are told apart by their sets, so an id may stand for several texts; of equal rows
+    without shingles one stays."""
+    rows, named = _linked(docs, k, percent, BLOCK_SETS, BLOCK_TOKENS, broadcast_rows, 500_000)
+    gone = cut(_name(rows, named, broadcast_rows).filter("component_id != doc_id").select(F.col("doc_id").alias("gone_id")))
     again = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id")))
     n = again.count()
+    gone = small_side(gone, gone.count(), broadcast_rows)
     if not n:
-        return kept
+        return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
     same, again = F.col("doc_id") == F.col("again_id"), small_side(again, n, broadcast_rows)
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = docs.join(again, same, "left_anti").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    many = lean(docs.join(again, same, "left_semi"))  # ids of several rows: their texts tell which component each row is of
+    schema = StructType([*many.schema.fields, StructField("n_shingles_", LongType()), StructField("cls_", LongType())])
+    many = cut(many.mapInArrow(_add_classes(k, docs.columns.index("text")), schema))
+    empty = many.filter("n_shingles_ = 0").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    held = many.filter("n_shingles_ > 0").join(small_side(named, named.count(), broadcast_rows), F.col("cls_") == F.col("named_cls"), "left")
+    alone = held.filter("named_cls is null").select(*docs.columns)
+    first = held.filter("doc_id = component").groupBy("of").agg(F.min_by(F.struct(*docs.columns), F.struct("cls_", "text")).alias("row")).select("row.*")
+    return once.unionByName(empty).unionByName(alone).unionByName(first)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,18 @@ def test_jaccard_edges(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 3] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_keep_one_of_each_with_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(1, a), (2, near(a)), (2, b), (3, c), (3, near(c)), (4, d), (4, d.upper()), (5, ""), (5, ""), (5, prose(rng, 9)), (6, near(b)), (None, a), (7, near(d)), (3, near(d) + " x")]
+    kept = jaccard.keep_one_of_each(make(spark, [(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)])).collect()
+    places = sorted(r["n_chars"] for r in kept)
+    # the components are a: 0 1; b: 2 10; c: 3 4; d: 5 6 12 13, whose smallest id is 3
+    assert [p for p in places if p not in (3, 4, 7, 8)] == [0, 2, 9, 11, 13]
+    assert len({3, 4} & set(places)) == len({7, 8} & set(places)) == 1 and len(places) == 7
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(1)
     for percent in (60, 80, 90):
