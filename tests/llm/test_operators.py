@@ -324,6 +324,16 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(1), empty).first()["score"] == 0.0
 
 
+def test_toxicity_learns_beside_long_texts(spark):
+    rng = random.Random(10)
+    text = lambda toxic: " ".join(rng.choice(["scoundrel", "villain"]) if toxic and rng.random() < 0.1 else w for w in prose(rng, 60).split())
+    rows = [(i, text(i % 2), "en", "s", 0) for i in range(200)]
+    first = {r["toxic"]: r["doc_id"] for r in common.smallest_by_hash(spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"), "toxic", {0: 100, 1: 100}, 1).collect()}
+    rows = [(i, " ".join(text(i % 2) for _ in range(200)) if i in first.values() else t, *x) for i, t, *x in rows]
+    model = toxicity.fit_model(make(spark, rows), make(spark, [(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int"), chars=90_000)
+    assert model.fitted and model.score(["alpha beta villain gamma scoundrel delta " * 4])[0] > model.score(["alpha beta gamma delta " * 4])[0]
+
+
 def test_html_extraction(spark):
     def page(body, extra=""):
         return f"<!DOCTYPE html><html><head><title>t</title></head><body><nav><ul><li><a href='/x'>Menu</a></li><li><a>More</a></li></ul></nav>{extra}<div class='content'>{body}</div><aside>Side</aside><div class=comments><p>Reader says</p></div><footer>&copy; Foot</footer></body></html>"
