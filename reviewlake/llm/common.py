@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -18,10 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one is set only where none is (local runs and tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where none is, a temporary one is set in local mode (and
+    removed at exit); on a cluster, whose executors don't see it, that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reviewlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="reviewlake-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -32,7 +41,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def lean(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
-    """df, after its session's Arrow batches are bounded in rows and bytes (if larger), so that a Python worker holds few texts at once."""
+    """df, after its session's Arrow batches are bounded in rows and bytes, so that a Python worker holds few texts at once. The
+    settings hold when the query runs, so they stay; row bounds that are smaller already are kept."""
     conf = df.sparkSession.conf
     now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if now <= 0 or now > rows:
@@ -41,6 +51,14 @@ def lean(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
     return df
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """name, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame, rows: int | None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a side whose row count was measured; other sides are shuffled, adaptively split if skewed."""
     return F.broadcast(df) if rows is not None and rows <= bound else df
@@ -160,7 +178,7 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
             continue
         m = len(h) - width + 1
         ok = (doc[:m] == doc[width - 1 :]) & pick[doc[:m]]
-        total = np.full(m, np.uint64(width) * _MULT[7])
+        total = np.full(m, np.uint64(width * int(_MULT[7]) % 2**64))
         for i in range(width):
             total += mix(h[i : i + m] + np.uint64(i)) * _MULT[i % 7]
         out.append(mix(total[ok]))

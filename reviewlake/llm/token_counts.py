@@ -7,13 +7,17 @@ every document is truncated to L. Lengths between two rows of the histogram foll
 Suffix sums are taken inside blocks of lengths, then shifted by the sums of the blocks above; a block holds at most
 BLOCK lengths and there is one small row a block, so no task gets the whole histogram of a large corpus.
 
-Defined results: null and empty texts have 0 tokens; strings of special tokens in a text are ordinary text; repeated rows
+Runs of LONG_SPACE or more white-space characters, which the pattern's look-ahead can't take in one go, are cut where the
+pattern cuts them and encoded as the single pieces that they are, so texts of any length give their exact count.
+
+Defined results: null and empty texts have 0 tokens; very long texts and runs of white space count in full; strings of special tokens in a text are ordinary text; repeated rows
 and rows with null ids count; extra columns are ignored; an empty table gives an empty histogram.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import table
+from reviewlake.llm.common import lean, table
 
 #: Default vocabulary; a parameter. The file must be readable on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that goes with the vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 4096
+LONG_SPACE = 4096
+#: White space as the pattern's \s understands it (Unicode White_Space; fixed values).
+_SPACE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 _encoders: dict = {}
 
 
@@ -42,11 +49,23 @@ def encoder(path: str, pattern: str = PATTERN):
     return _encoders[path, pattern]
 
 
+def count_tokens(text: str | None, path: str = VOCABULARY, pattern: str = PATTERN) -> int:
+    """Tokens of a whole text. A run of white space is a piece of its own up to its last character, which goes with what follows
+    (PATTERN); other patterns must cut white space alike."""
+    if not text:
+        return 0
+    coder, total, at = encoder(path, pattern), 0, 0
+    for m in _SPACE_RUN.finditer(text) if len(text) >= LONG_SPACE else ():
+        end = m.end() - (m.end() < len(text))
+        total += len(coder.encode_ordinary(text[at : m.start()])) + len(coder._encode_single_piece(text[m.start() : end]))
+        at = end
+    return total + len(coder.encode_ordinary(text[at:] if at else text))
+
+
 def _lengths(path: str, pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path, pattern).encode_ordinary
         for pdf in batches:  # counted a batch at a time: what leaves is a histogram
-            n, docs = np.unique(np.array([len(encode(t)) if t else 0 for t in pdf["text"]], np.int64), return_counts=True)
+            n, docs = np.unique(np.array([count_tokens(t, path, pattern) for t in pdf["text"]], np.int64), return_counts=True)
             yield pd.DataFrame({"n_tokens": n, "docs": docs.astype(np.int64)})
 
     return run
@@ -54,7 +73,7 @@ def _lengths(path: str, pattern: str):
 
 def length_histogram(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens, n_docs): how many rows of docs(text) have each encoded length."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_lengths(path, pattern), "n_tokens long, docs long")
+    counted = lean(docs).select(F.col("text").cast("string").alias("text")).mapInPandas(_lengths(path, pattern), "n_tokens long, docs long")
     return counted.groupBy("n_tokens").agg(F.sum("docs").alias("n_docs"))
 
 
@@ -86,7 +105,7 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, truncated_total, docs_over) for any limits, from suffix_sums()."""
+    """(context_limit, truncated_total, docs_over) for any limits, from suffix_sums(). Work is limits times lengths: for lists of limits, not for a limit a row."""
     given = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
     # the shortest length above the limit holds all that lie above it
     after = F.broadcast(given).join(sums, F.col("n_tokens") > F.col("context_limit"), "left")
@@ -97,7 +116,7 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantile_lengths(sums: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, n_tokens): the shortest length that the share of documents doesn't exceed."""
+    """(share, n_tokens): the shortest length that the share of documents doesn't exceed. For lists of shares, as truncated_totals."""
     given = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
     return F.broadcast(given).join(sums, F.col("quantile") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
 
