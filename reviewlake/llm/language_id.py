@@ -4,13 +4,15 @@ Fitting takes a bounded sample of labelled texts a language (SAMPLE_TEXTS, the s
 those outside the held-out part), counts the character n-grams of each language, and keeps each language's GRAMS most
 frequent ones, weighted against the other languages so that marks of one language come first. The n-grams go into one
 bit-sliced Bloom filter: SLOTS slots of one bit a language. Setting an n-gram sets the language's bit in HASHES slots;
-a look-up ANDs the masks of an n-gram's slots and returns all languages that (seem to) contain it.
+a look-up ANDs the masks of an n-gram's slots and returns all languages that (seem to) contain it. A mask has as many 64-bit
+words as the languages need.
 
 A whole text is judged by its n-grams' masks: each language's bit is counted (per-language popcount), the false positives
 expected from that language's filled slots are subtracted, and the language with the highest corrected count wins; score is
-the share of the text's n-grams that it accounts for. Texts are read in pieces, so very long ones need no more memory.
+the share of the text's n-grams that it accounts for. Very long texts are read in pieces that end where a word ends, so
+they need no more memory and lose no n-gram.
 
-The filter is of fixed size (SLOTS masks of 8 bytes, at most 64 languages) whatever the corpus.
+The filter's size (2 MB for every 64 languages) and the sample depend on the number of languages, not on the corpus.
 
 Defined results: null text or no letter: `und` and score 0; ties go to the more frequent language, then the smaller name;
 no labelled rows: `und`; a text whose n-grams no filter knows gets the most frequent language with score 0; rows with a
@@ -59,32 +61,48 @@ def grams(text: str) -> Iterator[np.ndarray]:
         yield mix(total), ok
 
 
+def pieces(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges of a text of PIECE characters and the rest of the word there."""
+    begin = 0
+    while begin < len(text):
+        end = min(len(text), begin + PIECE)
+        while end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+            end += 1
+        yield begin, end
+        begin = end
+
+
 @dataclass
 class Filter:
-    """A fitted filter: languages by frequency of their labels, masks of the slots, false-positive rates."""
+    """A fitted filter: languages by frequency of their labels, masks of the slots (a row for every 64 languages), false-positive rates."""
 
     languages: list[str]
-    masks: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, np.uint64))
+    slot_count: int = SLOTS
+    masks: np.ndarray = field(init=False)
     false_rate: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def __post_init__(self):
+        self.masks = np.zeros((-(-len(self.languages) // 64), self.slot_count), np.uint64)
+
     def slots(self, h: np.ndarray) -> list[np.ndarray]:
-        bits = int(len(self.masks)).bit_length() - 1
-        return [((h >> np.uint64(bits * i)) & np.uint64(len(self.masks) - 1)).astype(np.int64) for i in range(HASHES)]
+        bits = self.slot_count.bit_length() - 1
+        return [((h >> np.uint64(bits * i)) & np.uint64(self.slot_count - 1)).astype(np.int64) for i in range(HASHES)]
 
     def add(self, language: int, h: np.ndarray) -> None:
         for s in self.slots(h):
-            np.bitwise_or.at(self.masks, s, np.uint64(1 << language))
+            self.masks[language // 64, s] |= np.uint64(1 << language % 64)
 
     def close(self) -> "Filter":
-        fill = [np.count_nonzero(self.masks & np.uint64(1 << i)) / len(self.masks) for i in range(len(self.languages))]
+        fill = [np.count_nonzero(self.masks[i // 64] & np.uint64(1 << i % 64)) / self.slot_count for i in range(len(self.languages))]
         self.false_rate = np.array(fill) ** HASHES
         return self
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
+        """The masks of n-grams: a row for every 64 languages."""
         first, *rest = self.slots(h)
-        found = self.masks[first]
+        found = self.masks[:, first]
         for s in rest:
-            found &= self.masks[s]
+            found &= self.masks[:, s]
         return found
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -99,7 +117,7 @@ class Filter:
                     group.append(k)
                     size += len(texts[k])
                 k += 1
-            parts = [(i, texts[i][s : s + PIECE]) for i in group for s in range(0, len(texts[i]), PIECE)]
+            parts = [(i, texts[i][s:e]) for i in group for s, e in pieces(texts[i])]
             runs = [parts] if size <= PIECE else [[p] for p in parts]
             for run in runs:
                 if not run:
@@ -112,7 +130,7 @@ class Filter:
                     owner = np.clip(np.searchsorted(begin, at + 1, side="right") - 1, 0, len(run) - 1)
                     total += np.bincount(np.array([p[0] for p in run])[owner], minlength=n)
                     for i in range(len(self.languages)):
-                        hit = (mask >> np.uint64(i)) & np.uint64(1) == 1
+                        hit = (mask[i // 64] >> np.uint64(i % 64)) & np.uint64(1) == 1
                         hits[i] += np.bincount(np.array([p[0] for p in run])[owner[hit]], minlength=n)
         if not self.languages:
             return ["und"] * n, np.zeros(n)
@@ -127,7 +145,7 @@ class Filter:
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, part in pdf.groupby("lang"):
-            parts = [np.unique(h[ok], return_counts=True) for t in part["text"] for s in range(0, len(t), PIECE) for h, ok in grams(t[s : s + PIECE])]
+            parts = [np.unique(h[ok], return_counts=True) for t in part["text"] for s, e in pieces(t) for h, ok in grams(t[s:e])]
             if parts:
                 h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.bincount(at, weights=np.concatenate([p[1] for p in parts]))
@@ -135,14 +153,14 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit_filter(labelled: DataFrame, texts: int = SAMPLE_TEXTS, keep: int = GRAMS) -> Filter:
-    """The filter of labelled(doc_id, text, lang). Reads at most texts rows a language; what the driver gets is at most 64 * keep n-grams."""
+    """The filter of labelled(doc_id, text, lang). Reads at most texts rows a language; the driver gets at most keep n-grams a language."""
     labelled = labelled.filter("text is not null and lang is not null and doc_id is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in sizes]
     if not languages:
         return Filter([]).close()
     chosen = smallest_by_hash(labelled, "lang", {r["lang"]: r["count"] for r in sizes}, texts).select("doc_id", "lang")
-    # at most 64 * texts ids
+    # at most texts ids a language
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     counts = sample.mapInPandas(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     whole = counts.groupBy("lang").agg(F.sum("n").alias("whole"))
