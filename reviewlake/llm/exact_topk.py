@@ -4,11 +4,13 @@ Vectors become integers floor(256 * x); a term is a dimension, a posting a row's
 blocks of candidates and blocks of queries; a task gets one block of each. There, for every term, the query rows scatter
 their weight times the term's postings into dense score arrays; a partition selection takes each query's k best, and the
 best of all candidate blocks are merged. Work is queries times rows by nature; no task holds more than two blocks, and a
-query sends on k rows a candidate block.
+query sends on k rows a candidate block. A row travels once for every QUERY_BLOCK queries, in integers as small as its
+block allows.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows with a null id;
 an empty vector scores 0 with all; missing components of shorter vectors count 0; of rows with equal ids and different
-vectors the smallest vector stands; ties go to the smaller id; extra columns are ignored. Scores are 64-bit integers.
+vectors the smallest vector stands; ties go to the smaller id; extra columns are ignored. Components and scores beyond 64-bit
+integers are set to the nearest one (sums that could pass them are taken exactly first).
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 
 from reviewlake.llm.common import table
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 16384, 8192
 #: Query rows whose score arrays are held at once.
 STRIPE = 64
-PAIR = "qb long, cb long, side int, ids binary, dims int, body binary"
+PAIR = "qb long, cb long, side int, ids binary, dims int, width int, body binary"
 
 
 def _pack(side: int, others: int, size: int):
@@ -41,9 +43,11 @@ def _pack(side: int, others: int, size: int):
                     body = np.zeros((len(vecs), dims), np.int64)
                     for i, v in enumerate(vecs):
                         body[i, : len(v)] = v
+                    most = max(int(body.max(initial=0)), -1 - int(body.min(initial=0)))
+                    body = body.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(k).max))
                     ids = rows["vec_id"].to_numpy(np.int64).tobytes()
                     keys = [(block, j) if side == 0 else (j, block) for j in range(others)]
-                    yield pd.DataFrame([(q, c, side, ids, dims, body.tobytes()) for q, c in keys], columns=["qb", "cb", "side", "ids", "dims", "body"])
+                    yield pd.DataFrame([(q, c, side, ids, dims, body.itemsize, body.tobytes()) for q, c in keys], columns=["qb", "cb", "side", "ids", "dims", "width", "body"])
 
     return run
 
@@ -52,10 +56,10 @@ def _load(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids and matrix of the packed rows of one side, in order of id."""
     dims = int(pdf["dims"].max())
     ids, mats = [], []
-    for i, d, b in zip(pdf["ids"], pdf["dims"], pdf["body"]):
+    for i, d, w, b in zip(pdf["ids"], pdf["dims"], pdf["width"], pdf["body"]):
         one = np.frombuffer(i, np.int64)
         mat = np.zeros((len(one), dims), np.int64)
-        mat[:, :d] = np.frombuffer(b, np.int64).reshape(len(one), d)
+        mat[:, :d] = np.frombuffer(b, f"i{w}").reshape(len(one), d)
         ids.append(one)
         mats.append(mat)
     at = np.concatenate(ids)
@@ -66,6 +70,10 @@ def _load(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def best_of(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k best candidates (query id, id, score) by term-at-a-time accumulation; c_ids ascend."""
     dims = min(q.shape[1], c.shape[1])
+    most = [max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0)))) for m in (q, c)]
+    bound = dims * most[0] * most[1]  # of any score
+    kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
+    q, c = q.astype(kind), c.astype(kind)
     postings = []
     for t in range(dims):
         at = np.flatnonzero(c[:, t])
@@ -73,17 +81,20 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     out_q, out_c, out_s = [], [], []
     for s in range(0, len(q), STRIPE):
         part = q[s : s + STRIPE]
-        scores = np.zeros((len(part), len(c)), np.int64)
+        scores = np.zeros((len(part), len(c)), kind)
         for t, (at, weights) in enumerate(postings):
-            for i in np.flatnonzero(part[:, t]):
-                scores[i, at] += part[i, t] * weights
+            rows = np.flatnonzero(part[:, t])
+            scores[rows if isinstance(at, slice) else np.ix_(rows, at)] += part[rows, t][:, None] * weights
+        if kind is object:
+            scores = np.clip(scores, -(2**63), 2**63 - 1)
+        scores = scores.astype(np.int64)
         for i, row in enumerate(scores):
             own = q_ids[s + i]
             others = np.flatnonzero(c_ids != own)
             if len(others) > k:
                 low = np.partition(row[others], len(others) - k)[len(others) - k]
                 others = others[row[others] >= low]
-                others = others[np.argsort(-row[others], kind="stable")[:k]]  # ids ascend: ties to the smaller
+                others = others[np.argsort(~row[others], kind="stable")[:k]]  # ids ascend: ties to the smaller
             out_q.append(np.full(len(others), own))
             out_c.append(c_ids[others])
             out_s.append(row[others])
