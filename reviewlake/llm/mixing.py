@@ -4,11 +4,13 @@ A source that holds n of N characters and shall hold the share w of the mix has
 row draws its number of copies from a Poisson distribution with that mean, by inverting the distribution at a uniform
 number hashed from seed and doc_id; so a rerun or a lost executor changes nothing. A mean above MEAN_STEP is drawn as the
 sum of independent parts of at most MEAN_STEP. Rows are exploded by their counts and shuffled globally: dealt to
-partitions by a hash key of the copy and sorted by it there. The hot source only adds rows to a map-side sum.
+partitions by a hash key of id, text and copy, and sorted by it there, so that rows without an id or of a repeated one
+spread as others do. The hot source only adds rows to a map-side sum.
 
 Defined results: a null source is a source of its own; null and empty texts count 0 characters and follow their source's
-rate; a source without characters has rate 1; a source that given weights lack has rate 0; rows with equal doc_id (or
-null, taken as '') draw alike; extra columns pass through unless named like the added ones, which replace them.
+rate; a source without characters has rate 1; a source that given weights lack has rate 0; rows with equal doc_id draw
+alike, those with a null one by their text (rows equal in both share key and partition); extra columns pass through unless
+named like the added ones, which replace them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import BROADCAST_ROWS, small_side, table
+from reviewlake.llm.common import BROADCAST_ROWS, free_name, small_side, table
 
 MEAN_STEP = 16.0
 #: Terms of the distribution function; beyond them the tail of a mean of 16 is under 1e-26.
@@ -45,21 +47,22 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, expone
     """docs, each row as often as drawn, with n_copies, copy (from 0) and shuffle_key, in global random order."""
     docs = docs.drop(*ADDED)
     rates = source_rates(docs, weights, exponent, budget)
+    own, parts, cdf = (free_name(docs.columns, x) for x in ("mix_source", "mix_parts", "mix_cdf"))
     log_factorials = ", ".join(f"{math.lgamma(k + 1)!r}D" for k in range(TERMS))
     rates = (
         rates.withColumn("mix_parts", F.expr(f"greatest(1L, cast(ceil(rate / {MEAN_STEP}D) as bigint))"))
         .withColumn("mix_mean", F.expr("rate / mix_parts"))
         .withColumn("mix_terms", F.expr(f"transform(array({log_factorials}), (f, k) -> case when mix_mean > 0 then exp(k * ln(mix_mean) - mix_mean - f) when k = 0 then 1D else 0D end)"))
         .withColumn("mix_cdf", F.expr(f"transform(sequence(1, {TERMS}), k -> aggregate(slice(mix_terms, 1, k), 0D, (a, t) -> a + t))"))
-        .select("mix_source", "mix_parts", "mix_cdf")
+        .select(F.col("mix_source").alias(own), F.col("mix_parts").alias(parts), F.col("mix_cdf").alias(cdf))
     )
-    id_text = "coalesce(cast(doc_id as string), '')"
+    id_text = "coalesce(cast(doc_id as string), concat('~', md5(coalesce(text, ''))))"
     uniform = f"cast(conv(substr(md5(concat('{seed}|', {id_text}, '|', cast(i as string))), 1, 13), 16, 10) as bigint) / 4503599627370496D"
-    joined = docs.join(small_side(rates, rates.count(), broadcast_rows), F.col("source").eqNullSafe(F.col("mix_source")))
-    drawn = joined.withColumn("n_copies", F.expr(f"aggregate(transform(sequence(1L, mix_parts), i -> {uniform}), 0L, (a, u) -> a + size(filter(mix_cdf, c -> c <= u)))"))
-    drawn = drawn.drop("mix_source", "mix_parts", "mix_cdf").filter("n_copies > 0")
+    joined = docs.join(small_side(rates, rates.count(), broadcast_rows), F.col("source").eqNullSafe(F.col(own)))
+    drawn = joined.withColumn("n_copies", F.expr(f"aggregate(transform(sequence(1L, {parts}), i -> {uniform}), 0L, (a, u) -> a + size(filter({cdf}, c -> c <= u)))"))
+    drawn = drawn.drop(own, parts, cdf).filter("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.expr("sequence(0L, n_copies - 1)")))
-    keyed = copies.withColumn("shuffle_key", F.expr(f"cast(conv(substr(md5(concat('{seed}#', {id_text}, '#', cast(copy as string))), 1, 15), 16, 10) as bigint)"))
+    keyed = copies.withColumn("shuffle_key", F.expr(f"cast(conv(substr(md5(concat('{seed}#', {id_text}, '#', md5(coalesce(text, '')), '#', cast(copy as string))), 1, 15), 16, 10) as bigint)"))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
@@ -77,9 +80,9 @@ r AS (SELECT source, CASE WHEN n > 0 THEN ((SELECT sum(n) FROM n) / (SELECT sum(
 p AS (SELECT source, rate, greatest(1, ceil(rate / 16.0))::BIGINT AS parts FROM r),
 t AS (SELECT source, parts, k, exp(k * ln(rate / parts) - rate / parts - lgamma(k + 1)) AS term FROM p, range(0, 81) AS g(k)),
 c AS (SELECT source, parts, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS cdf FROM t),
-u AS (SELECT d.doc_id, d.source, d.text, i, ('0x' || substr(md5('42|' || coalesce(d.doc_id::VARCHAR, '') || '|' || i::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+u AS (SELECT d.doc_id, d.source, d.text, i, ('0x' || substr(md5('42|' || coalesce(d.doc_id::VARCHAR, '~' || md5(coalesce(d.text, ''))) || '|' || i::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, p.parts + 1)) AS i)),
 m AS (SELECT u.doc_id, u.source, any_value(u.text) AS text, count(c.k) AS n_copies FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.u GROUP BY u.doc_id, u.source)
-SELECT doc_id, source, n_copies, copy, ('0x' || substr(md5('42#' || coalesce(doc_id::VARCHAR, '') || '#' || copy::VARCHAR), 1, 15))::BIGINT AS shuffle_key, text
+SELECT doc_id, source, n_copies, copy, ('0x' || substr(md5('42#' || coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, ''))) || '#' || md5(coalesce(text, '')) || '#' || copy::VARCHAR), 1, 15))::BIGINT AS shuffle_key, text
 FROM m, LATERAL (SELECT unnest(range(0, n_copies)) AS copy)"""
 }
