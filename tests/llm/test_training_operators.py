@@ -142,6 +142,84 @@ def test_secret_base_spans_match_brute_force(spark):
     assert secret_scan.scan_secrets(make(spark, [], "doc_id long, text string")).count() == 0
 
 
+def brute_battery(token):
+    """(accepted as random, p-value of being text) by plain Python."""
+    t = token.rstrip("=")
+    kind = next(k for k, p in zip(secret_scan.ALPHABETS, ("[0-9a-f]+", "[0-9A-F]+", "[A-Z2-7]+", "[a-z0-9]+", "[A-Z0-9]+", "[A-Za-z0-9]+", "[A-Za-z0-9+/]+", ".*")) if re.fullmatch(p, t))
+    alphabet = secret_scan.ALPHABETS[kind]
+    a, n, codes = len(alphabet), len(t), [max(alphabet.find(c), 0) for c in t]
+    pairs = sum(x == y for i, x in enumerate(codes) for y in codes[:i])
+    mean, low = sum(codes) / n, sum(c < a / 2 for c in codes)
+    runs = 1 + sum((x < a / 2) != (y < a / 2) for x, y in zip(codes, codes[1:]))
+    e_runs = 1 + 2 * low * (n - low) / n
+    v_runs = (e_runs - 1) * (e_runs - 2) / (n - 1)
+    spread = sum((c - mean) ** 2 for c in codes)
+    two_sided = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    p = [two_sided((runs - e_runs) / math.sqrt(v_runs)) if v_runs > 0 else 0, two_sided((sum((x - mean) * (y - mean) for x, y in zip(codes, codes[1:])) / spread + 1 / n) / math.sqrt((n - 2) ** 2 / (n * n * (n - 1)))) if spread else 0]
+    if n <= secret_scan.EXACT:
+        uniform = pairs < secret_scan.critical_pairs(a)[n - 1]
+    else:  # Wilson-Hilferty on the scaled statistic
+        x, f = a / n * (2 * pairs + n) - n, (a - 1) * n / (n - 1)
+        uniform = ((x * n / (n - 1) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f)) < 3.4029326
+    freq = [f for f, c in zip(secret_scan.LETTERS, "abcdefghijklmnopqrstuvwxyz") if c in alphabet.lower()]
+    k2, k3 = (sum((f / sum(freq)) ** e for f in freq) for e in (2, 3))
+    every = n * (n - 1) / 2
+    z = (k2 * every - pairs) / math.sqrt(every * k2 * (1 - k2) + n * (n - 1) * (n - 2) * (k3 - k2 * k2))
+    return uniform and min(p) >= secret_scan.LEVEL / 3, math.erfc(z / math.sqrt(2)) / 2
+
+
+def test_secret_battery_matches_brute_force(spark):
+    rng = random.Random(13)
+    tokens = []
+    for i in range(1000):
+        alphabet = rng.choice(list(secret_scan.ALPHABETS.values()))
+        n = rng.choice([20, 23, 30, 44, 64, 100, 140, 300])
+        word = "".join(rng.choice(alphabet if i % 3 else alphabet[: rng.randint(1, len(alphabet))]) for _ in range(n))
+        tokens.append((i, "".join(c * rng.choice([1, 1, 1, 2]) for c in word) + "=" * (i % 4 // 3)))
+    got = secret_scan._with_tests(make(spark, tokens, "doc_id int, body string"), "body").select("doc_id", "random", F.expr(secret_scan._normal_tail("z_text")).alias("p"), "bin", "band").collect()
+    said = Counter()
+    for r in got:
+        ok, p = brute_battery(tokens[r["doc_id"]][1])
+        assert r["random"] == ok and r["p"] == pytest.approx(p, rel=1e-5, abs=1e-290) and abs(r["bin"] - min(300, -10 * math.log10(p))) < 1.001
+        said[ok] += 1
+    assert len(got) == 1000 and min(said.values()) > 100
+
+
+def test_critical_pairs_are_exact():
+    import itertools
+
+    for cells, n in ((2, 9), (3, 7), (4, 6)):
+        pairs = [sum(c * (c - 1) // 2 for c in Counter(x).values()) for x in itertools.product(range(cells), repeat=n)]
+        for chance in (0.3, 0.05, 0.004):
+            want = next(k for k in range(n * n) if sum(p >= k for p in pairs) <= chance * len(pairs))
+            assert secret_scan.critical_pairs(cells, n, chance)[n - 1] == want
+
+
+def test_secret_random_spans_keep_apart_from_base_spans(spark):
+    rng = random.Random(14)
+    chars = secret_scan.ALPHABETS["base62"]
+    token = lambda: "".join(rng.choice(chars) for _ in range(60)) + "9"
+    texts = [" ".join(rng.choice([token(), f"token={token()}", "plain words", f"secret: x+{token()}+y", "0123456789abcdef01234567"]) for _ in range(rng.randrange(60))) for _ in range(12)]
+    rows = [(i, t, "x", None, len(t), "user") for i, t in enumerate(texts)] + [(50, None, None, None, None, None)]
+    docs = make(spark, rows, "doc_id long, text string, base_spans string, all_ string, n_chars long, ALL_SPANS string")  # clashing names
+    accepted = {5: 0}
+    got = {r["doc_id"]: [(x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in r["spans"].split(",") if x] for r in secret_scan.scan_secrets(docs, accepted).collect()}
+    assert sum(x[0] == "random" for s in got.values() for x in s) > 40 and got[50] == []
+    for i, t in enumerate(texts):
+        base = [(m[1], m[2]) for m in got[i] if m[0] != "random"]
+        free = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}", t) if not any(s < m.end() and m.start() < e for s, e in base) and 32 <= len(m.group().rstrip("=")) < 64 and brute_battery(m.group())[0] and brute_battery(m.group())[1] <= 1]
+        assert [(s, e) for k, s, e in got[i] if k == "random"] == free and got[i] == sorted(got[i], key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+    red = {r["doc_id"]: r for r in secret_scan.redact_secrets(docs, "#", accepted).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for _, s, e in got[i]:
+            if s >= at:
+                out += t[at:s] + "#"
+            at = max(at, e)
+        assert red[i]["text"] == out + t[at:] and red[i]["base_spans"] == "x" and red[i]["ALL_SPANS"] == "user" and red[i]["n_chars"] == len(red[i]["text"])
+    assert red[50]["text"] is None
+
+
 def test_secret_battery_adds_random_tokens_and_redacts(spark):
     rng = random.Random(3)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -165,11 +243,12 @@ def test_mixing_matches_inverted_poisson(spark):
         size[r[3]] += len(r[1] or "")
     total, root = sum(size.values()), sum(math.sqrt(n) for n in size.values())
     want = Counter()
-    for i, _, _, source, _ in rows:
+    for i, text, _, source, _ in rows:
+        own = str(i) if i is not None else "~" + hashlib.md5((text or "").encode()).hexdigest()
         rate = total / root * math.sqrt(size[source]) / size[source] if size[source] else 1.0
         parts = max(1, math.ceil(rate / 16))
         for p in range(1, parts + 1):
-            u = int(hashlib.md5(f"42|{'' if i is None else i}|{p}".encode()).hexdigest()[:13], 16) / 2**52
+            u = int(hashlib.md5(f"42|{own}|{p}".encode()).hexdigest()[:13], 16) / 2**52
             k, cdf = 0, math.exp(-rate / parts)
             while cdf <= u and k < 81:
                 k += 1
@@ -181,6 +260,15 @@ def test_mixing_matches_inverted_poisson(spark):
     assert {r[0] for r in only} <= {"hot", "empty"}
 
 
+def test_mixing_spreads_rows_without_ids_and_keeps_clashing_columns(spark):
+    rows = [(None if i < 400 else 7, f"text {i}", i, "hot", "s", 0.5, "c", "old") for i in range(600)]
+    docs = make(spark, rows, "doc_id long, text string, mix_source long, source string, mix_parts string, mix_cdf double, Mix_Own string, copy string")
+    got = mixing.mix_sources(docs, weights={"hot": 1.0}, budget=4.0 * sum(len(r[1]) for r in rows))
+    assert got.columns == ["doc_id", "text", "mix_source", "source", "mix_parts", "mix_cdf", "Mix_Own", "n_copies", "copy", "shuffle_key"]
+    held = got.collect()
+    assert 1200 < len({(r["mix_source"], r["copy"]) for r in held}) == len(held) and len({r["shuffle_key"] for r in held}) == len(held)
+
+
 def test_token_counts(spark):
     texts = [None, "", "hello world", "hello world", "<|endoftext|> x", "a " * 500, "é" * 50]
     docs = make(spark, [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -197,6 +285,18 @@ def test_token_counts(spark):
     assert token_counts.suffix_sums(token_counts.length_histogram(make(spark, []))).count() == 0
 
 
+def test_token_counts_of_long_white_space(spark):
+    rng = random.Random(15)
+    encode = token_counts.encoder(token_counts.VOCABULARY).encode_ordinary
+    space = " \t\n\r\x0b\x0c\x85\xa0\u2003\u3000"
+    for _ in range(30):  # runs about the limit, at which the whole encoder still works
+        text = "".join(rng.choice(["word", "don't", "12", "!?", "\x1c", ""]) + "".join(rng.choice(space[: rng.randint(1, 10)]) for _ in range(rng.choice([1, 2, token_counts.LONG_SPACE - 1, token_counts.LONG_SPACE, 6000]))) for _ in range(4)) + rng.choice(["", "end"])
+        assert token_counts.count_tokens(text) == len(encode(text))
+    assert token_counts.count_tokens(" " * 10_000_000 + "x") == 10_000_000
+    docs = make(spark, [(1, "a" + "\n" * 2_000_000, 1), (2, None, 2), (3, "a b", 3)], "doc_id long, text string, n_tokens int")
+    assert {r["n_tokens"]: r["docs_ge"] for r in token_counts.suffix_sums(token_counts.length_histogram(docs)).collect()} == {0: 3, 2: 2, 1 + len(encode("\n" * 4000)) * 500: 1}
+
+
 def test_exact_topk(spark):
     rng = random.Random(4)
     rows = [(i, [rng.choice([0.0, 0.5, -0.25, 0.125]) for _ in range(rng.choice([4, 6]))]) for i in range(220)]
@@ -217,6 +317,22 @@ def test_exact_topk(spark):
     assert exact_topk.exact_topk(make(spark, [(50, [1.0])], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_exact_topk_with_large_components(spark):
+    rng = random.Random(16)
+    size = [1e-3, 1.0, 1e4, 1e8, 1e16, 1e300]
+    rows = [(i, [rng.choice(size) * rng.uniform(-1, 1) for _ in range(5)]) for i in range(120)]
+    rows += [(200 + i, list(rows[i][1])) for i in range(10)]  # ties
+    got = [tuple(r) for r in exact_topk.exact_topk(make(spark, rows, "vec_id long, embedding array<double>"), query_block=2, candidate_block=50).collect()]
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
+    clean = {i: [held(math.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in clean:
+        if q % 50 == 0:
+            scored = sorted((-held(sum(a * b for a, b in zip(clean[q], v))), i) for i, v in clean.items() if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    assert sorted(got) == sorted(want)
+
+
 def test_substring_dedup(spark):
     passage = "This opening sentence has six words. Another one follows it here at once. A third completes the shared passage. And the fourth one ends it all."
     clean = "Nothing here repeats anywhere else. It is a clean text. Really."
@@ -303,6 +419,53 @@ def test_language_id(spark):
     assert language_id.predict_language(make(spark, asked[:1]), nothing).first()["lang_pred"] == "und"
 
 
+def plain_grams(text):
+    """The n-grams of a text by plain Python, with repeats."""
+    held = "".join(c if c.isalpha() else " " for c in text.lower())
+    for word in held.split():
+        for w in language_id.WIDTHS:
+            padded = f" {word} "
+            yield from (padded[i : i + w] for i in range(len(padded) - w + 1))
+
+
+def test_language_id_matches_plain_sets(spark):
+    rng = random.Random(17)
+    names = [f"l{k:02}" for k in range(70)]  # more than one word of a mask
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéñçøåłşğ"
+    vocab = {n: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(25)] for n in names}
+    text = lambda n, k: " ".join(rng.choice(vocab[n]) + rng.choice(["", ".", ",", " 7"]) for _ in range(k))
+    rows = [(i, text(names[i % 70], 30), names[i % 70], "s", 0) for i in range(700)]
+    model = language_id.fit_filter(make(spark, rows).select("doc_id", "text", "lang"))
+    assert model.languages == names and model.masks.shape[0] == 2
+    counts = {n: Counter(g for r in rows if r[2] == n for g in plain_grams(r[1])) for n in names}
+    rates = {n: {g: c / counts[n].total() for g, c in counts[n].items()} for n in names}
+    most = Counter()
+    for n in names:
+        most |= Counter(rates[n])
+    sets = {n: {g for g, c in counts[n].items() if c >= 2 and rates[n][g] >= 0.5 * most[g]} for n in names}
+    asked = [(i, text(n, rng.randint(1, 40)), None, "s", 0) for i, n in enumerate(names * 3)] + [(900, " ".join(text(n, 9) for n in names), "l00", "s", 0)]
+    got = {r[0]: (r[1], r[2]) for r in language_id.predict_language(make(spark, asked), model).collect()}
+    sure = 0
+    for i, t, *_ in asked:
+        grams = list(plain_grams(t))
+        share = sorted(((sum(g in sets[n] for g in grams) / len(grams), n) for n in names), reverse=True)
+        assert abs(got[i][1] - share[0][0]) < 0.02
+        if share[0][0] - share[1][0] > 0.02:
+            sure += 1
+            assert got[i][0] == share[0][1]
+    assert sure > 180
+
+
+def test_language_pieces_lose_no_gram(monkeypatch):
+    rng = random.Random(18)
+    text = " ".join(prose(rng, 1) for _ in range(200)) + " " + "x" * 90 + "."
+    whole = Counter(np.concatenate([h[ok] for h, ok in language_id.grams(text)]).tolist())
+    monkeypatch.setattr(language_id, "PIECE", 40)
+    cuts = list(language_id.pieces(text))
+    assert "".join(text[s:e] for s, e in cuts) == text and len(cuts) > 20
+    assert Counter(x for s, e in cuts for h, ok in language_id.grams(text[s:e]) for x in h[ok].tolist()) == whole
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     bad = ["scoundrel", "villain", "wretch"]
