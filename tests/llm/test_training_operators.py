@@ -346,6 +346,52 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup_substrings(make(spark, [])).count() == 0
 
 
+def brute_sentences(text):
+    """(words, text with the white space behind it) of each sentence, by plain Python."""
+    out, ends = [], True
+    for m in re.finditer(r"([^ \t-\r]+)([ \t-\r]*)", text):
+        if ends:
+            out.append([[], ""])
+        out[-1][0].append(re.sub("[A-Z]", lambda x: x.group(0).lower(), m.group(1)))
+        out[-1][1] += m.group(0)
+        ends = m.group(1)[-1] in ".!?" or "\n" in m.group(2)
+    return out
+
+
+@pytest.mark.parametrize("span,least", [(substring_dedup.SPAN, substring_dedup.MIN_WORDS), (3, 0), (1, 9)])
+def test_substring_dedup_matches_brute_force(spark, span, least):
+    rng = random.Random(19)
+    pool = [prose(rng, rng.randint(1, 14)) + rng.choice([".", "!", "?", "\n", ".\n\n", " \t", "\r\n", ". "]) for _ in range(40)]
+    texts = []
+    for _ in range(70):
+        at = [rng.randrange(len(pool)) for _ in range(rng.randint(0, 4))]
+        texts.append(rng.choice(["", " ", "\n"]) + " ".join("".join(pool[k : k + rng.randint(1, 6)]) if rng.random() < 0.7 else prose(rng, 4).title() + "." for k in at))
+    texts += [texts[3], "é𝄞. " + texts[4], None, "", " \n", " ".join(pool) * 20]
+    rows = [(i if i != 66 else None, t, -i, "x") for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    first, want = {}, {}
+    for i, t in sorted((r[:2] for r in rows if r[0] is not None), key=lambda r: r[0]):
+        held = brute_sentences(t or "")
+        covered = set()
+        for k in range(len(held) - span + 1):
+            if first.setdefault(tuple(tuple(w) for w, _ in held[k : k + span]), (i, k)) != (i, k):
+                covered |= set(range(k, k + span))
+        gone = set()
+        for k in sorted(covered):
+            stretch = [k]
+            while stretch[-1] + 1 in covered:
+                stretch.append(stretch[-1] + 1)
+            while stretch[0] - 1 in covered:
+                stretch.insert(0, stretch[0] - 1)
+            if sum(len(held[x][0]) for x in stretch) >= least:
+                gone.add(k)
+        lead = re.match(r"[ \t-\r]*", t).group() if t else ""
+        want[i] = (len(held), len(gone), t if not gone else ("" if 0 in gone else lead) + "".join(s for k, (_, s) in enumerate(held) if k not in gone))
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["text"]) for r in substring_dedup.dedup_substrings(make(spark, rows, "doc_id long, text string, run long, first string"), span, least).collect()}
+    lone = got.pop(None)
+    assert got == want and lone[1:] == (0, texts[66]) and sum(n > 0 for _, n, _ in want.values()) > 10
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(i, prose(rng, 30)) for i in range(4)] + [(8, None), (9, "too short"), (0, None)]
