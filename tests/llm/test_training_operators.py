@@ -533,6 +533,35 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(1), empty).first()["score"] == 0.0
 
 
+def test_toxicity_scores_match_plain_compression(spark):
+    import zstandard
+
+    rng = random.Random(20)
+    text = lambda toxic: " ".join(rng.choice(["Scoundrel", "villain!"]) if toxic and rng.random() < 0.15 else w for w in prose(rng, rng.randint(1, 90)).split())
+    model = toxicity.fit_texts([text(1) for _ in range(60)], [text(0) for _ in range(60)])
+    plain = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=toxicity.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.ordinary, model.toxic)]
+    texts = [text(i % 2) for i in range(40)] + [None, "", " \n", "é𝄞 villain " * 3, ("alpha\tvillain\n" + prose(rng, 300)) * 30]
+
+    def score(t):
+        held = re.findall(r"[^ \t-\r]+", (t or "").lower())
+        lowered, places = (t or "").lower(), [m.span() for m in re.finditer(r"[^ \t-\r]+", (t or "").lower())]
+        gaps = []
+        for i in range(0, len(held), toxicity.WINDOW_WORDS):
+            part = places[i : i + toxicity.WINDOW_WORDS]
+            window = lowered[part[0][0] : part[-1][1]].encode()
+            gaps.append(len(plain[0].compress(window)) - len(plain[1].compress(window)))
+        x = [1, math.log1p(len(gaps))]
+        for limit in toxicity.THRESHOLDS:
+            over = sum(g >= limit for g in gaps)
+            x += [math.log1p(over), over / max(len(gaps), 1)]
+        return 1 / (1 + math.exp(-max(-40, min(40, float(np.dot(x, model.weights))))))
+
+    rows = [(i, t, "l", 1.0) for i, t in enumerate(texts)] + [(None, texts[1], "l", 1.0)]
+    got = {r[0]: r[1] for r in toxicity.score_toxicity(make(spark, rows, "doc_id long, text string, toxic string, score double"), model).collect()}
+    assert got == pytest.approx({i: score(t) for i, t, *_ in rows}, abs=1e-9) and got[None] == got[1]
+    assert toxicity.score_toxicity(make(spark, []), model).count() == 0
+
+
 def test_toxicity_learns_beside_long_texts(spark):
     rng = random.Random(10)
     text = lambda toxic: " ".join(rng.choice(["scoundrel", "villain"]) if toxic and rng.random() < 0.1 else w for w in prose(rng, 60).split())
