@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 8): shared n-grams as an exact filter, then Smith-Waterman alignment.
 
-Test items are the small side: they are taken in blocks of at most BLOCK_CHARS characters, each indexed by all its pairs of
-words. One pass looks the pairs of every whole document up. Stretches that share enough pairs with an item are aligned with
+Test items are the small side: they are taken in blocks of about BLOCK_CHARS characters, each indexed by all its pairs of
+words and broadcast by itself, so neither the driver nor a worker ever holds more than a block. One pass a block (one in all
+for up to BLOCK_CHARS of items) looks the pairs of every whole document up. Stretches that share enough pairs with an item are aligned with
 the item's words (match 2, mismatch and gap -1), so edited and paraphrased copies score by what they share: score is the best
 local alignment over twice the item's words. Documents with a score of at least MIN_SCORE are contaminated.
 
@@ -10,8 +11,9 @@ The filter loses no alignment of that score. Of an item's m words let an alignme
 pairs of words are shared, and the aligned words of the document are at most 3 m - T. Where T - m - 1 is under 1 (items of up
 to 10 words at MIN_SCORE), single words are looked up instead, of which T / 2 are shared. Nothing is shuffled.
 
-Defined results: null and empty texts hold nothing; items that are null or have fewer than MIN_ITEM_WORDS words are not
-searched for, as they occur by chance; rows with a null id are searched like others; repeated rows give repeated results,
+Items of fewer than min_words words occur in prose by chance: they count where they are a document's whole text.
+
+Defined results: null and empty texts hold nothing, and null and empty items are held nowhere; rows with a null id are searched like others; repeated rows give repeated results,
 repeated items one result each; extra columns are ignored (find) or kept (remove); an empty benchmark finds nothing.
 """
 
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import _MULT, blocks, lean, mix, table, word_hashes
+from reviewlake.llm.common import _MULT, blocks, cut, lean, mix, table, word_hashes
 
-MIN_ITEM_WORDS, MIN_SCORE = 5, 0.55
+MIN_WORDS, MIN_SCORE = 5, 0.55
 BLOCK_CHARS = 4_000_000
 MATCH, MISS, GAP = 2, -1, -1
 _FILTER_BITS = 20
@@ -90,11 +92,11 @@ class Lookup:
 class Index:
     """Items of one block: words, n-grams, and how many of them a text must share within how many words."""
 
-    def __init__(self, ids: list, texts: list[str], least: float = MIN_SCORE):
+    def __init__(self, ids: list, texts: list[str], least: float = MIN_SCORE, min_words: int = MIN_WORDS):
         h, doc = word_hashes(texts)
         sizes = np.bincount(doc, minlength=len(texts))
-        keep = np.flatnonzero(sizes >= MIN_ITEM_WORDS)
-        self.ids, self.least = [ids[i] for i in keep], least
+        keep = np.flatnonzero(sizes)
+        self.ids, self.least, self.min_words = [ids[i] for i in keep], least, min_words
         ends = np.cumsum(sizes)
         self.words = [h[ends[i] - sizes[i] : ends[i]] for i in keep]
         self.size = sizes[keep]
@@ -102,7 +104,11 @@ class Index:
         pairs = score - self.size - 1
         self.need = np.where(pairs >= 1, pairs, np.maximum(1, -(-score // MATCH)))
         self.span = np.maximum(self.size, 3 * self.size - score)
-        self.lookups = [Lookup(n, of, self.words) for n, of in ((1, np.flatnonzero(pairs < 1)), (2, np.flatnonzero(pairs >= 1))) if len(of)]
+        sought = self.size >= min_words
+        self.lookups = [Lookup(n, of, self.words) for n, of in ((1, np.flatnonzero(sought & (pairs < 1))), (2, np.flatnonzero(sought & (pairs >= 1)))) if len(of)]
+        self.whole: dict[tuple, list[int]] = {}
+        for k in np.flatnonzero(~sought).tolist():
+            self.whole.setdefault(tuple(self.words[k].tolist()), []).append(k)
 
     def stretches(self, h: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, item, first word, last word, shared n-grams): all places where an item can score as asked."""
@@ -129,6 +135,11 @@ class Index:
         h, doc = word_hashes(texts)
         starts = np.searchsorted(doc, np.arange(len(texts) + 1))
         best: dict[tuple[int, int], tuple] = {}
+        if self.whole:
+            sizes = np.diff(starts)
+            for d in np.flatnonzero((sizes > 0) & (sizes < self.min_words)).tolist():
+                for k in self.whole.get(tuple(h[starts[d] : starts[d + 1]].tolist()), ()):
+                    best[d, k] = (1.0, int(sizes[d]), 0, int(sizes[d]))
         for d, k, lo, hi, shared in self.stretches(h, doc, starts):
             m, over = self.size[k], self.span[k]
             pieces = np.maximum(1, -(-(hi - lo - over) // (8 * m)))  # a long stretch in overlapping pieces
@@ -202,18 +213,16 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, j - back, j
 
 
-def build_indices(benchmark: DataFrame, least: float = MIN_SCORE, block_chars: int = BLOCK_CHARS) -> list[Index]:
-    """Indices of all items, one a block of items; what the driver gets is bounded by the block."""
+def build_indices(benchmark: DataFrame, least: float = MIN_SCORE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
+    """Indices of all items, one a block of items and one at a time."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = int(-(-chars // block_chars))
-    out = []
     for i in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        ix = Index([r["item_id"] for r in rows], [r["text"] for r in rows], least)
+        ix = Index([r["item_id"] for r in rows], [r["text"] for r in rows], least, min_words)
         if ix.ids:
-            out.append(ix)
-    return out
+            yield ix
 
 
 def _find(index):
@@ -230,34 +239,34 @@ def _find(index):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, first_word, end_word) for every contaminated row of docs(doc_id, text) and item."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id long, item_id {kind}, score double, n_seeds long, first_word long, end_word long"
-    parts = [docs.mapInPandas(_find(docs.sparkSession.sparkContext.broadcast(ix)), schema) for ix in build_indices(benchmark, least)]
+    parts = [docs.mapInPandas(_find(docs.sparkSession.sparkContext.broadcast(ix)), schema) for ix in build_indices(benchmark, least, min_words, block_chars)]
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns."""
-    indices = build_indices(benchmark, least)
-    if not indices:
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(indices)
-    at = docs.columns.index("text")
-
+def _clean(index, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             keep = np.ones(len(texts), bool)
             for b, e in blocks(len(t) if t else 0 for t in texts):
-                for ix in shared.value:
-                    for found in ix.search(texts[b:e]):
-                        keep[b + found[0]] = False
+                for found in index.value.search(texts[b:e]):
+                    keep[b + found[0]] = False
             yield batch.filter(pa.array(keep))
 
-    return lean(docs).mapInArrow(run, docs.schema)
+    return run
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns. Of several blocks of items, each has a pass over what the one before left."""
+    for i, ix in enumerate(build_indices(benchmark, least, min_words, block_chars)):
+        docs = lean(cut(docs) if i else docs)
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(ix), docs.columns.index("text")), docs.schema)
+    return docs
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

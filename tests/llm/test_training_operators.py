@@ -398,11 +398,15 @@ def test_decontamination(spark):
     edited = items[1][1].split()
     edited[7], edited[15], edited[22] = "changed", "other", "new"
     del edited[3]
-    rows = [(1, prose(rng, 200) + " " + items[0][1] + " " + prose(rng, 50)), (2, prose(rng, 100) + " " + " ".join(edited)), (3, prose(rng, 400)), (4, None), (5, ""), (6, items[2][1].upper()), (7, "too short")]
+    rows = [(1, prose(rng, 200) + " " + items[0][1] + " " + prose(rng, 50)), (2, prose(rng, 100) + " " + " ".join(edited)), (3, prose(rng, 400)), (4, None), (5, ""), (6, items[2][1].upper()), (7, " Too  SHORT\n"), (8, "an item too short to count in prose")]
     docs, bench = make(spark, [(i, t, "en", "s", 0) for i, t in rows]), make(spark, items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_contamination(docs, bench).collect()}
-    assert set(got) == {(1, 0), (2, 1), (6, 2)} and got[1, 0]["score"] == 1.0 and (got[1, 0]["first_word"], got[1, 0]["end_word"]) == (200, 230)
-    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()) == [3, 4, 5, 7]
+    assert set(got) == {(1, 0), (2, 1), (6, 2), (7, 9)} and got[1, 0]["score"] == 1.0 and (got[1, 0]["first_word"], got[1, 0]["end_word"]) == (200, 230)
+    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()) == [3, 4, 5, 8]
+    assert {(8, 9)} == {tuple(r)[:2] for r in decontaminate.find_contamination(docs, bench, min_words=1).collect()} - set(got)
+    blocks = {"block_chars": 100}  # several indices
+    assert {tuple(r) for r in decontaminate.find_contamination(docs, bench, **blocks).collect()} == {tuple(r) for r in got.values()}
+    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench, **blocks).collect()) == [3, 4, 5, 8]
     assert decontaminate.find_contamination(docs, make(spark, [], "item_id long, text string")).count() == 0
     assert decontaminate.find_contamination(make(spark, []), bench).count() == 0
 
@@ -451,6 +455,24 @@ def test_decontamination_finds_what_alignment_of_all_finds(spark):
     assert {r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2, 0.25])
+def test_decontamination_recall_of_edited_copies(share):
+    """Copies with random edits: all that exhaustive alignment scores high enough are found, and how many those are."""
+    rng = random.Random(21)
+    items = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(40)) for _ in range(100)]
+    copies = []
+    for t in items:
+        w = t.split()
+        for i in rng.sample(range(40), round(40 * share)):
+            w[i] = rng.choice(["", "new" + w[i], w[i] + " more"])
+        copies.append(f"{prose(rng, 60)} {' '.join(w)} {prose(rng, 60)}")
+    index = decontaminate.Index(list(range(100)), items)
+    found = {(d, k) for d, k, *_ in index.search(copies)}
+    hashes = [common.word_hashes([t])[0] for t in copies]
+    want = {(d, k) for d, h in enumerate(hashes) for k, w in enumerate(index.words) if decontaminate.align(w, h)[0] >= 2 * len(w) * decontaminate.MIN_SCORE - 1e-9}
+    assert found == want and sum((k, k) in found for k in range(100)) >= 98
+
+
 def test_language_id(spark):
     rng = random.Random(7)
     vocab = {"xx": ["ba", "bo", "bum", "blik"], "yy": ["zor", "zi", "zang", "zu"]}
