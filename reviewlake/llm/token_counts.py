@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import lean, table
+from reviewlake.llm.common import cut, lean, table
 
 #: Default vocabulary; a parameter. The file must be readable on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -123,7 +123,7 @@ def quantile_lengths(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 def op3_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    return suffix_sums(cut(length_histogram(table(spark, sf_dir, "documents"))))
 
 
 QUERIES = {"op3_token_length_histogram": op3_token_length_histogram}
