@@ -31,7 +31,7 @@ from reviewlake.llm.common import cut, lean, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that goes with the vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 4096
+BLOCK = 256
 LONG_SPACE = 4096
 #: White space as the pattern's \s understands it (Unicode White_Space; fixed values).
 _SPACE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
