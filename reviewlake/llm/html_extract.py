@@ -2,22 +2,30 @@
 
 The tag stream of every page becomes a tree of block elements with text slots; inline markup vanishes. A host's wrapper is a
 union-free regular expression over such streams: sequences, optional items (?) and repeated groups (+), no alternatives.
-A page is folded first (tandem repeats become groups), then wrappers are aligned two by two: equal items merge, an item
-that only one side has becomes optional, and repeats on one side become groups. A slot of the wrapper is constant while all
-pages that have it hold the same text (of a repeated item: the same texts in order), else it varies. Every element of the
-wrapper sums what its slots held: pages, words, words in links. The wrapper then names the host's main element: article or main if the
-host's pages have one outside boilerplate, else the lowest element that holds all texts in varying slots that are neither
-boilerplate nor mostly links.
+A page is folded first (tandem repeats of up to PERIOD items become groups), then wrappers are aligned two by two: equal items
+merge, an item that only one side has becomes optional, and repeats on one side become groups. A slot of the wrapper is
+constant while all pages that have it hold the same text (of a repeated item: the same texts in order), else it varies. Every
+element of the wrapper sums what its slots held: pages, words, words in links. The wrapper then names the host's main element:
+article or main if the host's pages have one outside boilerplate (that with most text, then the shorter path, then the later
+name), else the lowest element that holds all texts in varying slots that are neither boilerplate nor mostly links.
+
+Boilerplate is what its tag or role says, or a class or id made of such words alone (share-buttons, not share-price): text that
+varies from page to page as an article does (adverts, reader comments) has no other mark.
 
 Every page takes part. Wrappers are first merged inside each task, so that a host with most of the pages sends one small
-row a task; they are merged again by host. Extraction matches each whole page with its host's wrapper and gives the blocks of
-the main element in page order, without boilerplate inside it and without slots that are constant over at least
-CONSTANT_PAGES different pages. On fewer pages, or if a page would keep nothing, equal text is no evidence and stays.
+row a task; they are merged again by host and a salt, then by host, one row at a time. Work on a page is linear in its length
+but for sorting; elements nested deeper than DEPTH stand in the wrapper beside the one at that depth. Words with a digit in
+classes and ids are alike, so that names made for one page don't let wrappers grow. Extraction matches each whole page with its
+host's wrapper and gives the blocks of the main element in page order, without boilerplate inside it and without slots that are
+constant over at least CONSTANT_PAGES different pages. On fewer pages, or if a page would keep nothing, equal text is no
+evidence and stays.
 
 Defined results: null or empty html gives the empty text; a null url is the host ''; pages without the host's main element
 give their own best element; unclosed and stray tags close as browsers close them, and a head without its end tag ends at
-the body, at text or at the first element that can't stand in it (only script, style and textarea run to the end of a page); repeated rows give repeated results;
-extra columns are ignored; an empty table gives no rows.
+the body, at text or at the first element that can't stand in it (only script, style and textarea run to the end of a page);
+from a tag on whose quote is never closed, quotes hide no >; a < without any > after it is text; character references are
+decoded within a text, never across markup; repeated rows give repeated results; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -26,26 +34,38 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import cut, small_side, table
+from reviewlake.llm.common import cut, lean, small_side, table
 
 #: Different pages that must hold the same text in a slot before it counts as part of the template.
 CONSTANT_PAGES = 8
 #: Characters of wrappers up to which they are broadcast.
 BROADCAST_CHARS = 16_000_000
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)|<title\b(?:"[^"]*"|'[^']*'|[^>"'])*>[^<]*(?:</title\s*>)?|<iframe\b(?:"[^"]*"|'[^']*'|[^>"'])*>(?:(?!<iframe\b).)*?</iframe\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|[^<]+|<""",
-    re.S | re.I,
+#: Items of a repeated group at most, and depth of the wrapper.
+PERIOD, DEPTH = 16, 200
+#: Groups of a host's wrappers that are merged before the host's are.
+SALTS = 64
+
+_QUOTED, _PLAIN = r"""(?:"[^"]*+"|'[^']*+'|[^>"']++)*+""", "[^>]*+"
+TOKEN, TOKEN_PLAIN = (
+    re.compile(
+        rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea)\b{x}>.*?(?:</\1\s*>|\Z)|<title\b{x}>[^<]*+(?:</title\s*>)?|<iframe\b{x}>(?:(?!<iframe\b).)*?</iframe\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({x})>|<[!?][^>]*+>|[^<]++|<""",
+        re.S | re.I,
+    )
+    for x in (_QUOTED, _PLAIN)
 )
+_BEGINS = re.compile("<(?:[!?]|/?[a-zA-Z])")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,43 +73,83 @@ BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset
 #: Elements that stand in head; any other one, or text, ends it. Elements that end an open svg or select.
 HEAD_TAGS = frozenset("base link meta noscript template head".split())
 LEAVES_SVG = frozenset("article aside blockquote body center dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
-BOILERPLATE_WORDS = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|adv|advert|adverts|advertisement|banner|sponsor|sponsored|promo|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|comment|comments|commentlist|disqus|replies|reader-comments|related|share|sharing|social|login|search|toolbar|complementary|contentinfo)(?:$|[-_ ])"
+#: Words that mark boilerplate in a class, id or role, and words that may stand beside them there.
+BOILERPLATE_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment commentlist comments complementary consent contentinfo cookie cookies disqus footer
+    header login masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo related replies search share sharing side sidebar signup social sponsor sponsored subscribe
+    toolbar""".split()
+)
+NEUTRAL_WORDS = frozenset(
+    """0 area bar block body bottom box btn button buttons container content dialog fixed form global google group holder icons inner item items left link links list main mobile module overlay page
+    panel posts primary reader readers right secondary site slot sticky text thread top unit user widget wrap wrapper""".split()
 )
 #: Elements that an opening tag of the given kind closes first.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table tbody thead body article section main div".split())
 
 
+@lru_cache(4096)
+def _marked(names: str) -> bool:
+    """Whether a class, id or role says boilerplate."""
+    for name in names.split():
+        words = [w.lower() for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", re.sub(r"\d+", "0", name)) if w]
+        if any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in NEUTRAL_WORDS for w in words):
+            return True
+    return False
+
+
+def tokens(page: str) -> Iterator[re.Match | str]:
+    """Matches of TOKEN, and the rest of the page as a text if it has no tag any more."""
+    at, pattern = 0, TOKEN
+    while at is not None:
+        found, at = pattern.finditer(page, at), None
+        for m in found:
+            if m.group(0) == "<" and _BEGINS.match(page, m.start()):
+                if page.find(">", m.start()) < 0:
+                    yield page[m.start() :]
+                    return
+                if pattern is TOKEN:  # a quote that is never closed
+                    at, pattern = m.start(), TOKEN_PLAIN
+                    break
+            yield m
+
+
 def parse(page: str) -> Iterator[tuple[str, str, bool]]:
-    """Events of a page: (open, key, boilerplate), (close, "", False), (text, raw text, in a link)."""
+    """Events of a page: (open, key, boilerplate), (close, "", False), (text, text, in a link)."""
     open_tags: list[str] = []
+    held: Counter = Counter()  # of the open tags
     links = 0
-    for m in TOKEN.finditer(page):
-        token = m.group(0)
-        if token[0] != "<" or token == "<":
+
+    def close() -> str:
+        tag = open_tags.pop()
+        held[tag] -= 1
+        return tag
+
+    for m in tokens(page):
+        token = m if isinstance(m, str) else m.group(0)
+        if token[0] != "<" or token == "<" or m is token:
             if open_tags and open_tags[-1] == "head" and token.strip():
-                open_tags.pop()
+                close()
                 yield "close", "", False
-            yield "text", token, links > 0
+            yield "text", entities.unescape(token) if "&" in token else token, links > 0
             continue
         if not m.group(3):
             continue  # comments, scripts, styles and other elements whose content isn't text
         tag, closing = m.group(3).lower(), m.group(2)
         if not closing and open_tags:
-            if "svg" in open_tags and tag in LEAVES_SVG:
+            if held["svg"] and tag in LEAVES_SVG:
                 while True:
                     yield "close", "", False
-                    if open_tags.pop() == "svg":
+                    if close() == "svg":
                         break
             elif open_tags[-1] == "iframe" or open_tags[-1] == "head" and tag not in HEAD_TAGS or open_tags[-1] in ("select", "option", "optgroup") and tag in LEAVES_SVG - {"hr"}:
                 while open_tags and open_tags[-1] in ("iframe", "head", "select", "option", "optgroup"):
-                    open_tags.pop()
+                    close()
                     yield "close", "", False
-            elif "head" in open_tags and tag == "body":
+            elif held["head"] and tag == "body":
                 while True:
                     yield "close", "", False
-                    if open_tags.pop() == "head":
+                    if close() == "head":
                         break
         if tag in INLINE or tag in VOID:
             if tag == "a":
@@ -99,10 +159,10 @@ def parse(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         links = 0
         if closing:
-            if tag in open_tags:
+            if held[tag] > 0:
                 while True:
                     yield "close", "", False
-                    if open_tags.pop() == tag:
+                    if close() == tag:
                         break
             else:
                 yield "text", "", False
@@ -111,16 +171,17 @@ def parse(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         closes = CLOSES.get(tag, {"p"})
         while open_tags and (open_tags[-1] in closes):
-            open_tags.pop()
+            close()
             yield "close", "", False
-        names = dict((k.lower(), v.strip("\"'").lower()) for k, v in ATTRIBUTE.findall(m.group(4) or ""))
-        label = re.sub(r"\d+", "0", " ".join(x for x in (names.get("class", ""), names.get("id", ""), names.get("role", "")) if x))
-        key = f"{tag}.{label}" if label else tag
-        bad = tag in BOILERPLATE_TAGS or bool(label and tag not in ("html", "body", "article", "main") and BOILERPLATE_WORDS.search(label)) or tag == "header" and not any(t in ("article", "main") for t in open_tags)
+        names = dict((k.lower(), v.strip("\"'")) for k, v in ATTRIBUTE.findall(m.group(4))) if m.group(4) else {}
+        label = " ".join(x for x in (names.get("class", ""), names.get("id", ""), names.get("role", "")) if x)
+        key = tag + "." + re.sub(r"\w*\d\w*", "0", label.lower()).replace("/", " ") if label else tag
+        bad = tag in BOILERPLATE_TAGS or bool(label and tag not in ("html", "body", "article", "main") and _marked(label)) or tag == "header" and not (held["article"] > 0 or held["main"] > 0)
         open_tags.append(tag)
+        held[tag] += 1
         yield "open", key, bad
         if m.group(4) and m.group(4).rstrip().endswith("/") and tag not in ("p", "div"):
-            open_tags.pop()
+            close()
             yield "close", "", False
 
 
@@ -152,57 +213,92 @@ def fold(items: list[list]) -> list[list]:
     changed = True
     while changed:
         changed = False
-        names = [_name(x) for x in items]
-        for period in range(1, len(items) // 2 + 1):
-            at = 0
+        known: dict[str, int] = {}
+        codes = [known.setdefault(_name(x), len(known)) for x in items]
+        if len(known) == len(items):
+            break
+        code = np.array(codes)
+        for period in range(1, min(PERIOD, len(items) // 2) + 1):
+            same = np.concatenate([[False], code[:-period] == code[period:], [False]])
+            edge = np.flatnonzero(same[1:] != same[:-1])
             out: list[list] = []
-            while at < len(items):
-                unit, n = names[at : at + period], 1
-                while len(unit) == period and names[at + n * period : at + (n + 1) * period] == unit:
-                    n += 1
-                if n == 1:
-                    out.append(items[at])
-                    at += 1
+            at = 0
+            for begin, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                begin = max(begin, at)
+                if end - begin < period:
                     continue
-                merged = items[at : at + period]
-                for i in range(1, n):
-                    merged = align(merged, items[at + i * period : at + (i + 1) * period], _within)
+                out += items[at:begin]
+                at = begin + ((end - begin) // period + 1) * period
+                units = [items[i : i + period] for i in range(begin, at, period)]
+                while len(units) > 1:  # two by two, so that many repeats cost little more than few
+                    units = [align(*units[i : i + 2], _within) if i + 1 < len(units) else units[i] for i in range(0, len(units), 2)]
                 if period == 1:
-                    merged[0][3] = 2
-                    out.append(merged[0])
+                    units[0][0][3] = 2
+                    out.append(units[0][0])
                 else:
-                    out.append(["", merged, 1, 2])
-                at += n * period
+                    out.append(["", units[0], 1, 2])
                 changed = True
             if changed:
-                items = out
+                items = out + items[at:]
                 break
     return items
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence: equal ends, and between them the longest ascending row of equal occurrences (the k-th with the k-th)."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    head, tail, least = 0, 0, min(len(a), len(b))
+    while head < least and a[head] == b[head]:
+        head += 1
+    while tail < least - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    seen: Counter = Counter()
+    where = {}
+    for j in range(head, len(b) - tail):
+        where[b[j], seen[b[j]]] = j
+        seen[b[j]] += 1
+    seen.clear()
+    ends: list[int] = []  # the least last place in b of an ascending row of each length
+    last: list[int] = []  # its last pair
+    pairs: list[tuple[int, int, int]] = []  # (place in a, place in b, pair before)
+    for i in range(head, len(a) - tail):
+        j = where.get((a[i], seen[a[i]]))
+        seen[a[i]] += 1
+        if j is not None:
+            k = bisect_left(ends, j)
+            pairs.append((i, j, last[k - 1] if k else -1))
+            ends[k : k + 1], last[k : k + 1] = [j], [len(pairs) - 1]
+    row = []
+    at = last[-1] if last else -1
+    while at >= 0:
+        row.append(pairs[at][:2])
+        at = pairs[at][2]
+    return [(i, i) for i in range(head)] + row[::-1] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
 def align(a: list[list], b: list[list], join=_across) -> list[list]:
     """One sequence that both match: equal items merged, the others optional."""
     an, bn = [_name(x) for x in a], [_name(x) for x in b]
     out: list[list] = []
-    for kind, a0, a1, b0, b1 in _opcodes(an, bn):
-        if kind == "equal":
-            out += [[x[0], align(x[1], y[1], join), min(x[2], y[2]), max(x[3], y[3]), *([join(x[4], y[4])] if x[0] == "#" else [])] for x, y in zip(a[a0:a1], b[b0:b1])]
-        else:
-            known = {n: i for i, n in enumerate(_name(x) for x in out)}
-            for x in a[a0:a1] + b[b0:b1]:
-                if (n := _name(x)) in known:  # the other side has it at another place: it may repeat there
-                    y = out[known[n]]
-                    y[1], y[3], y[4:] = align(y[1], x[1], join), 2, [join(y[4], x[4])] if n == "#" else []
-                else:
-                    known[n] = len(out)
-                    out.append([x[0], x[1], 0, *x[3:]])
+    known: dict[str, int] = {}
+    at, bt = 0, 0
+    for i, j in [*_common(an, bn), (len(a), len(b))]:
+        for n, x in [*zip(an[at:i], a[at:i]), *zip(bn[bt:j], b[bt:j])]:
+            if n in known:  # the other side, or another place, has it: it may repeat there
+                y = out[known[n]]
+                y[1], y[3], y[4:] = align(y[1], x[1], join), 2, [join(y[4], x[4])] if n == "#" else []
+            else:
+                known[n] = len(out)
+                out.append([x[0], x[1], 0, *x[3:]])
+        if i < len(a):
+            x, y = a[i], b[j]
+            known[an[i]] = len(out)
+            out.append([x[0], align(x[1], y[1], join), min(x[2], y[2]), max(x[3], y[3]), *([join(x[4], y[4])] if x[0] == "#" else [])])
+        at, bt = i + 1, j + 1
     return out
 
 
-def _opcodes(an: list[str], bn: list[str]) -> list[tuple]:
-    return [("equal", 0, len(an), 0, len(bn))] if an == bn else SequenceMatcher(None, an, bn, autojunk=False).get_opcodes()
-
-
 def slots(items: list[list], path: str = "") -> Iterator[tuple[str, list]]:
     """All slots, each with the path of its element."""
     for x in items:
@@ -219,50 +315,74 @@ def is_constant(slot: list) -> bool:
 def match(wrapper: list[list], page: list[list]) -> Iterator[int]:
     """Numbers of the page's texts that stand in constant slots of the wrapper; items fall together as in align."""
     wn, pn = [_name(x) for x in wrapper], [_name(x) for x in page]
-    known = {n: x for n, x in zip(wn, wrapper)}
-    for kind, a0, a1, b0, b1 in _opcodes(wn, pn):
-        for i, y in enumerate(page[b0:b1]):
-            x = wrapper[a0 + i] if kind == "equal" else known.get(pn[b0 + i])
-            if x is None:
-                continue
-            if x[0] != "#":
-                yield from match(x[1], y[1])
-            elif is_constant(x) and x[4][0] == _digest(y[4][1]):
-                yield from y[4][0]
+    known = dict(zip(wn, wrapper))
+    paired = {j: wrapper[i] for i, j in _common(wn, pn)}
+    for j, y in enumerate(page):
+        x = paired.get(j) or known.get(pn[j])
+        if x is None:
+            continue
+        if x[0] != "#":
+            yield from match(x[1], y[1])
+        elif is_constant(x) and x[4][0] == _digest(y[4][1]):
+            yield from y[4][0]
 
 
 def expression(items: list[list]) -> str:
     """The wrapper as a regular expression over tags and text slots (#)."""
-    return " ".join((f"<{k}>{expression(c)}</>" if k == "#" or c else f"<{k}/>" if k else f"({expression(c)})") + ("*" if lo == 0 and hi == 2 else "?" if lo == 0 else "+" if hi == 2 else "") if k != "#" else "#" for k, c, lo, hi, *_ in items)
+    def one(key: str, inner: list, least: int, most: int) -> str:
+        body = "#" if key == "#" else f"({expression(inner)})" if not key else f"<{key}>{expression(inner)}</>" if inner else f"<{key}/>"
+        return body + ("*" if least == 0 and most == 2 else "?" if least == 0 else "+" if most == 2 else "")
+
+    return " ".join(one(*x[:4]) for x in items)
 
 
-def page_tree(page: str) -> dict:
+def page_tree(events: Iterable[tuple[str, str, bool]]) -> dict:
     """The wrapper of one page, with the page's texts in its slots: items, and of each path [pages, text, linked text, boilerplate] of its own slots."""
     stack: list[list[list]] = [[]]
     path: list[str] = []
     bad = [False]
     stats: dict[str, list] = {}
-    number = 0
-    for kind, value, flag in parse(page):
+    number, deeper = 0, 0
+    slot: list | None = None  # the one that texts go to
+    pieces: list[str] = []
+
+    def end() -> None:
+        nonlocal slot
+        if slot:
+            slot[1][-1] = " ".join(pieces)
+            pieces.clear()
+            slot = None
+
+    for kind, value, flag in events:
+        if kind != "text" and (kind == "open") + len(path) + deeper <= DEPTH:
+            end()
         if kind == "open":
+            bad.append(bad[-1] or flag)
+            if len(path) == DEPTH:
+                deeper += 1
+                continue
             item = [value, [], 1, 1]
             stack[-1].append(item)
             stack.append(item[1])
             path.append(value)
-            bad.append(bad[-1] or flag)
-        elif kind == "close" and path:
+        elif kind == "close" and len(bad) > 1:
+            bad.pop()
+            if deeper:
+                deeper -= 1
+                continue
             stack[-1][:] = fold(stack[-1])
             stack.pop()
             path.pop()
-            bad.pop()
         elif kind == "text" and (n := len(words := value.split())):
-            if not stack[-1] or stack[-1][-1][0] != "#":
-                stack[-1].append(["#", [], 1, 1, [[number], [""]]])
+            if slot is None:
+                slot = [[number], [""]]
+                stack[-1].append(["#", [], 1, 1, slot])
                 number += 1
-            stack[-1][-1][4][1][-1] += " ".join(words) + " "
+            pieces += words
             s = stats.setdefault("/".join(path), [1, 0, 0, bad[-1]])
             s[1] += n
             s[2] += n if flag else 0
+    end()
     while len(stack) > 1:
         stack[-1][:] = fold(stack[-1])
         stack.pop()
@@ -271,7 +391,7 @@ def page_tree(page: str) -> dict:
 
 def page_wrapper(page: str) -> dict:
     """The wrapper of one page: as page_tree, with digests in place of the texts."""
-    one = page_tree(page)
+    one = page_tree(parse(page))
     held = [x for _, x in slots(one["items"])]
     whole = _digest([t for x in held for t in x[4][1]])
     for x in held:
@@ -316,10 +436,11 @@ def extract(page: str | None, path: str | None, wrapper: str | None = None) -> s
     if not page:
         return ""
     events = list(parse(page))
-    fixed = set(match(_items(wrapper), page_tree(page)["items"])) if wrapper else set()
+    fixed = set(match(_items(wrapper), page_tree(events)["items"])) if wrapper else set()
 
     def read(target: str | None, without: set[int]) -> tuple[bool, list[str]]:
-        open_path: list[str] = []
+        parts = target.split("/") if target else []
+        depth, met = 0, 0  # of the open elements, and how many of them the target begins with
         inside, bad, seen = int(target == ""), 0, target == ""
         marks: list[tuple[bool, bool]] = []
         blocks: list[str] = []
@@ -328,26 +449,31 @@ def extract(page: str | None, path: str | None, wrapper: str | None = None) -> s
 
         def flush() -> None:
             if words:
-                if block := " ".join(entities.unescape("".join(words)).split()):
+                if block := " ".join("".join(words).split()):
                     blocks.append(block)
                 words.clear()
 
         for kind, value, flag in events:
             if kind == "text":
-                if value.strip() and not within:
+                if not within and value.strip():
                     number, within = number + 1, True
                 if (inside or target is None) and not bad and not (within and number in without):
                     words.append(value)
                 continue
             flush()
-            within = False
+            if depth + (kind == "open") <= DEPTH:
+                within = False
             if kind == "open":
-                open_path.append(value)
-                hit = target is not None and "/".join(open_path) == target
+                hit = False
+                if met == depth < len(parts) and value == parts[depth]:
+                    met += 1
+                    hit = met == len(parts)
+                depth += 1
                 inside, bad, seen = inside + hit, bad + flag, seen or hit
                 marks.append((hit, flag))
-            elif open_path:
-                open_path.pop()
+            elif depth:
+                depth -= 1
+                met = min(met, depth)
                 hit, was = marks.pop()
                 inside, bad = inside - hit, bad - was
         flush()
@@ -356,7 +482,7 @@ def extract(page: str | None, path: str | None, wrapper: str | None = None) -> s
     for without in (fixed, set()) if fixed else (set(),):  # a page of nothing but constant text keeps it
         seen, blocks = read(path, without) if path is not None else (False, [])
         if not seen:
-            blocks = read(main_path(page_wrapper(page)["stats"]), without)[1]
+            blocks = read(main_path(page_tree(events)["stats"]), without)[1]
         if blocks:
             break
     return "\n".join(blocks)
@@ -389,21 +515,37 @@ def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
 
 
-def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One wrapper a host; rows are as many as tasks that met the host."""
-    whole: dict | None = None
-    for w in sorted(pdf["wrapper"]):
-        whole = json.loads(w) if whole is None else merge(whole, json.loads(w))
-    held = list(slots(whole["items"]))
-    items = json.dumps(whole["items"]) if any(is_constant(x) for _, x in held) else None
-    constant = frozenset(p for p, x in held if is_constant(x)) - {p for p, x in held if not is_constant(x)}
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [main_path(whole["stats"], constant)], "expression": [expression(whole["items"])], "items": [items]}, dtype=object)
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, dict]]:
+    """One wrapper for each stretch of rows of a host."""
+    host, whole = None, None
+    for pdf in batches:
+        for h, w in zip(pdf["host"], pdf["wrapper"]):
+            if whole is not None and h != host:
+                yield host, whole
+                whole = None
+            host, whole = h, json.loads(w) if whole is None else merge(whole, json.loads(w))
+    if whole is not None:
+        yield host, whole
+
+
+def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for host, whole in _merged(batches):
+        yield pd.DataFrame({"host": [host], "wrapper": [json.dumps(whole)]})
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for host, whole in _merged(batches):
+        held = list(slots(whole["items"]))
+        items = json.dumps(whole["items"]) if any(is_constant(x) for _, x in held) else None
+        constant = frozenset(p for p, x in held if is_constant(x)) - {p for p, x in held if not is_constant(x)}
+        yield pd.DataFrame({"host": [host], "path": [main_path(whole["stats"], constant)], "expression": [expression(whole["items"])], "items": [items]}, dtype=object)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """(host, path, expression, items): the wrapper of every host of pages(url, html), and the path of its main element; items is null if no slot is constant."""
-    parts = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(_infer, WRAPPER)
-    return parts.groupBy("host").applyInPandas(_combine, "host string, path string, expression string, items string")
+    parts = lean(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))).mapInPandas(_infer, WRAPPER)
+    parts = parts.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).sortWithinPartitions("host", "wrapper").mapInPandas(_combine, WRAPPER)
+    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInPandas(_finish, "host string, path string, expression string, items string")
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -665,6 +665,71 @@ def test_html_main_element_drops_no_part_of_the_article(spark):
     assert got[200] == "One\nTwo"
 
 
+def test_html_common_subsequence():
+    rng = random.Random(22)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        row = html_extract._common(a, b)
+        assert all(a[i] == b[j] for i, j in row) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(row, row[1:]))
+        if len(set(a)) == len(a) and len(set(b)) == len(b):  # then it is a longest one
+            best = np.zeros((len(a) + 1, len(b) + 1), int)
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+            assert len(row) == best[-1, -1]
+
+
+def test_html_fold_matches_repeats():
+    item = lambda c: [c, [], 1, 1]
+    show = lambda s: html_extract.expression(html_extract.fold([item(c) for c in s]))
+    assert show("aaab") == "<a/>+ <b/>" and show("xabababy") == "<x/> (<a/> <b/>)+ <y/>" and show("abc") == "<a/> <b/> <c/>"
+    assert show("hpphpphpp") == "(<h/> <p/>+)+" and show("") == ""
+
+
+def test_html_long_and_deep_pages():
+    import time
+
+    began = time.time()
+    names = ["x" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(17_000)]
+    wide = "<article>" + "".join(f"<{n}>t{i}</{n}>" for i, n in enumerate(names)) + "</article>"
+    one = html_extract.page_wrapper(wide)
+    assert len(html_extract.merge(one, html_extract.page_wrapper(wide.replace("<xbcd>", "<new><xbcd>")))["items"][0][1]) >= 17_000
+    assert html_extract.extract(wide, None) == "\n".join(f"t{i}" for i in range(17_000))
+    deep = [html_extract.page_wrapper("<div>" * 1500 + x) for x in ("<p>a</p>", "<ul><li>b</ul>")]
+    assert html_extract.merge(*deep)["items"] and html_extract.extract("<div>" * 50_000 + "end", None) == "end"
+    assert html_extract.extract("<p>Kept</p>" + "<a " * 100_000, None).startswith("Kept")
+    assert html_extract.extract('<p>Kept</p>' + '<a ">" ' * 50_000 + "'", None).startswith("Kept")
+    assert html_extract.extract("<p>" + "one & <b>two</b> " * 50_000, None) == " ".join(["one & two"] * 50_000)
+    assert html_extract.extract('<p>one <a href="x>two</a> <b>three</b></p><p>four', None) == "one two three\nfour"
+    assert time.time() - began < 60
+
+
+def test_html_words_in_names_and_references():
+    page = "<article><p>&am<b>p;</b> &amp;lt; &eacute;</p><div class='side-by-side'>one</div><div class='share-price'>two</div><div class='post-header'>three</div><div class='share-buttons'>no</div><div class='sideBar'>no</div><div class='besides'>four</div><div id='ad-slot-12'>no</div><div class='x reader-comments'>no</div></article>"
+    assert html_extract.extract(page, None) == "&am p;".replace(" ", "") + " &lt; é\none\ntwo\nthree\nfour"
+
+
+def test_html_templates_match_what_they_were_made_of(spark):
+    """Hosts of several templates: the text is what went into them."""
+    rng = random.Random(23)
+    menu = lambda: "<nav><ul>" + "".join(f"<li><a href='/{k}'>{rng.choice(WORDS)}</a>" for k in range(rng.randint(2, 6))) + "</ul></nav>"
+    templates = {
+        "named": lambda t, ps: f"<body>{menu()}<div class=ad>{prose(rng, 5)}</div><article><h1>{t}</h1>{''.join(f'<p>{p}' for p in ps)}<div class='reader-comments'><p>{prose(rng, 9)}</p></div></article><footer>{prose(rng, 4)}</footer>",
+        "plain": lambda t, ps: f"<body><div id=top>{menu()}</div><div class=page><div class=box><h1>{t}</h1><div class=txt>{''.join(f'<p>{p}</p>' for p in ps)}</div></div><div>All rights are kept here</div></div>",
+        "table": lambda t, ps: f"<table><tr><td class=sidebar>{prose(rng, 6)}<td><h2>{t}</h2>{''.join(f'<div>{p}</div>' for p in ps)}<form>search <input></form></table>",
+        "list": lambda t, ps: f"<main><header><h1>{t}</h1></header><ul>{''.join(f'<li>{p}' for p in ps)}</ul><p>Subscribe to our letter now</p></main><div class='cookie-consent'>ok</div>",
+    }
+    rows, want = [], {}
+    for k, (host, made) in enumerate(templates.items()):
+        for i in range(20):
+            title, ps = prose(rng, rng.randint(1, 6)), [prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 5))]
+            rows.append((100 * k + i, f"https://{host}.example/{i}", made(title.replace("a", "<i>a</i>", 1), [p.replace(" ", "\n  ", 1) for p in ps]), "w", "p"))
+            want[100 * k + i] = "\n".join([title, *ps])
+    docs = make(spark, rows + [(900, None, None, None, None)], "page_id long, url string, html string, wrapper string, host string").repartition(7)
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract_pages(docs).collect()}
+    assert got == {i: (t, len(t)) for i, t in {**want, 900: ""}.items()}
+
+
 def test_words_and_held_out():
     h, d = common.word_hashes(["The the x", None, "THE"])
     assert d.tolist() == [0, 0, 2] and h[0] == h[2] != h[1]
