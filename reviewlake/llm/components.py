@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reviewlake.llm.common import cut
 
 #: Distinct edges up to which one task solves the rest (16 bytes an edge).
-LOCAL_EDGES = 500_000
+LOCAL_EDGES = 2_000
 
 
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

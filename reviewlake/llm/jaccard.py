@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by a token-group matrix (operator 7).
 
 Every text becomes its set of distinct k-word shingles; two texts link when 100 * |intersection| >= percent * |union|. The
-join is exact (but for 64-bit hash collisions) and emits no pairs within copies:
+join is exact (but for collisions of two 63-bit digests at once, or of 64-bit shingle hashes) and emits no pairs within copies:
 
-1. Texts with equal sets are one class, known by a digest of the set; only classes go on.
+1. Texts with equal sets are one class, known by a 63-bit digest of the set; only classes go on. Digests that different sets
+   share (told by a second digest; about one pair in 2^64, so at 10^10 sets a handful) are replaced by the second one.
 2. Classes are partitioned into families that hold every possible link. Two sets that link differ in at most H(size)
    tokens. Tokens are dealt by hash to more than H parts, so some untouched part is equal in both (of larger sets: to more
    than H/2 parts of three thirds, so some part has two equal thirds, which are rarer to agree by chance); classes that
@@ -35,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from reviewlake.llm.common import blocks, cut, lean, mix, shingle_sets, small_side, table
-from reviewlake.llm.components import components, star_forest
+from reviewlake.llm.common import blocks, cut, free_name, lean, mix, shingle_sets, small_side, table
+from reviewlake.llm.components import LOCAL_EDGES, components, star_forest
 
 #: Signatures gathered in a map task before they are combined and sent.
 FLUSH = 500_000
@@ -66,15 +67,25 @@ def levels(percent: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first), np.array([max_difference(b - 1, percent) for b in first[1:]] + [0])
 
 
-def set_digests(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One 63-bit digest (as an even int64) of each set; 0 for an empty one. h is in order of doc."""
-    out = np.zeros(len(n), np.uint64)
+def digest_pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 63-bit digests (as even int64s) of each set; 0 for an empty one. h is in order of the sets."""
+    out = np.zeros((2, len(n)), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-        s1, s2 = np.add.reduceat(mix(h), at), np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
-        out[full] = mix(s1 + mix(s2 + n[full].astype(np.uint64)))
-    return out.view(np.int64) & ~np.int64(1)
+        for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            s1, s2 = np.add.reduceat(mix(h + np.uint64(k)), at), np.add.reduceat(mix(h ^ np.uint64(salt)), at)
+            out[k, full] = mix(s1 + mix(s2 + n[full].astype(np.uint64)))
+    first, second = out.view(np.int64) & ~np.int64(1)
+    return first, second
+
+
+def set_digests(h: np.ndarray, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The digest that names each set: the first, or the second if different sets share the first (a sorted array)."""
+    first, second = digest_pairs(h, n)
+    if not len(shared):
+        return first
+    return np.where(shared[np.minimum(np.searchsorted(shared, first), len(shared) - 1)] == first, second, first)
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,10 +174,11 @@ def _classes(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
-            n, cls = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+            n, cls, second = np.zeros((3, len(pdf)), np.int64)
             for b, e, h, doc, m in _sets(texts, k):
-                n[b:e], cls[b:e] = m, set_digests(h, doc, m)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": n, "cls": cls})
+                n[b:e] = m
+                cls[b:e], second[b:e] = digest_pairs(h, m)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": n, "cls": cls, "second": second})
 
     return run
 
@@ -204,7 +216,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), names[index]
 
 
-def _send(k: int, percent: int, buckets: int, bounds: np.ndarray):
+def _send(k: int, percent: int, buckets: int, bounds: np.ndarray, shared: np.ndarray):
     """Rows (bucket, kind, blob): of kind 0 combined signatures, of kind 1 edges found in the task."""
 
     def flush(sigs: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pd.DataFrame]:
@@ -226,7 +238,7 @@ def _send(k: int, percent: int, buckets: int, bounds: np.ndarray):
         for pdf in batches:
             texts = pdf.loc[pdf["doc_id"].notna(), "text"].tolist()
             for _, _, h, doc, n in _sets(texts, k):
-                cls = set_digests(h, doc, n)
+                cls = set_digests(h, n, shared)
                 fresh = np.zeros(len(n), bool)
                 for i in np.flatnonzero(n):  # one of a task's equal sets signs for all
                     if (c := int(cls[i])) not in seen:
@@ -261,7 +273,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _fetch(k: int):
+def _fetch(k: int, shared: np.ndarray):
     """Token sets of the family members, a row for each pair of blocks that the member is needed in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,7 +281,7 @@ def _fetch(k: int):
             texts, want = pdf["text"].tolist(), pdf["cls"].to_numpy()
             slots = [(pdf[f"fam{x}"].to_numpy(), pdf[f"nb{x}"].to_numpy()) for x in (0, 1)]
             for b, e, h, doc, n in _sets(texts, k):
-                cls = set_digests(h, doc, n)
+                cls = set_digests(h, n, shared)
                 at = np.concatenate([[0], np.cumsum(n)])
                 rows = []
                 for i in range(e - b):
@@ -357,11 +369,15 @@ def _verify(percent: int):
     return run
 
 
-def _linked(docs: DataFrame, k: int, percent: int, block_sets: int, block_tokens: int, broadcast_rows: int, local_edges: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, cls) of every row, and (named_cls, of, component) of the classes of more than one row or with a
-    link: a class that names the component, and the smallest doc_id in it."""
+def _linked(docs: DataFrame, k: int, percent: int, block_sets: int, block_tokens: int, broadcast_rows: int, local_edges: int, suspect: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, cls) of every row; (named_cls, of, component) of the classes of more than one row or with a link: a
+    class that names the component, and the smallest doc_id in it; and the digests that are shared, or taken to be (suspect)."""
     docs = lean(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = cut(docs.mapInPandas(_classes(k), "doc_id long, n_shingles long, cls long"))
+    rows = cut(docs.mapInPandas(_classes(k), "doc_id long, n_shingles long, cls long, second long"))
+    twice = rows.groupBy("cls").agg(F.min("second").alias("least"), F.max("second").alias("most")).filter("least != most").select("cls").collect()
+    shared = np.array(sorted({r["cls"] for r in twice} | set(suspect)), np.int64)
+    rows = rows.withColumn("cls", F.when(F.col("cls").isin(shared.tolist()), F.col("second")).otherwise(F.col("cls"))) if len(shared) else rows
+    rows = rows.drop("second")
     total, longest = (x or 0 for x in rows.agg(F.sum("n_shingles"), F.max("n_shingles")).first())
     tokens: dict[int, int] = {}
     if percent < 100:  # a count a level, as many as the logarithm of the longest text
@@ -369,7 +385,7 @@ def _linked(docs: DataFrame, k: int, percent: int, block_sets: int, block_tokens
         level = F.size(F.filter(F.lit(first), lambda x: x <= F.col("n_shingles"))) - 1
         tokens = {x["level"]: x["tokens"] for x in rows.filter("n_shingles > 0").groupBy(level.alias("level")).agg(F.sum("n_shingles").alias("tokens")).collect()}
     buckets = max(1, total * (100 - percent) // 30 // BUCKET_SIGNATURES + 1)
-    sent = docs.mapInPandas(_send(k, percent, int(buckets), level_bounds(tokens)), "bucket long, kind int, blob binary")
+    sent = docs.mapInPandas(_send(k, percent, int(buckets), level_bounds(tokens), shared), "bucket long, kind int, blob binary")
     family = components(sent.groupBy("bucket").applyInPandas(_meet, "a long, b long"), local_edges)
     family = family.select("node", F.col("comp").alias("fam"))
     family = cut(family.union(family.select(F.col("fam").alias("node"), "fam").distinct()))
@@ -382,7 +398,7 @@ def _linked(docs: DataFrame, k: int, percent: int, block_sets: int, block_tokens
     slots = [F.coalesce(F.max(F.when(F.col("down") == x, F.col(c))), F.lit(0).cast("long")).alias(f"{c}{x}") for x in (0, 1) for c in ("fam", "nb")]
     member = cut(member.groupBy("cls").agg(F.min("low").alias("doc_id"), *slots))
     n_member = member.count()
-    fetched = docs.join(small_side(member, n_member, broadcast_rows), "doc_id").select("text", "cls", "fam0", "nb0", "fam1", "nb1").mapInPandas(_fetch(k), "fam long, bi long, bj long, blk long, cls long, tokens binary")
+    fetched = docs.join(small_side(member, n_member, broadcast_rows), "doc_id").select("text", "cls", "fam0", "nb0", "fam1", "nb1").mapInPandas(_fetch(k, shared), "fam long, bi long, bj long, blk long, cls long, tokens binary")
     keys = ["fam", "bi", "bj"]
     links = fetched.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_verify(percent), "a long, b long")
     comp = cut(components(links, local_edges))
@@ -391,7 +407,7 @@ def _linked(docs: DataFrame, k: int, percent: int, block_sets: int, block_tokens
     odd = whole.join(small_side(found, n_member, broadcast_rows), "cls", "left").filter("copies > 1 or of is not null").withColumn("of", F.coalesce("of", "cls"))
     low = cut(odd.select("cls", "of", "low"))
     least = low.groupBy("of").agg(F.min("low").alias("component"))
-    return rows, cut(low.join(least, "of").select(F.col("cls").alias("named_cls"), "of", "component"))
+    return rows, cut(low.join(least, "of").select(F.col("cls").alias("named_cls"), "of", "component")), shared
 
 
 def _name(rows: DataFrame, named: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -400,19 +416,19 @@ def _name(rows: DataFrame, named: DataFrame, broadcast_rows: int) -> DataFrame:
     return rows.join(named, on, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS, broadcast_rows: int = 100_000, local_edges: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS, broadcast_rows: int = 100_000, local_edges: int = LOCAL_EDGES, suspect: tuple[int, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    return _name(*_linked(docs, k, percent, block_sets, block_tokens, broadcast_rows, local_edges), broadcast_rows)
+    return _name(*_linked(docs, k, percent, block_sets, block_tokens, broadcast_rows, local_edges, suspect)[:2], broadcast_rows)
 
 
-def _add_classes(k: int, at: int):
+def _add_classes(k: int, at: int, shared: np.ndarray, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             n, cls = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for b, e, h, doc, m in _sets(texts, k):
-                n[b:e], cls[b:e] = m, set_digests(h, doc, m)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(cls)], names=[*batch.schema.names, "n_shingles_", "cls_"])
+                n[b:e], cls[b:e] = m, set_digests(h, m, shared)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(cls)], names=[*batch.schema.names, *names])
 
     return run
 
@@ -421,22 +437,24 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_r
     """The rows of docs, with all their columns, but for those that link with another one that stays: of each component one row
     of the smallest doc_id stays. Rows are told apart by their sets, so an id may stand for several texts; of equal rows
     without shingles one stays."""
-    rows, named = _linked(docs, k, percent, BLOCK_SETS, BLOCK_TOKENS, broadcast_rows, 500_000)
-    gone = cut(_name(rows, named, broadcast_rows).filter("component_id != doc_id").select(F.col("doc_id").alias("gone_id")))
-    again = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id")))
+    rows, named, shared = _linked(docs, k, percent, BLOCK_SETS, BLOCK_TOKENS, broadcast_rows, LOCAL_EDGES)
+    gone_id, again_id, size, cls, own, of, low = (free_name(docs.columns, x) for x in ("gone_id", "again_id", "set_size", "set_digest", "named_digest", "component_of", "component_low"))
+    gone = cut(_name(rows, named, broadcast_rows).filter("component_id != doc_id").select(F.col("doc_id").alias(gone_id)))
+    again = cut(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias(again_id)).count().filter("count > 1").select(again_id))
     n = again.count()
     gone = small_side(gone, gone.count(), broadcast_rows)
     if not n:
-        return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    same, again = F.col("doc_id") == F.col("again_id"), small_side(again, n, broadcast_rows)
-    once = docs.join(again, same, "left_anti").join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+        return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    same, again = F.col("doc_id") == F.col(again_id), small_side(again, n, broadcast_rows)
+    once = docs.join(again, same, "left_anti").join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
     many = lean(docs.join(again, same, "left_semi"))  # ids of several rows: their texts tell which component each row is of
-    schema = StructType([*many.schema.fields, StructField("n_shingles_", LongType()), StructField("cls_", LongType())])
-    many = cut(many.mapInArrow(_add_classes(k, docs.columns.index("text")), schema))
-    empty = many.filter("n_shingles_ = 0").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    held = many.filter("n_shingles_ > 0").join(small_side(named, named.count(), broadcast_rows), F.col("cls_") == F.col("named_cls"), "left")
-    alone = held.filter("named_cls is null").select(*docs.columns)
-    first = held.filter("doc_id = component").groupBy("of").agg(F.min_by(F.struct(*docs.columns), F.struct("cls_", "text")).alias("row")).select("row.*")
+    schema = StructType([*many.schema.fields, StructField(size, LongType()), StructField(cls, LongType())])
+    many = cut(many.mapInArrow(_add_classes(k, docs.columns.index("text"), shared, [size, cls]), schema))
+    empty = many.filter(F.col(size) == 0).dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    named = named.select(F.col("named_cls").alias(own), F.col("of").alias(of), F.col("component").alias(low))
+    held = many.filter(F.col(size) > 0).join(small_side(named, named.count(), broadcast_rows), F.col(cls) == F.col(own), "left")
+    alone = held.filter(F.col(own).isNull()).select(*docs.columns)
+    first = held.filter(F.col("doc_id") == F.col(low)).groupBy(of).agg(F.min_by(F.struct(*docs.columns), F.struct(cls, "text")).alias("row")).select("row.*")
     return once.unionByName(empty).unionByName(alone).unionByName(first)
 
 

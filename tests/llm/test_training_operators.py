@@ -69,6 +69,16 @@ def test_jaccard_is_exact(spark, k, percent, limits):
     assert got == brute_components(rows, k, percent)
 
 
+def test_jaccard_with_shared_digests(spark):
+    rows = corpus()
+    docs = make(spark, rows, "doc_id long, text string")
+    h, doc = common.shingle_sets([t for _, t in rows], 3)
+    first, second = jaccard.digest_pairs(h, np.bincount(doc, minlength=len(rows)))
+    assert len(set(first.tolist())) == len(set(second.tolist())) == len(set(zip(first.tolist(), second.tolist()))) and not set(first.tolist()) & set(second.tolist()) - {0}
+    suspect = tuple(sorted(set(first.tolist()) - {0}))[::2]  # half of the classes go by their second digest
+    assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs, 3, 90, suspect=suspect).collect()} == brute_components(rows, 3, 90)
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(make(spark, [])).count() == 0
     rows = [(None, "a b c d", "en", "s", 1), (None, "a b c d", "en", "s", 1), (3, "a b c d", None, None, None), (3, "a b c d", None, None, None), (4, "A b c d", "x", "y", 0)]
