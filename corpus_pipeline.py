@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicate removal, decontamination, secret redaction, mixing of sources.
 
 A stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next one's docs.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents. A table goes when the one after it is written; the last one, which
+the result reads, stays in the checkpoint folder as checkpoints do.
 """
 
 from __future__ import annotations
@@ -48,6 +49,11 @@ STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the tables between them are in the shared checkpoint folder."""
     docs = table(spark, sf_dir, "documents")
@@ -57,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
