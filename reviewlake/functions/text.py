@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,8 +84,13 @@ def reviewer_id(signature: Column) -> Column:
 
 
 def sanitize_model_name(c: Column) -> Column:
-    """A name that is safe in paths: the last path part, odd characters to underscores."""
-    return F.regexp_replace(F.try_element_at(F.split(F.regexp_replace(c, "/+$", ""), "/"), F.lit(-1)), r"[^A-Za-z0-9._-]+", "_")
+    """A name that is safe in paths: lower case, odd characters to single hyphens, none at the ends."""
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"(?:[^a-zA-Z0-9_.-]|-)+", "-")), "^-+|-+$", "")
+
+
+def model_folder(name: str) -> str:
+    """T25 on a string."""
+    return re.sub(r"(?:[^a-zA-Z0-9_.-]|-)+", "-", name).lower().strip("-")
 
 
 def pdf_hash(path: Column) -> Column:

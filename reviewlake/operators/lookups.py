@@ -17,26 +17,32 @@ def two_key_lookup(rows: DataFrame, papers: DataFrame, row_id: str, row_title: s
     return found.withColumn("gs_citation", F.when(c >= 0, c)).drop("_id", "_t", "_c1", "_c2")
 
 
-def prefix_lookup(ids: DataFrame, index: DataFrame, key: str = "id", stem: str = "stem", part: str = "year", delimiter: str | None = None, probe: int = 4) -> DataFrame:
-    """The first stem in order that starts with the id (or is it, or goes on with the delimiter), within the part.
+def _starting(ids: DataFrame, index: DataFrame, key: str, part: str) -> DataFrame:
+    """Each distinct (part, id), as _g and _k, with the rows of index(_part, _stem, ...) whose stem begins with it.
 
-    A fixed-length prefix is an equi key besides the part, so candidates meet by hash and not by comparing all pairs. Ids shorter than probe meet by their own length.
+    Stems send their beginnings of the lengths that ids have (few numbers), so whole ids meet by hash, however alike they begin.
     """
-    short = ids.withColumn("_n", F.least(F.length(key), F.lit(probe)))
-    short = short.withColumn("_p", F.substring(F.col(key), F.lit(1), F.col("_n")))
-    keyed = index.select(F.col(part).alias("_part"), F.col(stem).alias("_stem")).withColumn("_m", F.explode(F.sequence(F.lit(0), F.least(F.length("_stem"), F.lit(probe)))))
-    keyed = keyed.withColumn("_q", F.substring(F.col("_stem"), F.lit(1), F.col("_m")))
-    starts = F.startswith(F.col("_stem"), F.col(key)) if delimiter is None else (F.col("_stem") == F.col(key)) | F.startswith(F.col("_stem"), F.concat(F.col(key), F.lit(delimiter)))
-    met = short.join(keyed, (F.col(part) == F.col("_part")) & (F.col("_n") == F.col("_m")) & (F.col("_p") == F.col("_q")) & starts)
-    first = met.groupBy(F.col(part).alias("_g"), F.col(key).alias("_k")).agg(F.min("_stem").alias(stem))
+    asked = ids.select(F.col(part).alias("_g"), F.col(key).alias("_k")).filter("_k is not null").distinct()
+    lengths = sorted(r[0] for r in asked.select(F.length("_k")).distinct().collect())
+    begun = index.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).filter(F.length("_stem") >= F.col("_n"))
+    begun = begun.withColumn("_begin", F.left(F.col("_stem"), F.col("_n"))).drop("_n")
+    return asked.join(begun, (F.col("_g") == F.col("_part")) & (F.col("_k") == F.col("_begin")))
+
+
+def prefix_lookup(ids: DataFrame, index: DataFrame, key: str = "id", stem: str = "stem", part: str = "year", delimiter: str | None = None) -> DataFrame:
+    """The first stem in order that starts with the id (or is it, or goes on with the delimiter), within the part."""
+    met = _starting(ids, index.select(F.col(part).alias("_part"), F.col(stem).alias("_stem")), key, part)
+    if delimiter is not None:
+        met = met.filter((F.col("_stem") == F.col("_k")) | F.startswith(F.col("_stem"), F.concat("_k", F.lit(delimiter))))
+    first = met.groupBy("_g", "_k").agg(F.min("_stem").alias(stem))
     return ids.join(first, (F.col(part) == F.col("_g")) & (F.col(key) == F.col("_k")), "left").drop("_g", "_k")
 
 
 def priority_lookup(ids: DataFrame, index: DataFrame, key: str = "id", part: str = "year") -> DataFrame:
     """Like prefix_lookup over index(year, stem, priority, path): least priority first, then stem."""
-    met = ids.join(index.withColumnRenamed(part, "_part"), (F.col(part) == F.col("_part")) & F.startswith(F.col("stem"), F.col(key)))
-    best = met.groupBy(F.col(part).alias("_g"), F.col(key).alias("_k")).agg(F.min_by(F.struct("stem", "path"), F.struct("priority", "stem")).alias("_b"))
-    return ids.join(best, (F.col(part) == F.col("_g")) & (F.col(key) == F.col("_k")), "left").select(*ids.columns, F.col("_b.stem").alias("stem"), F.col("_b.path").alias("path"))
+    met = _starting(ids, index.select(F.col(part).alias("_part"), F.col("stem").alias("_stem"), "priority", "path"), key, part)
+    best = met.groupBy("_g", "_k").agg(F.min(F.struct("priority", "_stem", "path")).alias("_b"))
+    return ids.join(best, (F.col(part) == F.col("_g")) & (F.col(key) == F.col("_k")), "left").select(*ids.columns, F.col("_b._stem").alias("stem"), F.col("_b.path").alias("path"))
 
 
 def latest_before(rows: DataFrame, key: str, ts: str, pos: str, value: Column, cutoff: Column) -> DataFrame:
@@ -71,3 +77,30 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """U4: one row a key, the last in order."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def latest_revision(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The latest row of each key, by partial aggregation."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
+
+
+def revision_numbers(rows: DataFrame, key: str, ts: str, pos: str, name: str = "revision") -> DataFrame:
+    """The rows of each key numbered from 1 by time (none counts as 0), then position."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce(F.col(ts), F.lit(0).cast(rows.schema[ts].dataType)), pos)))
+
+
+def only_known(rows: DataFrame, known: DataFrame, key: str, known_key: str) -> DataFrame:
+    """Rows whose key is in the other table."""
+    return rows.join(known.select(F.col(known_key).alias("_known")), F.col(key) == F.col("_known"), "left_semi")
+
+
+def with_dimension(rows: DataFrame, dimension: DataFrame, key: str, dimension_key: str, *columns: str) -> DataFrame:
+    """Columns of a dimension, of which each key has at most one row; null where it lacks the key."""
+    held = dimension.select(F.col(dimension_key).alias("_key"), *columns)
+    return rows.join(held, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def key_sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, side) of all distinct keys of two tables: both, left or right."""
+    held = a.select(key, F.lit(1).alias("_s")).unionByName(b.select(key, F.lit(2).alias("_s"))).groupBy(key).agg(F.bit_or("_s").alias("_s"))
+    return held.select(key, F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("both")), F.col("_s")).alias("side"))

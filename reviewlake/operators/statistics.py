@@ -47,3 +47,33 @@ def dropped_examples(rows: DataFrame, group: str, key: str, reason: Column, n: i
     """The first n dropped rows of each group with the reason."""
     w = Window.partitionBy(group).orderBy(key)
     return rows.withColumn("reason", reason).filter("reason is not null").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).select(group, key, "reason")
+
+
+def child_averages(parents: DataFrame, children: DataFrame, key: str, parent_key: str, group: str) -> DataFrame:
+    """A2, A10: (group, papers, reviews, average): children in all and on average by a column of their parents, from per-parent counts."""
+    per = children.groupBy(F.col(parent_key).alias("_parent")).agg(F.count("*").alias("_k"))
+    rows = parents.join(per, F.col(key) == F.col("_parent"))
+    return rows.groupBy(group).agg(F.count("*").alias("papers"), F.sum("_k").alias("reviews")).withColumn("average", F.col("reviews") / F.col("papers"))
+
+
+def distinct_values(rows: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, values, n): the distinct values that are there, in order, and how many."""
+    return rows.groupBy(group).agg(F.sort_array(F.collect_set(column)).alias("values"), F.count_distinct(column).alias("n"))
+
+
+def success_rate(rows: DataFrame, group: str, passed: Column) -> DataFrame:
+    """Share of rows of each group that pass, in percent."""
+    return rows.groupBy(group).agg(F.avg(F.when(passed, 100.0).otherwise(0.0)).alias("rate"))
+
+
+def validation_counts(rows: DataFrame, group: str, key: str, checks: dict[str, Column], examples: int = 100) -> DataFrame:
+    """Rows of each group, how many pass each check, and the first keys that fail the first one (a sample, in order)."""
+    first = F.coalesce(next(iter(checks.values())), F.lit(False))
+    counts = rows.groupBy(group).agg(F.count("*").alias("total"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()])
+    failed = dropped_examples(rows, group, key, F.when(~first, F.lit("missing")), examples).groupBy(F.col(group).alias("_g")).agg(F.sort_array(F.collect_list(key)).alias("missing"))
+    return counts.join(failed, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+
+
+def top_values(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """O1, O2: the n most frequent values, ties in order."""
+    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)

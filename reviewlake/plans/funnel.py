@@ -98,9 +98,8 @@ def violation_subsets(load):
 @query("review_averages", "SELECT o_orderstatus AS status, count(DISTINCT l_orderkey) AS papers, count(*) AS reviews, round(count(*)::DOUBLE / count(DISTINCT l_orderkey), 6) AS average FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def review_averages(load):
     """A2, A10: children in all and on average, from per-parent counts."""
-    per = load("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("k"))
-    rows = load("orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("papers"), F.sum("k").alias("reviews")).withColumn("average", F.round(F.col("reviews") / F.col("papers"), 6))
+    found = S.child_averages(load("orders").withColumnRenamed("o_orderstatus", "status"), load("lineitem"), "o_orderkey", "l_orderkey", "status")
+    return found.withColumn("average", F.round("average", 6))
 
 
 @query("value_counts", f"WITH {PAPERS_SQL} SELECT year, decision, count(*) AS n FROM papers GROUP BY ALL")
@@ -130,7 +129,7 @@ def dropped_examples(load):
 @query("distinct_decisions", f"WITH {PAPERS_SQL} SELECT year, string_agg(DISTINCT decision, ',' ORDER BY decision) AS decisions, count(DISTINCT decision) AS n FROM papers GROUP BY year")
 def distinct_decisions(load):
     """A14, A15."""
-    return papers(load).groupBy("year").agg(F.array_join(F.sort_array(F.collect_set("decision")), ",").alias("decisions"), F.count_distinct("decision").alias("n"))
+    return S.distinct_values(papers(load), "year", "decision").select("year", F.array_join("values", ",").alias("decisions"), "n")
 
 
 @query("first_labels", "SELECT source AS key, arg_min(lang, doc_id) AS label, min(doc_id) AS first_index FROM documents GROUP BY source")
@@ -142,10 +141,15 @@ def first_labels(load):
 @query("parse_success_rate", "SELECT role, round(avg(CASE WHEN contains(text, '.') THEN 100.0::DOUBLE ELSE 0 END), 6) AS rate FROM conversations GROUP BY role")
 def parse_success_rate(load):
     """A16."""
-    return load("conversations").groupBy("role").agg(F.round(F.avg(F.when(F.contains("text", F.lit(".")), 100.0).otherwise(0.0)), 6).alias("rate"))
+    return S.success_rate(load("conversations"), "role", F.contains("text", F.lit("."))).withColumn("rate", F.round("rate", 6))
 
 
-@query("validation_stats", f"WITH {PAPERS_SQL} SELECT year, count(*) AS total, count_if(regexp_matches(text, '^[A-Z]')) AS with_abstract, count_if(contains(lower(text), 'intr')) AS with_intro FROM papers GROUP BY year")
+@query(
+    "validation_stats",
+    f"""WITH {PAPERS_SQL}, v AS (SELECT *, coalesce(regexp_matches(text, '^[A-Z]'), false) AS a, row_number() OVER (PARTITION BY year, coalesce(regexp_matches(text, '^[A-Z]'), false) ORDER BY submission_id) AS rn FROM papers)
+SELECT year, count(*) AS total, count_if(a) AS with_abstract, count_if(contains(lower(text), 'intr')) AS with_intro, string_agg(submission_id::VARCHAR, ',' ORDER BY submission_id) FILTER (NOT a AND rn <= 5) AS missing FROM v GROUP BY year""",
+)
 def validation_stats(load):
     """A13."""
-    return papers(load).groupBy("year").agg(F.count("*").alias("total"), F.count_if(F.col("text").rlike("^[A-Z]")).alias("with_abstract"), F.count_if(F.contains(F.lower("text"), F.lit("intr"))).alias("with_intro"))
+    found = S.validation_counts(papers(load), "year", "submission_id", {"with_abstract": F.col("text").rlike("^[A-Z]"), "with_intro": F.contains(F.lower("text"), F.lit("intr"))}, 5)
+    return found.withColumn("missing", F.array_join(F.transform("missing", lambda x: x.cast("string")), ","))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reviewlake.operators import lookups as L
 from reviewlake.operators import splits as W
+from reviewlake.operators import statistics as S
 from reviewlake.plans.funnel import PAPERS_SQL, papers
 from reviewlake.plans.registry import query
 from reviewlake.sources import files as IO
@@ -66,8 +66,8 @@ def latest_before_cutoff(load):
 @query("revision_number", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS revision FROM events WHERE user_id IS NOT NULL")
 def revision_number(load):
     """P12, W3."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load("events").filter("user_id is not null").select("event_id", F.row_number().over(w).alias("revision"))
+    events = load("events").filter("user_id is not null").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    return L.revision_numbers(events, "user_id", "ts", "event_id").select("event_id", "revision")
 
 
 @query("avg_revisions", "SELECT event_type, count(*) AS n, round(count(*)::DOUBLE / count(DISTINCT user_id), 6) AS average FROM events GROUP BY event_type")
@@ -110,7 +110,7 @@ def anti_resume(load):
 @query("semi_valid", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def semi_valid(load):
     """J5."""
-    return load("customer").select("c_custkey").join(load("orders").filter("o_totalprice > 200000").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    return L.only_known(load("customer").select("c_custkey"), load("orders").filter("o_totalprice > 200000"), "c_custkey", "o_custkey")
 
 
 @query("manifest_replace", "SELECT o_orderkey, year(o_orderdate)::INTEGER AS year, CASE WHEN year(o_orderdate) = 1995 THEN 'new' ELSE o_orderstatus END AS status FROM orders")
@@ -130,15 +130,18 @@ def last_wins(load):
 def assembly(load):
     """A chain of joins, the many side aggregated first."""
     per = load("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("k"))
-    out = load("orders").join(load("customer"), F.col("o_custkey") == F.col("c_custkey")).join(load("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return out.join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "c_name", "n_name", "k")
+    out = L.with_dimension(load("orders").join(load("customer"), F.col("o_custkey") == F.col("c_custkey")), load("nation"), "c_nationkey", "n_nationkey", "n_name")
+    return L.with_dimension(out, per, "o_orderkey", "l_orderkey", "k").select("o_orderkey", "c_name", "n_name", "k")
 
 
-@query("key_sets", "(SELECT DISTINCT o_custkey AS k, 'both' AS side FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)) UNION ALL (SELECT c_custkey, 'only' FROM customer WHERE c_custkey % 2 = 0 EXCEPT SELECT o_custkey, 'only' FROM orders)")
+@query(
+    "key_sets",
+    "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) SELECT k, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side FROM a FULL JOIN b USING (k)",
+)
 def key_sets(load):
     """U1-U3."""
     a, b = load("orders").select(F.col("o_custkey").alias("k")), load("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(b.subtract(a).withColumn("side", F.lit("only")))
+    return L.key_sides(a, b, "k")
 
 
 @query("first_n_per_group", f"WITH {PAPERS_SQL} SELECT year, submission_id FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY submission_id) AS rn FROM papers) WHERE rn <= 10")
@@ -204,10 +207,17 @@ def contamination_split(load):
 @query("top_counts", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
 def top_counts(load):
     """O1, O2."""
-    return load("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_orderpriority").limit(3)
+    return S.top_values(load("orders"), "o_orderpriority", 3)
 
 
 @query("missing_shards", "SELECT range AS shard FROM range(100) WHERE range NOT IN (SELECT DISTINCT doc_id % 100 FROM documents WHERE doc_id % 100 < 90)")
 def missing_shards(load):
     """S16."""
     return IO.missing_shards(load("documents").select((F.col("doc_id") % 100).alias("shard")).filter("shard < 90").distinct(), 100)
+
+
+@query("latest_rows", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts)::VARCHAR AS ts FROM events GROUP BY user_id")
+def latest_rows(load):
+    """W2."""
+    events = load("events").select("user_id", "event_id", "ts").withColumn("_at", F.struct("ts", "event_id"))
+    return L.latest_revision(events, "user_id", "_at").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").cast("string").alias("ts"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +20,11 @@ def build_session(app_name: str = "reviewlake", master: str | None = None, **ext
     if master:
         builder = builder.master(master)
     return builder.config(map={**SETTINGS, **extra}).getOrCreate()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once for several uses that must agree: a checkpoint where the session has a folder for them, else kept on disk."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
