@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from reviewlake.llm.common import table
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 16384, 8192
-#: Query rows whose score arrays are held at once.
-STRIPE = 64
 PAIR = "qb long, cb long, side int, ids binary, dims int, width int, body binary"
 
 
@@ -77,27 +75,29 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     postings = []
     for t in range(dims):
         at = np.flatnonzero(c[:, t])
-        postings.append((slice(None) if len(at) == len(c) else at, np.ascontiguousarray(c[at, t])))
+        at = slice(None) if 2 * len(at) >= len(c) else at  # a term that most rows hold is read whole
+        postings.append((at, np.ascontiguousarray(c[at, t])))
     out_q, out_c, out_s = [], [], []
-    for s in range(0, len(q), STRIPE):
-        part = q[s : s + STRIPE]
-        scores = np.zeros((len(part), len(c)), kind)
-        for t, (at, weights) in enumerate(postings):
-            rows = np.flatnonzero(part[:, t])
-            scores[rows if isinstance(at, slice) else np.ix_(rows, at)] += part[rows, t][:, None] * weights
-        if kind is object:
-            scores = np.clip(scores, -(2**63), 2**63 - 1)
-        scores = scores.astype(np.int64)
-        for i, row in enumerate(scores):
-            own = q_ids[s + i]
-            others = np.flatnonzero(c_ids != own)
-            if len(others) > k:
-                low = np.partition(row[others], len(others) - k)[len(others) - k]
-                others = others[row[others] >= low]
-                others = others[np.argsort(~row[others], kind="stable")[:k]]  # ids ascend: ties to the smaller
-            out_q.append(np.full(len(others), own))
-            out_c.append(c_ids[others])
-            out_s.append(row[others])
+    scores, part = np.zeros(len(c), kind), np.zeros(len(c), kind)  # of one query: small enough to stay in a core's cache
+    for i, weights in enumerate(q):
+        scores[:] = 0
+        for t in np.flatnonzero(weights[:dims]):
+            at, values = postings[t]
+            if isinstance(at, slice):
+                np.multiply(values, weights[t], out=part)
+                scores += part
+            else:
+                scores[at] += values * weights[t]
+        row = (np.clip(scores, -(2**63), 2**63 - 1) if kind is object else scores).astype(np.int64)
+        own = q_ids[i]
+        others = np.flatnonzero(c_ids != own)
+        if len(others) > k:
+            low = np.partition(row[others], len(others) - k)[len(others) - k]
+            others = others[row[others] >= low]
+            others = others[np.argsort(~row[others], kind="stable")[:k]]  # ids ascend: ties to the smaller
+        out_q.append(np.full(len(others), own))
+        out_c.append(c_ids[others])
+        out_s.append(row[others])
     if not out_q:
         none = np.zeros(0, np.int64)
         return none, none, none
