@@ -103,7 +103,7 @@ def from_millis(c: Column) -> Column:
 
 def epoch_seconds(c: Column) -> Column:
     """Seconds of a timestamp after 1970."""
-    return F.when(F.year(c) > 1970, F.unix_timestamp(c))
+    return F.when(F.unix_micros(c.cast("timestamp")) > 0, F.unix_timestamp(c))
 
 
 def latency(first: Column, last: Column) -> Column:

@@ -117,3 +117,17 @@ def render_markdown(items: Column) -> Column:
 def to_points(bbox: Column, width: Column, height: Column) -> Column:
     """A box in the 0-1000 space in points of a page."""
     return F.transform(bbox, lambda v, i: v / 1000.0 * F.when(i % 2 == 0, width).otherwise(height))
+
+
+def normalised_papers(df: DataFrame, items: str = "items") -> DataFrame:
+    """Df with markdown, counts of removed items by reason, has_abstract, page_end, and success and error: why a paper has no markdown."""
+    got = filter_layout(df, items)
+    kept = kept_items(F.col(items), F.col("layout_reason"))
+    error = F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "Empty content list").when(F.size(kept) == 0, "No content after filtering")
+    reasons = ("before_intro", "after_references", "reproducibility", "acknowledgments", "footnote", "header")
+
+    def count(reason: str) -> Column:
+        return F.size(F.filter(F.coalesce("layout_reason", F.array().cast("array<string>")), lambda x: x == reason))
+
+    counts = {f"removed_{r}": count(r) for r in reasons}
+    return got.withColumn("error", error).withColumn("success", F.col("error").isNull()).withColumn("markdown", F.when(F.col("success"), render_markdown(kept))).withColumns(counts).drop("layout_reason")

@@ -181,7 +181,7 @@ def note_reviews(replies: Column, year: Column, pretty: bool = False) -> Column:
 def note_meta(replies: Column, year: Column, pretty: bool = False) -> Column:
     """struct(json, error): the parsed meta-review, null without one; error if there is one that isn't valid."""
     found = meta_review(F.coalesce(replies, F.array()), year)
-    parsed = parse_meta(found["content"], year, pretty)
+    parsed = F.when(found.isNotNull(), parse_meta(found["content"], year, pretty))
     return F.struct(parsed.alias("json"), (found.isNotNull() & parsed.isNull()).alias("error"))
 
 

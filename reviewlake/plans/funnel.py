@@ -61,13 +61,16 @@ def coverage_by_decision(load):
 @query(
     "complete_papers",
     f"""WITH {PAPERS_SQL} SELECT year, decision, count(*) AS n, sum(count(*)) OVER (PARTITION BY year)::BIGINT AS of_year FROM papers
-  WHERE decision NOT IN ('Withdrawn', 'Desk Reject') AND n_chars > 400 GROUP BY year, decision""",
+  WHERE decision NOT IN ('Withdrawn', 'Desk Reject') AND text IS NOT NULL AND submission_id % 4 > 0 AND n_chars % 3 > 0 GROUP BY year, decision""",
 )
 def complete_papers(load):
     """A5, F2."""
     from pyspark.sql import Window
 
-    kept = papers(load).filter(D.reviewable(F.col("decision")) & (F.col("n_chars") > 400))
+    from reviewlake.operators.submissions import complete_paper
+
+    md = F.concat(F.when(F.col("submission_id") % 4 > 0, "# Abstract\n").otherwise(""), F.translate("text", "#", ""), F.when(F.col("n_chars") % 3 > 0, "\n\n## REFERENCES\n[1]").otherwise(""))
+    kept = papers(load).filter(complete_paper(F.col("decision"), md))
     return S.value_counts(kept, "year", "decision").withColumn("of_year", F.sum("n").over(Window.partitionBy("year")))
 
 

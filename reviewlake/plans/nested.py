@@ -98,7 +98,7 @@ def generated(load):
 
 
 def _items(load):
-    """Documents in the role of layouts: a title, an abstract, text by lines, references, a footer."""
+    """Documents in the role of layouts: a title, an abstract, text by lines, footers, thanks, references; how many of each varies."""
     blank = {"type": "string", "text": "string", "text_level": "int", "bbox": "array<double>", "page_idx": "int", "sub_type": "string", "img_path": "string", "image_caption": "array<string>", "table_body": "string", "table_caption": "array<string>", "list_items": "array<string>", "code_body": "string", "guess_lang": "string"}
 
     def item(**given):
@@ -106,19 +106,24 @@ def _items(load):
 
     lines = F.transform(F.split("text", "\n"), lambda x, i: item(type=F.lit("text"), text=x, bbox=F.array(F.lit(100.0), F.lit(0.0), F.lit(900.0), F.lit(9.0)), page_idx=(i / 3 + 1).cast("int")))
     head = lambda t: item(type=F.lit("text"), text=F.lit(t), text_level=F.lit(1), bbox=F.array(F.lit(100.0), F.lit(0.0), F.lit(900.0), F.lit(9.0)), page_idx=F.lit(0))
+    times = lambda x, n: F.array_repeat(x, (F.col("doc_id") % n).cast("int"))
     abstract = item(type=F.lit("text"), text=F.lit("The abstract."), bbox=F.array(F.lit(140.0), F.lit(0.0), F.lit(900.0), F.lit(9.0)), page_idx=F.lit(0))
-    ref = item(type=F.lit("list"), sub_type=F.lit("ref_text"), list_items=F.array(F.lit("[1] A paper")), page_idx=F.lit(9))
+    ref = item(type=F.lit("list"), sub_type=F.lit("ref_text"), list_items=F.array(F.lit("[1] A paper")), page_idx=(F.col("doc_id") % 10).cast("int"))
     foot = item(type=F.lit("footer"), text=F.lit("see github"), page_idx=F.lit(2))
-    parts = F.concat(F.array(head("Title"), head("A b s t r a c t"), abstract, head("1 Introduction")), lines, F.array(foot, head("Acknowledgments"), item(type=F.lit("text"), text=F.lit("Thanks.")), head("References"), ref, head("Appendix")))
+    thanks = item(type=F.lit("text"), text=F.lit("Thanks."))
+    parts = F.concat(F.array(head("Title")), times(abstract, 3), F.array(head("A b s t r a c t"), abstract, head("1 Introduction")), lines, times(foot, 4), F.array(head("Acknowledgments"), thanks), times(thanks, 5), F.array(head("References"), ref, head("Appendix")), times(thanks, 2))
     return load("documents").select("doc_id", "text", parts.alias("items"))
 
 
-@query("layout_filter", "SELECT doc_id, true AS has_abstract, 9 AS page_end, len(string_split(text, chr(10))) + 3 AS kept, 3 AS before, 1 AS after, 2 AS ack, 1 AS foot FROM documents")
+@query(
+    "layout_filter",
+    "SELECT doc_id, true AS has_abstract, (doc_id % 10)::INTEGER AS page_end, len(string_split(text, chr(10))) + 3 AS kept, 3 + doc_id % 3 AS before, 1 + doc_id % 2 AS after, 2 + doc_id % 5 AS ack, doc_id % 4 AS foot FROM documents",
+)
 def layout_filter(load):
     """C1-C5, F15."""
     got = Y.filter_layout(_items(load))
-    count = lambda why: F.size(F.filter("layout_reason", lambda x: x == why))
-    return got.select("doc_id", "has_abstract", "page_end", count("").cast("long").alias("kept"), count("before_intro").alias("before"), count("after_references").alias("after"), count("acknowledgments").alias("ack"), count("footnote").alias("foot"))
+    count = lambda why: F.size(F.filter("layout_reason", lambda x: x == why)).cast("long")
+    return got.select("doc_id", "has_abstract", "page_end", count("").alias("kept"), count("before_intro").alias("before"), count("after_references").alias("after"), count("acknowledgments").alias("ack"), count("footnote").alias("foot"))
 
 
 @query("layout_markdown", "SELECT doc_id, md5(chr(10) || '# 1 INTRODUCTION' || chr(10) || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: chr(10) || x || chr(10)), chr(10)) || chr(10) || chr(10) || '# REFERENCES' || chr(10) || chr(10) || '- [1] A paper' || chr(10)) AS md FROM documents")
@@ -136,10 +141,19 @@ def bbox_points(load):
 
 
 def _markdown():
-    return F.concat(F.lit("# Title\n\n## **ABSTRACT**\n\nThe abstract.\n\n# 1 <span id='a'></span>Introduction\n\n**054 055**"), F.replace(F.col("text"), F.lit("#"), F.lit("")), F.lit("\n\n# Acknowledgements\n\nThanks.\n\n# 2 Results\n\n327\n\nDone.\n\n# References\n\n[1] One.\n\n# Appendix\n\nMore."))
+    """Documents in the role of converted papers: their text without hash signs as the introduction, and some other sections or none."""
+    some = lambda n, text: F.when(F.col("doc_id") % n > 0, text).otherwise("")
+    body = F.regexp_replace(F.translate("text", "#*", ""), "[0-9]", "")
+    return F.concat(
+        F.lit("# Title\n\n"), some(7, "## **ABSTRACT**\n\nThe abstract.\n\n"), F.lit("# 1 <span id='a'></span>Introduction\n\n**054 055**"), body, some(3, "\n\n# Acknowledgements\n\nThanks."), some(4, "\n\n# Reproducibility Statement\n\nAll code."), F.lit("\n\n# 2 Results\n\n327\n\nDone."),
+        some(5, "\n\n# References\n\n[1] One."), F.lit("\n\n# Appendix\n\nMore."),
+    )
+
 
+_BODY = "regexp_replace(translate(text, '#*', ''), '[0-9]', '', 'g')"
 
-@query("md_flags", "SELECT doc_id, true AS abstract, true AS refs, true AS ack, false AS repro, 6 AS headers FROM documents")
+
+@query("md_flags", "SELECT doc_id, doc_id % 7 > 0 AS abstract, doc_id % 5 > 0 AS refs, doc_id % 3 > 0 AS ack, doc_id % 4 > 0 AS repro, 3 + (doc_id % 7 > 0)::INTEGER + (doc_id % 5 > 0)::INTEGER + (doc_id % 3 > 0)::INTEGER + (doc_id % 4 > 0)::INTEGER AS headers FROM documents")
 def md_flags(load):
     """T2-T4, T19, F12."""
     d, md = load("documents"), _markdown()
@@ -153,31 +167,45 @@ def line_number_strip(load):
     return load("documents").select("doc_id", M.strip_line_numbers(body).alias("text"))
 
 
-@query("md_sections", "SELECT doc_id, 7::BIGINT AS n, 'Introduction' AS title, '1' AS number, 'The abstract.' AS abstract, true AS intro FROM documents")
+@query(
+    "md_sections",
+    rf"""SELECT doc_id, 4 + (doc_id % 7 > 0)::INTEGER + (doc_id % 5 > 0)::INTEGER + (doc_id % 3 > 0)::INTEGER + (doc_id % 4 > 0)::INTEGER AS n, '1' AS number, regexp_replace('**054 055**' || {_BODY}, '^\s+|\s+$', '', 'g') AS content,
+  CASE WHEN doc_id % 7 > 0 THEN 'The abstract.' END AS abstract, true AS intro FROM documents""",
+)
 def md_sections(load):
     """T6-T9."""
     rows = load("documents").select("doc_id", M.md_sections(_markdown()).alias("s"), M.md_abstract(_markdown()).alias("abstract"))
-    third = F.get("s", 2)
-    return rows.select("doc_id", F.size("s").cast("long").alias("n"), third["title"].alias("title"), third["number"].alias("number"), "abstract", M.has_intro(F.col("s")).alias("intro"))
+    one = F.get(F.filter("s", lambda x: x["title"] == "Introduction"), 0)
+    short = F.when(F.col("doc_id") % 7 > 0, F.col("abstract"))  # without its header it is the title's text if long
+    return rows.select("doc_id", F.size("s").alias("n"), one["number"].alias("number"), one["content"].alias("content"), short.alias("abstract"), M.has_intro(F.col("s")).alias("intro"))
 
 
-@query("md_clean")
+@query(
+    "md_clean",
+    rf"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace({_BODY}, '[ \t\r\f\x0B]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS body FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 7 > 0 AND doc_id % 5 > 0 THEN '# 1 INTRODUCTION' || CASE WHEN trim(body, E' \n\t\r') = '' THEN '' ELSE chr(10) || chr(10) || trim(body, E' \n\t\r') END || chr(10) || chr(10) || '# 2 RESULTS' || chr(10) || chr(10) || 'Done.' || chr(10) || chr(10) || '# REFERENCES' || chr(10) || chr(10) || '[1] One.' END AS clean, 0 AS ack_in_preamble FROM d""",
+)
 def md_clean(load):
     """T16-T18, T10, T11."""
     d = load("documents").select("doc_id", M.md_clean(_markdown()).alias("clean"), M.md_preamble(_markdown()).alias("preamble"))
     return d.select("doc_id", "clean", F.size(F.regexp_extract_all("preamble", F.lit(r"(?im)^#+ *acknowledg"), 0)).alias("ack_in_preamble"))
 
 
-@query("url_sentences_removed", "SELECT doc_id, 'First one. Last one.' AS text FROM documents")
+@query(
+    "url_sentences_removed",
+    r"""SELECT doc_id, trim(regexp_replace(replace(text, 'http', 'hxxp') || CASE WHEN right(replace(text, 'http', 'hxxp'), 1) = '.' THEN '' ELSE '.' END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' Kept' || doc_id || '.' END || ' Last one.', '\s+', ' ', 'g')) AS text FROM documents""",
+)
 def url_sentences_removed(load):
     """T12, T13."""
-    return load("documents").select("doc_id", M.without_url_sentences(F.concat(F.lit("First one. See https://x/"), F.col("doc_id").cast("string"), F.lit(" now. Last one."))).alias("text"))
+    text = F.replace(F.col("text"), F.lit("http"), F.lit("hxxp"))
+    whole = F.concat(text, F.when(F.endswith(text, F.lit(".")), "").otherwise("."), F.when(F.col("doc_id") % 2 == 0, " See https://x.org/a?b now, and.").otherwise(F.concat(F.lit(" Kept"), F.col("doc_id").cast("string"), F.lit("."))), F.lit(" Last one."))
+    return load("documents").select("doc_id", M.without_url_sentences(whole).alias("text"))
 
 
-@query("strip_footnotes", "SELECT doc_id, 'Body.' || chr(10) || chr(10) || '<sup>2</sup> See Figure ' || doc_id::VARCHAR || chr(10) || '<sup>(</sup>a) kept' AS text FROM documents")
+@query("strip_footnotes", "SELECT doc_id, translate(text, '<†‡', '') || chr(10) || chr(10) || '<sup>2</sup> See Figure ' || doc_id::VARCHAR || chr(10) || '<sup>(</sup>a) kept' AS text FROM documents")
 def strip_footnotes(load):
     """T3."""
-    body = F.concat(F.lit("Body.\n<sup>1</sup> https://x\n<sup>2</sup> See Figure "), F.col("doc_id").cast("string"), F.lit("\n<sup>(</sup>a) kept"))
+    body = F.concat(F.translate("text", "<†‡", ""), F.lit("\n<sup>1</sup> https://x\n<sup>2</sup> See Figure "), F.col("doc_id").cast("string"), F.lit("\n<sup>(</sup>a) kept"))
     return load("documents").select("doc_id", M.strip_footnotes(body).alias("text"))
 
 

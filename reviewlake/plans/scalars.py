@@ -65,11 +65,11 @@ def title_key(load):
     return load("part").select("p_partkey", X.title_key(F.col("p_name")).alias("key"))
 
 
-@query("header_clean", "SELECT doc_id, trim(replace(left(replace(text, chr(10), ' '), 40), '*', '')) AS header FROM documents")
+@query("header_clean", "SELECT doc_id, trim(translate(text, chr(10) || chr(9) || chr(13) || '*<', '   ')) AS header FROM documents")
 def header_clean(load):
     """T5."""
-    raw = F.concat(F.lit(" ** <span id='p'></span>"), F.left(F.translate("text", "\n", " "), F.lit(40)), F.lit("** "))
-    return load("documents").select("doc_id", F.trim(X.clean_header(raw)).alias("header"))
+    raw = F.concat(F.lit(" ** <span id='p'></span>"), F.translate("text", "\n\t\r<", "   "), F.lit("** <SPAN x>y</span>"))
+    return load("documents").select("doc_id", X.clean_header(raw).alias("header"))
 
 
 @query("whitespace_norm", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, '.', '.  ' || chr(10) || chr(10) || chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""")
@@ -86,10 +86,11 @@ def abstract_anonymised(load):
     return load("documents").select("doc_id", X.anonymize_abstract(text).alias("abstract"))
 
 
-@query("abstract_no_git", r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'First words.' ELSE 'First words. Nothing to see.' END AS abstract FROM documents""")
+@query("abstract_no_git", r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text || CASE WHEN doc_id % 3 = 0 THEN '. See https: //x.git for all. Nothing more.' ELSE '' END, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: NOT regexp_matches(lower(x), '(?s)https:\s*//.*git')) AS ss FROM documents)
+SELECT doc_id, regexp_replace(array_to_string(ss, ' '), '^\s+|\s+$', '', 'g') AS abstract FROM s""")
 def abstract_no_git(load):
     """T21, T14."""
-    text = F.when(F.col("doc_id") % 3 == 0, "First words. See https: //x.git for all.").otherwise("First words. Nothing to see.")
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, ". See https: //x.git for all. Nothing more.").otherwise(""))
     return load("documents").select("doc_id", X.remove_git_sentences(text).alias("abstract"))
 
 
