@@ -7,7 +7,7 @@ from importlib import import_module
 from reviewlake.plans.registry import ORACLES, QUERIES
 
 #: Modules that register queries.
-MODULES = ("funnel", "scalars", "relational", "nested", "projections")
+MODULES = ("funnel", "scalars", "relational", "nested", "projections", "roundtrips")
 
 for _name in MODULES:
     import_module(f"reviewlake.plans.{_name}")

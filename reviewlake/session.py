@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +33,15 @@ def held(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
         context.setCheckpointDir(folder)
     return df.checkpoint() if context.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's shared checkpoint folder; in local mode without one, under the system's temporary folder."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="reviewlake-")
+        atexit.register(shutil.rmtree, root, True)
+    return f"{root}/{name}-{uuid.uuid4()}"
