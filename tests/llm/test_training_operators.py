@@ -244,6 +244,30 @@ def test_secret_battery_adds_random_tokens_and_redacts(spark):
     assert red[1]["n_chars"] == len(red[1]["text"])
 
 
+def test_secret_scan_matches_brute_force_as_a_whole(spark):
+    """Base spans, candidates, battery, and the false-discovery control over all candidates, by plain Python."""
+    rng = random.Random(25)
+    alphabets = list(secret_scan.ALPHABETS.values())
+    token = lambda: "".join(rng.choice(rng.choice(alphabets[3:])) if rng.random() < 0.02 else c for c in rng.choices(rng.choice(alphabets), k=rng.choice([20, 24, 33, 48, 70, 150])))
+    texts = [f"{prose(rng, rng.randrange(30))} {rng.choice(['', 'token = ', 'x'])}{token()}5 {'-'.join(prose(rng, 6).split())}-7 {rng.choice(SECRETS[2:])}" for _ in range(150)] + SECRETS + ["a1" * 5000, "é" * 30 + token()]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    pattern = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+    found = [[(m.start(), m.end(), *brute_battery(m.group()), m.group().rstrip("=")) for m in re.finditer(pattern, t or "")] for t in texts]
+    bins = defaultdict(list)
+    level = lambda p: math.floor(min(300, -10 * math.log10(max(p, 1e-300))))
+    for spans in found:
+        for *_, p, t in spans:
+            bins[int(math.log2(len(t)))].append(level(p))
+    least = {band: min((b for b in bs if 10 ** (-b / 10) * len(bs) <= secret_scan.FALSE_DISCOVERY * sum(x >= b for x in bs)), default=999) for band, bs in bins.items()}
+    want = {}
+    for i, t in enumerate(texts):
+        base = [(int(x.split(":")[1]), secret_scan.KINDS.index(x.split(":")[0]), int(x.split(":")[2])) for x in brute_base(t)]
+        more = [(s, 3, e) for s, e, ok, p, x in found[i] if ok and level(p) >= least[int(math.log2(len(x)))] and not any(a < e and s < b for a, _, b in base)]
+        want[i] = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + more))
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(make(spark, rows, "doc_id long, text string")).collect()}
+    assert got == want and sum("random" in x for x in want.values()) > 30
+
+
 def test_mixing_matches_inverted_poisson(spark):
     rows = [(i, "x" * (1 + i % 7), "en", "hot" if i % 3 else ("rare" if i % 30 else None), 1) for i in range(600)] + [(9000, "", "en", "empty", 0), (None, "yy", "en", "hot", 2), (None, None, "en", "hot", 2)]
     got = mixing.mix_sources(make(spark, rows))
