@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import BROADCAST_ROWS, free_name, small_side, table
+from reviewlake.llm.common import BROADCAST_ROWS, cut, free_name, small_side, table
 
 MEAN_STEP = 16.0
 #: Terms of the distribution function; beyond them the tail of a mean of 16 is under 1e-26.
@@ -37,7 +37,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, expon
         weight = F.lit(0.0)
         for name, w in weights.items():
             weight = F.when(F.col("mix_source").eqNullSafe(name), float(w)).otherwise(weight)
-    size = size.withColumn("w", F.when(F.col("n") > 0, weight).otherwise(0.0))
+    size = cut(size.withColumn("w", F.when(F.col("n") > 0, weight).otherwise(0.0)))  # a row a source, read for sums, rates and their count
     total, weight_sum = size.agg(F.sum("n"), F.sum("w")).first()
     scale = (budget if budget is not None else total or 0.0) / (weight_sum or 1.0)
     return size.select("mix_source", F.when(F.col("n") > 0, F.lit(scale) * F.col("w") / F.col("n")).otherwise(1.0).alias("rate"))
