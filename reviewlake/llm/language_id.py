@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import bucket_of, lean, mix, smallest_by_hash, table
+from reviewlake.llm.common import bucket_of, cut, lean, mix, smallest_by_hash, table
 
 SAMPLE_TEXTS, GRAMS, SLOTS, HASHES = 1500, 6000, 1 << 18, 3
 #: Characters that are read at once; longer texts are read in pieces.
@@ -162,7 +162,7 @@ def fit_filter(labelled: DataFrame, texts: int = SAMPLE_TEXTS, keep: int = GRAMS
     chosen = smallest_by_hash(labelled, "lang", {r["lang"]: r["count"] for r in sizes}, texts).select("doc_id", "lang")
     # at most texts ids a language
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
-    counts = sample.mapInPandas(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = cut(sample.mapInPandas(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))  # of the bounded sample
     whole = counts.groupBy("lang").agg(F.sum("n").alias("whole"))
     rate = counts.join(F.broadcast(whole), "lang").withColumn("rate", F.col("n") / F.col("whole"))
     other = counts.join(F.broadcast(whole), "lang").groupBy("gram").agg(F.max(F.col("n") / F.col("whole")).alias("most"))
