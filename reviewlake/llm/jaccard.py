@@ -16,7 +16,8 @@ join is exact (but for collisions of two 63-bit digests at once, or of 64-bit sh
    its tokens need, so that the signatures that two sets share meet in few buckets and few edges tell the same.
 3. In each family sets are sorted into groups of similar sets; each group has its token union. A query set opens only the
    groups whose union overlaps it enough, and compares with members that its component lacks. Families above a bound are
-   cut into blocks; each pair of blocks is one task.
+   cut into blocks. A set stays in its own block, and goes on to those others whose token union (a bitmap, which only ever adds
+   tokens) it overlaps enough; what two blocks exchanged in this way is one task.
 4. Components of the links give every row the smallest doc_id.
 
 Defined results: null, empty and all-white texts have 0 shingles and link with nothing; rows with a null doc_id link with
@@ -43,8 +44,9 @@ from reviewlake.llm.components import LOCAL_EDGES, components, star_forest
 FLUSH = 500_000
 #: Signatures meant for one reduce group.
 BUCKET_SIGNATURES = 1_000_000
-#: Sets and tokens of one block of a family, at most.
-BLOCK_SETS, BLOCK_TOKENS = 2048, 4_000_000
+#: Sets and tokens of one block of a family, on average; bits of a block's token union; blocks whose unions a task holds at once.
+BLOCK_SETS, BLOCK_TOKENS = 2048, 1_000_000
+UNION_BITS, UNIONS = 23, 32
 #: Sets of one group of the token-group matrix.
 GROUP_SETS = 16
 #: Differences from which on parts have three thirds.
@@ -274,7 +276,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _fetch(k: int, shared: np.ndarray):
-    """Token sets of the family members, a row for each pair of blocks that the member is needed in."""
+    """Token sets of the family members, each with its block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -291,13 +293,78 @@ def _fetch(k: int, shared: np.ndarray):
                         for fam, nb in slots:
                             if m := int(nb[b + i]):
                                 blk = place % m
-                                rows += [(fam[b + i], min(blk, j), max(blk, j), blk, cls[i], blob) for j in range(m)]
+                                rows.append((fam[b + i], m, blk, blk, blk, cls[i], blob))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["fam", "bi", "bj", "blk", "cls", "tokens"])
+                    yield pd.DataFrame(rows, columns=["fam", "nb", "bi", "bj", "blk", "cls", "tokens"])
 
     return run
 
 
+def _bit(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each token in a block's union."""
+    at = tokens >> np.uint64(64 - UNION_BITS)
+    return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+
+def _unions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The token union of each block as bits, and its least and largest set; rows come in order of block."""
+
+    def done() -> pd.DataFrame:
+        return pd.DataFrame([(*key, bits.tobytes(), small, large)], columns=["fam", "blk", "bits", "small", "large"])
+
+    key, bits, small, large = None, None, 0, 0
+    for pdf in batches:
+        for fam, blk, blob in zip(pdf["fam"], pdf["blk"], pdf["tokens"]):
+            tokens = np.frombuffer(blob, np.uint64)
+            if key != (fam, blk):
+                if key:
+                    yield done()
+                key, bits, small, large = (fam, blk), np.zeros(1 << (UNION_BITS - 3), np.uint8), len(tokens), len(tokens)
+            at, bit = _bit(tokens)
+            np.bitwise_or.at(bits, at, bit)
+            small, large = min(small, len(tokens)), max(large, len(tokens))
+    if key:
+        yield done()
+
+
+def _open(percent: int):
+    """Of each set (kind 1) the blocks that it overlaps enough, among the unions (kind 0) that come before it under its key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, unions = None, []
+        for pdf in batches:
+            rows = []
+            for fam, home, part, kind, other, bits, small, large, cls in zip(*(pdf[c] for c in ("fam", "home", "part", "kind", "blk", "bits", "small", "large", "cls"))):
+                if key != (fam, home, part):
+                    key, unions = (fam, home, part), []
+                if kind == 0:
+                    unions.append((other, np.frombuffer(bits, np.uint8), small, large))
+                    continue
+                tokens = np.frombuffer(bits, np.uint64)
+                size, need = len(tokens), -(-percent * len(tokens) // 100)
+                at, bit = _bit(tokens)
+                for j, union, least, most in unions:
+                    if most * 100 >= percent * size and size * 100 >= percent * least and np.count_nonzero(union[at] & bit) >= need:
+                        rows.append((fam, min(home, j), max(home, j), home, cls, bits))
+            if rows:
+                yield pd.DataFrame(rows, columns=["fam", "bi", "bj", "blk", "cls", "tokens"])
+
+    return run
+
+
+def _exchanged(home: DataFrame, percent: int) -> DataFrame:
+    """What blocks of the same family send one another: (fam, bi, bj, blk, cls, tokens)."""
+    order = ["fam", "blk"]
+    unions = cut(home.repartition(*order).sortWithinPartitions(*order).mapInPandas(_unions, "fam long, blk long, bits binary, small long, large long"))
+    none = F.lit(0).cast("long")  # not null, which would make the column one of floats
+    asked = unions.select("fam", F.col("blk").alias("home")).join(unions, "fam").filter("home != blk")  # unions meet by family, a row a pair of blocks
+    asked = asked.select("fam", "home", F.floor(F.col("blk") / UNIONS).alias("part"), F.lit(0).alias("kind"), "blk", "bits", "small", "large", none.alias("cls"))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("nb") - 1) / UNIONS))
+    sets = home.select("fam", F.col("blk").alias("home"), F.explode(parts).alias("part"), F.lit(1).alias("kind"), none.alias("blk"), F.col("tokens").alias("bits"), none.alias("small"), none.alias("large"), "cls")
+    keys = ["fam", "home", "part"]
+    return asked.unionByName(sets).repartition(*keys).sortWithinPartitions(*keys, "kind").mapInPandas(_open(percent), "fam long, bi long, bj long, blk long, cls long, tokens binary")
+
+
 def link_sets(cls: list[int], sets: list[np.ndarray], blk: list[int], cross: bool, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets, by the token-group matrix; cross: only links between blocks."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]), cls[i]))  # groups of like sizes, and there of like smallest hash
@@ -398,9 +465,17 @@ def _linked(docs: DataFrame, k: int, percent: int, block_sets: int, block_tokens
     slots = [F.coalesce(F.max(F.when(F.col("down") == x, F.col(c))), F.lit(0).cast("long")).alias(f"{c}{x}") for x in (0, 1) for c in ("fam", "nb")]
     member = cut(member.groupBy("cls").agg(F.min("low").alias("doc_id"), *slots))
     n_member = member.count()
-    fetched = docs.join(small_side(member, n_member, broadcast_rows), "doc_id").select("text", "cls", "fam0", "nb0", "fam1", "nb1").mapInPandas(_fetch(k, shared), "fam long, bi long, bj long, blk long, cls long, tokens binary")
+    asked = docs.join(small_side(member, n_member, broadcast_rows), "doc_id").select("text", "cls", "fam0", "nb0", "fam1", "nb1")
+    home = asked.mapInPandas(_fetch(k, shared), "fam long, nb long, bi long, bj long, blk long, cls long, tokens binary")
     keys = ["fam", "bi", "bj"]
-    links = fetched.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_verify(percent), "a long, b long")
+
+    def linked_in(sets: DataFrame) -> DataFrame:
+        return sets.select(*keys, "blk", "cls", "tokens").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_verify(percent), "a long, b long")
+
+    links = linked_in(home)
+    if member.filter("nb0 > 1 or nb1 > 1").limit(1).count():
+        large = cut(asked.filter("nb0 > 1 or nb1 > 1").mapInPandas(_fetch(k, shared), home.schema).filter("nb > 1"))
+        links = links.unionByName(linked_in(_exchanged(large, percent)))
     comp = cut(components(links, local_edges))
     found = comp.select(F.col("node").alias("cls"), F.col("comp").alias("of")).union(comp.select(F.col("comp").alias("cls"), F.col("comp").alias("of")).distinct())
     # every class of a component, or with copies, gets the smallest doc_id; all others keep their own

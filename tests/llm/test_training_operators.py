@@ -69,6 +69,18 @@ def test_jaccard_is_exact(spark, k, percent, limits):
     assert got == brute_components(rows, k, percent)
 
 
+def test_jaccard_of_many_blocks(spark):
+    """A family of hundreds of sets that share a passage, with near copies of one another, in blocks of few sets."""
+    rng = random.Random(27)
+    passage = prose(rng, 60)
+    texts = [f"{passage} {prose(rng, rng.randint(20, 30))}" for _ in range(150)]
+    texts += [t + " end" * rng.randint(1, 3) for t in texts[:60]] + [f"{passage} {passage[:-9]} {prose(rng, 4)}" for _ in range(40)]
+    rows = list(enumerate(texts))
+    docs = make(spark, rows, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs, 3, 60, block_sets=4, block_tokens=400).collect()}
+    assert got == brute_components(rows, 3, 60)
+
+
 def test_jaccard_with_shared_digests(spark):
     rows = corpus()
     docs = make(spark, rows, "doc_id long, text string")
