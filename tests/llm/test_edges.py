@@ -22,11 +22,11 @@ def row(i, text, lang="en", source="s"):
 def docs(spark):
     rng = random.Random(31)
     text = lambda k: " ".join(rng.choice(WORDS) for _ in range(k)) + "."
-    long = " ".join(rng.choice(WORDS) + rng.choice(["", "s", "."]) for _ in range(60_000))
+    long = " ".join(rng.choice(WORDS) + rng.choice(["", "s", "."]) for _ in range(20_000))
     rows = [row(i, text(30)) for i in range(20)]
     rows += [row(3, rows[3][1]), row(3, text(12)), row(4, rows[5][1]), row(None, rows[0][1]), row(None, None, None, None), row(None, None, None, None)]
     rows += [row(30, None), row(31, "", None), row(32, " \t\n"), row(33, long), row(34, long + " end"), row(35, "x" * 300_000), row(36, "é𝄞 　 ñ", "es", None), row(37, "password=" + "a1B2" * 9)]
-    return spark.createDataFrame(rows, SCHEMA).repartition(4)
+    return spark.createDataFrame(rows, SCHEMA).repartition(2)
 
 
 def ids(df, name="doc_id"):
