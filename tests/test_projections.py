@@ -14,24 +14,22 @@ from reviewlake.sources import outputs
 REPLY = "struct<id: string, replyto: string, signatures: array<string>, invitation: string, invitations: array<string>, content: map<string, string>>"
 
 
-def one(spark, column, row, schema):
-    return spark.createDataFrame([row], schema).select(column.alias("x")).first()["x"]
-
-
-def parse(spark, content, year, **more):
-    return one(spark, reviews.parse_review(F.col("c"), F.lit(year), **more), (content,), "c map<string, string>")
+def parsed(spark, *asked, pretty=False):
+    """Reviews (content, year) as JSON texts, in one job."""
+    rows = spark.createDataFrame([(i, c, y) for i, (c, y) in enumerate(asked)], "i int, c map<string, string>, y int")
+    return [r["x"] for r in rows.select("i", reviews.parse_review(F.col("c"), F.col("y"), pretty=pretty).alias("x")).orderBy("i").collect()]
 
 
 def test_review_forms(spark):
     scores = {"rating": "5: fair", "confidence": '{"value": 3}', "soundness": "3 good", "presentation": "2", "contribution": "4", "summary": "s", "strengths": "", "weaknesses": "w", "questions": "q"}
-    got = json.loads(parse(spark, scores, 2024))
+    old = {"rating": "6: x", "review": "r", "experience_assessment": "e", "review_assessment:_checking_correctness_of_derivations_and_theory": "d", "review_assessment_experiments": "by name", "review_assessment:_thoroughness_in_paper_reading": "t"}
+    good, listed, named, *bad = parsed(
+        spark, (scores, 2024), (scores | {"flag_for_ethics_review": '["a"]'}, 2024), (old, 2020), (scores | {"rating": "11"}, 2025), (scores | {"confidence": "none"}, 2026), ({k: v for k, v in scores.items() if k != "questions"}, 2024), (scores, 2019), (None, 2024), (scores | {"flag_for_ethics_review": "a"}, 2024), (old, 2021)
+    )
+    got = json.loads(good)
     assert list(got) == ["rating", "confidence", "summary", "strengths", "weaknesses", "questions", "soundness", "presentation", "contribution", "flag_for_ethics_review", "details_of_ethics_concerns", "code_of_conduct", "number_of_author_responses", "number_of_reviewer_responses_to_author"]
     assert (got["rating"], got["confidence"], got["flag_for_ethics_review"], got["code_of_conduct"], got["details_of_ethics_concerns"]) == (5, 3, [], "Yes", None)
-    assert parse(spark, scores | {"rating": "11"}, 2025) is None and parse(spark, scores | {"confidence": "none"}, 2026) is None
-    assert parse(spark, {k: v for k, v in scores.items() if k != "questions"}, 2024) is None and parse(spark, scores, 2019) is None and parse(spark, None, 2024) is None
-    assert json.loads(parse(spark, scores | {"flag_for_ethics_review": '["a"]'}, 2024))["flag_for_ethics_review"] == ["a"] and parse(spark, scores | {"flag_for_ethics_review": "a"}, 2024) is None
-    old = {"rating": "6: x", "review": "r", "experience_assessment": "e", "review_assessment:_checking_correctness_of_derivations_and_theory": "d", "review_assessment_experiments": "by name", "review_assessment:_thoroughness_in_paper_reading": "t"}
-    assert json.loads(parse(spark, old, 2020))["review_assessment_experiments"] == "by name" and parse(spark, old, 2021) is None
+    assert json.loads(listed)["flag_for_ethics_review"] == ["a"] and json.loads(named)["review_assessment_experiments"] == "by name" and bad == [None] * 7
 
 
 def test_threads_and_errors(spark):
@@ -54,8 +52,8 @@ def test_threads_and_errors(spark):
 
 def test_pretty_json_and_form_texts(spark):
     content = {"rating": "5", "confidence": "3", "soundness": "3", "presentation": "2", "contribution": "4", "summary": 'a "b"\n', "strengths": "é", "weaknesses": "/", "questions": "q", "flag_for_ethics_review": '["x", "y"]'}
-    text = parse(spark, content, 2024, pretty=True)
-    assert text == json.dumps(json.loads(text), indent=2, ensure_ascii=False) and json.loads(text) == json.loads(parse(spark, content, 2024))
+    (text,), (plain,) = parsed(spark, (content, 2024), pretty=True), parsed(spark, (content, 2024))
+    assert text == json.dumps(json.loads(text), indent=2, ensure_ascii=False) and json.loads(text) == json.loads(plain)
     assert reviews.form_text(reviews.UNIVERSAL_REVIEW).split("\n")[3:9] == [
         "- questions: list of str (optional) - Questions for authors",
         "- sources: list of Source (optional) - Papers/sources mentioned in the review",
