@@ -116,33 +116,40 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
-    """Of the words [^ \\t-\\r]+ of all texts, A-Z in lower case: hashes, text indices, and first and last byte (exclusive) in
-    the texts' UTF-8 joined by newlines; those bytes; and where each text begins in them. Works in pieces of 1 MB."""
-    coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    data = b"\n".join(coded)
-    begins = np.cumsum([0] + [len(c) + 1 for c in coded[:-1]]) if coded else np.zeros(0, np.int64)
-    hashes, places, ends, at = [], [], [], 0
+def word_runs(data: bytes, gaps: np.ndarray = _SPACE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, first and last bytes (exclusive) of the runs of bytes outside gaps, A-Z in lower case, in pieces of 1 MB or one run."""
+    at = 0
     while at < len(data):
         end = min(len(data), at + _PIECE)
-        while end < len(data) and not _SPACE[data[end]]:  # a piece ends where a word ends
+        while end < len(data) and not gaps[data[end]]:  # a piece ends where a word ends
             end += 1
         raw = np.frombuffer(data, np.uint8, end - at, at)
-        word = np.concatenate([[False], ~_SPACE[raw], [False]])
+        word = np.concatenate([[False], ~gaps[raw], [False]])
         edge = np.flatnonzero(word[1:] != word[:-1])
         first, last = edge[::2], edge[1::2]
         if len(first):
             up, down = _power_table(max(_PIECE + 4096, len(raw) + 1))
             total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[_LOWER[raw]] * up[: len(raw)])])
-            hashes.append(mix((total[last] - total[first]) * down[first]))
-            places.append(first + at)
-            ends.append(last + at)
+            yield mix((total[last] - total[first]) * down[first]), first + at, last + at
         at = end
-    if not hashes:
+
+
+def joined(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """The texts' UTF-8 joined by newlines, and where each begins."""
+    coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    return b"\n".join(coded), np.cumsum([0] + [len(c) + 1 for c in coded[:-1]]) if coded else np.zeros(0, np.int64)
+
+
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Of the words [^ \\t-\\r]+ of all texts, A-Z in lower case: hashes, text indices, and first and last byte (exclusive) in
+    the texts' UTF-8 joined by newlines; those bytes; and where each text begins in them."""
+    data, begins = joined(texts)
+    parts = list(word_runs(data))
+    if not parts:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none, data, begins
-    place = np.concatenate(places)
-    return np.concatenate(hashes), np.searchsorted(begins, place, side="right") - 1, place, np.concatenate(ends), data, begins
+    hashes, place, ends = (np.concatenate(x) for x in zip(*parts))
+    return hashes, np.searchsorted(begins, place, side="right") - 1, place, ends, data, begins
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
