@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reviewlake.llm import decontaminate, exact_topk, html_extract, jaccard, language_id, mixing, ranked_search, secret_scan, substring_dedup, token_alignment, token_counts, toxicity
+from reviewlake.llm import decontaminate, exact_topk, html_extract, jaccard, language_id, lm_scoring, mixing, ranked_search, secret_scan, substring_dedup, token_alignment, token_counts, toxicity
 
-MODULES = (language_id, mixing, token_counts, toxicity, exact_topk, substring_dedup, jaccard, decontaminate, secret_scan, html_extract, token_alignment, ranked_search)
+MODULES = (language_id, mixing, token_counts, toxicity, exact_topk, substring_dedup, jaccard, decontaminate, secret_scan, html_extract, token_alignment, lm_scoring, ranked_search)
 
 
 def queries() -> dict:
