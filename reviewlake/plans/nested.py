@@ -193,13 +193,14 @@ def md_clean(load):
 
 @query(
     "url_sentences_removed",
-    r"""SELECT doc_id, trim(regexp_replace(replace(text, 'http', 'hxxp') || CASE WHEN right(replace(text, 'http', 'hxxp'), 1) = '.' THEN '' ELSE '.' END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' Kept' || doc_id || '.' END || ' Last one.', '\s+', ' ', 'g')) AS text FROM documents""",
+    r"""SELECT doc_id, trim(regexp_replace(replace(text, 'http', 'hxxp') || CASE WHEN right(replace(text, 'http', 'hxxp'), 1) = '.' THEN '' ELSE '.' END || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' Kept' || doc_id || '.' ELSE 'com/x now.' END || ' Last one.', '\s+', ' ', 'g')) AS text FROM documents""",
 )
 def url_sentences_removed(load):
-    """T12, T13."""
+    """Links in whole sentences, and broken ones, whose sentence ends at the first full stop after them."""
     text = F.replace(F.col("text"), F.lit("http"), F.lit("hxxp"))
-    whole = F.concat(text, F.when(F.endswith(text, F.lit(".")), "").otherwise("."), F.when(F.col("doc_id") % 2 == 0, " See https://x.org/a?b now, and.").otherwise(F.concat(F.lit(" Kept"), F.col("doc_id").cast("string"), F.lit("."))), F.lit(" Last one."))
-    return load("documents").select("doc_id", M.without_url_sentences(whole).alias("text"))
+    kind = F.col("doc_id") % 3
+    added = F.when(kind == 0, " See https://x.org/a?b now, and.").when(kind == 1, F.concat(F.lit(" Kept"), F.col("doc_id").cast("string"), F.lit("."))).otherwise(" Code at HTTPS:// github.com/x now.")
+    return load("documents").select("doc_id", M.without_url_sentences(F.concat(text, F.when(F.endswith(text, F.lit(".")), "").otherwise("."), added, F.lit(" Last one."))).alias("text"))
 
 
 @query("strip_footnotes", "SELECT doc_id, translate(text, '<†‡', '') || chr(10) || chr(10) || '<sup>2</sup> See Figure ' || doc_id::VARCHAR || chr(10) || '<sup>(</sup>a) kept' AS text FROM documents")

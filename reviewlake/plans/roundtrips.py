@@ -26,15 +26,34 @@ def notes_scanned(load):
     return IO.load_notes(d.sparkSession, path, [2021, 2022, 2023])
 
 
-@query("manifest_csv", f"WITH {PAPERS_SQL} SELECT submission_id::VARCHAR AS submission_id, year, decision, left(text, 100) AS title FROM papers WHERE year = 2023")
-def manifest_csv(load):
-    """Quotes and line ends survive."""
+#: Bytes of a split in the queries that read CSV back, far below a table's size, so that texts and records cross splits.
+SPLIT_BYTES = 65_536
+
+
+def _manifest(load, name: str) -> tuple:
+    """Paths of a manifest whose titles are whole texts, and of a later one that repeats every seventh id."""
     p = papers(load)
     blank = [F.lit("").alias(n) for n in ("pdf_path", "pdf_hash", "pdf_source", "download_id")]
-    path = scratch(p.sparkSession, "manifest")
-    O.write_csv(p.select(F.col("submission_id").cast("string").alias("submission_id"), "year", "decision", *blank, F.hex(F.encode(F.left("text", F.lit(100)), "utf-8")).alias("title")), path)
-    rows = IO.load_manifest(p.sparkSession, path, 2023)
-    return rows.select("submission_id", "year", "decision", F.decode(F.unhex("title"), "utf-8").alias("title"))
+    rows = p.select(F.col("submission_id").cast("string").alias("submission_id"), "year", "decision", *blank, F.concat(F.lit('"1,"\n'), F.col("text")).alias("title"))
+    path = scratch(p.sparkSession, name)
+    O.write_csv(rows, f"{path}/a")
+    O.write_csv(rows.filter("submission_id % 7 = 0").withColumn("decision", F.lit("Later")), f"{path}/b")
+    return p.sparkSession, [f"{path}/a", f"{path}/b"]
+
+
+@query("manifest_csv", f"WITH {PAPERS_SQL} SELECT submission_id::VARCHAR AS submission_id, year, CASE WHEN submission_id % 7 = 0 THEN 'Later' ELSE decision END AS decision, '\"1,\"' || chr(10) || text AS title FROM papers")
+def manifest_csv(load):
+    """Whole texts with quotes, commas and line ends, read back by small splits; of repeated ids the last row."""
+    spark, paths = _manifest(load, "manifest")
+    return IO.load_manifest(spark, paths, split_bytes=SPLIT_BYTES).select("submission_id", "year", "decision", "title")
+
+
+@query("manifest_year", f"WITH {PAPERS_SQL} SELECT submission_id::VARCHAR AS submission_id, d AS decision, text AS title FROM papers, (VALUES ('first'), ('Later')) v(d) WHERE year = 2023 AND (d = 'first' OR submission_id % 7 = 0)")
+def manifest_year(load):
+    """All rows of a year."""
+    spark, paths = _manifest(load, "manifest_year")
+    rows = IO.load_manifest(spark, paths, 2023, SPLIT_BYTES)
+    return rows.select("submission_id", F.when(F.col("decision") == "Later", "Later").otherwise("first").alias("decision"), F.expr("substring(title, 6)").alias("title"))
 
 
 @query("completion_files", "SELECT conv_id, count(*) AS n, count(DISTINCT turn % 3) AS shards FROM conversations WHERE length(text) > 0 GROUP BY conv_id")
@@ -49,16 +68,17 @@ def completion_files(load):
 
 @query(
     "labelled_csv_rows",
-    "WITH u AS (SELECT c_custkey AS k, 'customer' AS label, 0 AS o FROM customer UNION ALL SELECT s_suppkey, 'supplier', 1 FROM supplier) SELECT label, count(*) AS n, min(i)::BIGINT AS first_index, max(i)::BIGINT AS last_index FROM (SELECT *, row_number() OVER (ORDER BY o, k) - 1 AS i FROM u) GROUP BY label",
+    """WITH u AS (SELECT doc_id AS id, text AS name, 'train' AS label, 0 AS o FROM documents UNION ALL SELECT c_custkey, c_name, 'test', 1 FROM customer UNION ALL SELECT s_suppkey, s_name, 'test_2', 2 FROM supplier)
+SELECT id::VARCHAR AS id, label, name, (row_number() OVER (ORDER BY o, id) - 1)::BIGINT AS row_index FROM u""",
 )
 def labelled_csv_rows(load):
-    """S12, W9."""
-    customer, supplier = load("customer").select(F.col("c_custkey").alias("id"), "c_name"), load("supplier").select(F.col("s_suppkey").alias("id"), "s_name")
-    path = scratch(customer.sparkSession, "labelled")
-    O.write_csv(customer, f"{path}/customer")
-    O.write_csv(supplier, f"{path}/supplier")
-    rows = IO.labelled_csvs(customer.sparkSession, {"customer": f"{path}/customer", "supplier": f"{path}/supplier"}, ["id"])
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.min("row_index").alias("first_index"), F.max("row_index").alias("last_index"))
+    """Labelled CSVs of several files and many splits; each row's index is its place in file order."""
+    tables = {"train": load("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name")), "test": load("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "test_2": load("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))}
+    spark = tables["train"].sparkSession
+    path = scratch(spark, "labelled")
+    for label, rows in tables.items():
+        O.write_csv(rows.select("name", "id", F.lit("x").alias("unused")).repartitionByRange(3, "id").sortWithinPartitions("id"), f"{path}/{label}")
+    return IO.labelled_csvs(spark, {label: f"{path}/{label}" for label in tables}, ["id", "name"], SPLIT_BYTES)
 
 
 @query("chunked_files", "SELECT 'rows' AS what, count(*) AS n FROM orders UNION ALL SELECT 'keys', count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'files over 1000 rows', 0")

@@ -7,7 +7,6 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -27,21 +26,26 @@ def build_session(app_name: str = "reviewlake", master: str | None = None, **ext
     return builder.config(map={**SETTINGS, **extra}).getOrCreate()
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df, computed once for several uses that must agree: a checkpoint where the session has a folder for them, else kept on disk."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share. In local mode without one, a temporary folder (removed at exit) becomes it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="reviewlake-")
+            atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
+    return context.getCheckpointDir()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once and checkpointed, for several uses that must agree."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's shared checkpoint folder; in local mode without one, under the system's temporary folder."""
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="reviewlake-")
-        atexit.register(shutil.rmtree, root, True)
-    return f"{root}/{name}-{uuid.uuid4()}"
+    """A new folder under the session's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"

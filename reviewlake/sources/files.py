@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewlake.sources.records import read_csv
+
 # Fixed value: a layout output of at most this many bytes is empty.
 LEAST_LAYOUT_BYTES = 10
 MANIFEST = "submission_id string, year int, decision string, pdf_path string, pdf_hash string, pdf_source string, download_id string, title string"
@@ -49,10 +51,13 @@ def image_counts(files: DataFrame) -> DataFrame:
     return files.select(F.regexp_extract("path", r"/([^/]+)/page_\d+\.png$", 1).alias("submission_id")).filter("submission_id != ''").groupBy("submission_id").agg(F.count("*").alias("image_count"))
 
 
-def load_manifest(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    """A manifest CSV, of one year if asked; quotes doubled as spreadsheets do."""
-    rows = spark.read.csv(path, header=True, schema=MANIFEST, escape='"')
-    return rows if year is None else rows.filter(F.col("year") == year)
+def load_manifest(spark: SparkSession, path: str | list[str], year: int | None = None, split_bytes: int | None = None) -> DataFrame:
+    """A manifest CSV by id, of repeated ids the last row in file order. S9: all rows of a year, if one is asked for."""
+    rows = read_csv(spark, path, MANIFEST, split_bytes)
+    if year is not None:
+        return rows.filter(F.col("year") == year).drop("row_index")
+    held = [c for c in rows.columns if c not in ("submission_id", "row_index")]
+    return rows.groupBy("submission_id").agg(F.max_by(F.struct(*held), "row_index").alias("_row")).select("submission_id", "_row.*")
 
 
 def load_completions(spark: SparkSession, glob: str) -> DataFrame:
@@ -60,12 +65,13 @@ def load_completions(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.parquet(glob).filter("length(normalized_json) > 0")
 
 
-def labelled_csvs(spark: SparkSession, paths: dict[str, str], columns: list[str]) -> DataFrame:
-    """CSVs under labels with their columns, and a running row index over all of them."""
-    from reviewlake.operators.splits import row_index
-
-    parts = [spark.read.csv(p, header=True).select(*columns).withColumn("label", F.lit(label)).withColumn("_order", F.struct(F.lit(i), F.monotonically_increasing_id())) for i, (label, p) in enumerate(paths.items())]
-    return row_index(reduce(DataFrame.unionByName, parts), "_order").drop("_order")
+def labelled_csvs(spark: SparkSession, paths: dict[str, str], columns: list[str], split_bytes: int | None = None) -> DataFrame:
+    """CSVs under labels with their columns, and a running row index over all of them in file order; no row is sorted or moved."""
+    parts = [(label, read_csv(spark, path, None, split_bytes)) for label, path in paths.items()]
+    counts = reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("n")).withColumn("place", F.lit(i)) for i, (_, rows) in enumerate(parts)])
+    sizes = {r.place: r.n for r in counts.collect()}  # one number a label
+    out = [rows.select(*columns, F.lit(label).alias("label"), (F.col("row_index") + sum(sizes[k] for k in range(i))).alias("row_index")) for i, (label, rows) in enumerate(parts)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def write_chunks(df: DataFrame, path: str, rows: int = 1000) -> None:

@@ -66,8 +66,8 @@ def merge_shards(spark: SparkSession, paths: list[str], out: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, quotes doubled."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """CSV with a header, quotes doubled; every character of a text stays, as read_csv reads it back."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', charToEscapeQuoteEscaping='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def batch_assignment(files: DataFrame, order: str = "path", size: int = BATCH_FILES) -> DataFrame:

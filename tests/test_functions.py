@@ -117,3 +117,9 @@ def test_whitespace_rule_matches_python(texts):
     if spark is None:
         pytest.skip("no session")
     assert values(spark, X.normalize_whitespace, texts) == [M.tidy(t) for t in texts]
+
+
+def test_links_and_broken_links_take_their_sentences(spark):
+    texts = {"One. See https://a.org/x?y=1. Two.": "One. Two.", "Code at https:// github.com/x now.": "com/x now.", "HTTP://": "", "A http:// b. C  d": "C d", "none\n here": "none here", "Left (http://). Stays.": "Stays."}
+    rows = spark.createDataFrame([(k,) for k in texts], "t string").select("t", M.without_url_sentences("t").alias("u")).collect()
+    assert {r.t: r.u for r in rows} == texts
