@@ -93,15 +93,32 @@ def chunked_files(load):
     return reduce(DataFrame.unionByName, [one.select(F.lit(what).alias("what"), "n") for what, one in counts.items()])
 
 
-@query("merged_shards", "SELECT l_returnflag, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM lineitem GROUP BY 1")
+def _merged(load, name: str) -> tuple:
+    """Seven shards of lineitem, of which number 3 is missing, merged into files of a bounded size: the folder and the table of moves."""
+    rows = load("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    path = scratch(rows.sparkSession, name)
+    for i in (0, 1, 2, 4, 5, 6):
+        O.write_parts(rows.filter(F.col("l_orderkey") % 7 == i), f"{path}/in/shard_{i:02d}", 1 + i % 3)
+    return rows.sparkSession, path, O.merge_shards(rows.sparkSession, f"{path}/in", f"{path}/out", 7, SHARD_BYTES)
+
+
+#: Bound of the merged files: some of the shards' files are larger, most far smaller.
+SHARD_BYTES = 40_000
+
+
+@query("merged_shards", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem WHERE l_orderkey % 7 <> 3")
 def merged_shards(load):
-    """S15, S16."""
-    rows = load("lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
-    path = scratch(rows.sparkSession, "shards")
-    for i in range(2):
-        O.write_parts(rows.filter(F.col("l_orderkey") % 2 == i), f"{path}/shard_{i}", 3)
-    O.merge_shards(rows.sparkSession, [f"{path}/shard_0", f"{path}/shard_1"], f"{path}/whole")
-    return rows.sparkSession.read.parquet(f"{path}/whole").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
+    """All rows of the shards, from files of a bounded size."""
+    spark, path, _ = _merged(load, "shards")
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("shard_moves", "SELECT 'shard_' || lpad(k::VARCHAR, 2, '0') AS shard, CASE WHEN k = 3 THEN 0 ELSE n END::BIGINT AS n_rows, k = 3 AS missing, 0::BIGINT AS files_over FROM (SELECT l_orderkey % 7 AS k, count(*) AS n FROM lineitem GROUP BY 1)")
+def shard_moves(load):
+    """Where each shard's rows went, which shards are missing, and that no bin passes the bound."""
+    _, _, moves = _merged(load, "moves")
+    over = moves.groupBy("file_bin").agg(F.sum("bytes").alias("b")).filter(F.col("b") > SHARD_BYTES).agg(F.count("*").alias("files_over"))
+    return moves.groupBy(F.regexp_extract("path", r"(shard_\d+)", 1).alias("shard")).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.bool_or("missing").alias("missing")).crossJoin(F.broadcast(over))
 
 
 @query("replaced_folders", f"WITH {PAPERS_SQL} SELECT year, CASE WHEN year = 2021 THEN 'new' ELSE decision END AS decision, count(*) AS n FROM papers GROUP BY ALL")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.operators.splits import chunk, row_index
+from reviewlake.sources.compaction import compact
 
 # The fields that the index takes from a paper's meta file, with their defaults; PDFs of a batch; a table's header.
 META = "has_abstract boolean, has_references boolean, page_end int, original_pdf_path string, anonymized_abstract string, removed_before_intro_count int, removed_footnotes_count int, removed_reproducibility_count int, removed_acknowledgments_count int, removed_github_in_abstract boolean, headers_whiteout_count int"
@@ -60,9 +61,9 @@ def write_parts(df: DataFrame, path: str, parts: int) -> None:
     df.repartition(parts).write.mode("overwrite").parquet(path)
 
 
-def merge_shards(spark: SparkSession, paths: list[str], out: str) -> None:
-    """Shards of one schema as a single file. For results small enough for one file; larger ones stay folders."""
-    spark.read.parquet(*paths).coalesce(1).write.mode("overwrite").parquet(out)
+def merge_shards(spark: SparkSession, root: str, out: str, shards: int, bound: int = 1 << 30) -> DataFrame:
+    """The shards shard_00, shard_01, ... under root as files of at most bound bytes; the table of moves, which lists missing shards too."""
+    return compact(spark, root, out, bound, [f"shard_{i:02d}" for i in range(shards)])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
