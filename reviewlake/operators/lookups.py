@@ -1,4 +1,4 @@
-"""Joins (J1-J9): two-key, prefix, priority, latest-before and reply-tree lookups."""
+"""Joins (J1, J5-J9, J12): two-key, latest-before and reply-tree lookups. Prefix and priority lookups (J2-J4) are in prefixes."""
 
 from __future__ import annotations
 
@@ -17,34 +17,6 @@ def two_key_lookup(rows: DataFrame, papers: DataFrame, row_id: str, row_title: s
     return found.withColumn("gs_citation", F.when(c >= 0, c)).drop("_id", "_t", "_c1", "_c2")
 
 
-def _starting(ids: DataFrame, index: DataFrame, key: str, part: str) -> DataFrame:
-    """Each distinct (part, id), as _g and _k, with the rows of index(_part, _stem, ...) whose stem begins with it.
-
-    Stems send their beginnings of the lengths that ids have (few numbers), so whole ids meet by hash, however alike they begin.
-    """
-    asked = ids.select(F.col(part).alias("_g"), F.col(key).alias("_k")).filter("_k is not null").distinct()
-    lengths = sorted(r[0] for r in asked.select(F.length("_k")).distinct().collect())
-    begun = index.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).filter(F.length("_stem") >= F.col("_n"))
-    begun = begun.withColumn("_begin", F.left(F.col("_stem"), F.col("_n"))).drop("_n")
-    return asked.join(begun, (F.col("_g") == F.col("_part")) & (F.col("_k") == F.col("_begin")))
-
-
-def prefix_lookup(ids: DataFrame, index: DataFrame, key: str = "id", stem: str = "stem", part: str = "year", delimiter: str | None = None) -> DataFrame:
-    """The first stem in order that starts with the id (or is it, or goes on with the delimiter), within the part."""
-    met = _starting(ids, index.select(F.col(part).alias("_part"), F.col(stem).alias("_stem")), key, part)
-    if delimiter is not None:
-        met = met.filter((F.col("_stem") == F.col("_k")) | F.startswith(F.col("_stem"), F.concat("_k", F.lit(delimiter))))
-    first = met.groupBy("_g", "_k").agg(F.min("_stem").alias(stem))
-    return ids.join(first, (F.col(part) == F.col("_g")) & (F.col(key) == F.col("_k")), "left").drop("_g", "_k")
-
-
-def priority_lookup(ids: DataFrame, index: DataFrame, key: str = "id", part: str = "year") -> DataFrame:
-    """Like prefix_lookup over index(year, stem, priority, path): least priority first, then stem."""
-    met = _starting(ids, index.select(F.col(part).alias("_part"), F.col("stem").alias("_stem"), "priority", "path"), key, part)
-    best = met.groupBy("_g", "_k").agg(F.min(F.struct("priority", "_stem", "path")).alias("_b"))
-    return ids.join(best, (F.col(part) == F.col("_g")) & (F.col(key) == F.col("_k")), "left").select(*ids.columns, F.col("_b._stem").alias("stem"), F.col("_b.path").alias("path"))
-
-
 def latest_before(rows: DataFrame, key: str, ts: str, pos: str, value: Column, cutoff: Column) -> DataFrame:
     """Of each key the value of its latest row with ts before the cutoff; ties to the later position. Partial aggregation, no sort."""
     return rows.filter(F.col(ts) < cutoff).groupBy(key).agg(F.max_by(value, F.struct(ts, pos)).alias("latest"))
@@ -74,9 +46,8 @@ def reply_counts(reviews: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """U4: one row a key, the last in order."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """U4: one row a key, the last in order, by partial aggregation."""
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(order).isNotNull(), F.col(order))).alias("_row")).select("_row.*")
 
 
 def latest_revision(rows: DataFrame, key: str, order: str) -> DataFrame:

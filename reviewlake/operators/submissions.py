@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from reviewlake.functions import decisions as D
 from reviewlake.functions import markdown as M
-from reviewlake.operators.lookups import prefix_lookup
+from reviewlake.operators.prefixes import prefix_lookup
 from reviewlake.operators.notes import AREA_KEYS, TLDR_KEYS, first_filled, note_decision, reviews_columns, unwrap, valid_images
 from reviewlake.operators.reviews import note_meta, note_reviews
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlake.operators import lookups as L
+from reviewlake.operators import prefixes as P
 from reviewlake.operators import splits as W
 from reviewlake.operators import statistics as S
 from reviewlake.plans.funnel import PAPERS_SQL, papers
@@ -40,19 +41,19 @@ def _stems(load):
 @query("prefix_match", f"WITH {_IDS_SQL} SELECT i.year, i.id, min(x.stem) AS stem FROM i LEFT JOIN x ON i.year = x.year AND starts_with(x.stem, i.id) GROUP BY ALL")
 def prefix_match(load):
     """J2."""
-    return L.prefix_lookup(_ids(load), _stems(load)).select("year", "id", "stem")
+    return P.prefix_lookup(_ids(load), _stems(load)).select("year", "id", "stem")
 
 
 @query("prefix_match_delimited", f"WITH {_IDS_SQL} SELECT i.year, i.id, min(x.stem) AS stem FROM i LEFT JOIN x ON i.year = x.year AND (x.stem = i.id OR starts_with(x.stem, i.id || '_')) GROUP BY ALL")
 def prefix_match_delimited(load):
     """J4."""
-    return L.prefix_lookup(_ids(load), _stems(load), delimiter="_").select("year", "id", "stem")
+    return P.prefix_lookup(_ids(load), _stems(load), delimiter="_").select("year", "id", "stem")
 
 
 @query("priority_match", f"WITH {_IDS_SQL} SELECT i.year, i.id, arg_min(x.stem, (x.priority, x.stem)) AS stem FROM i LEFT JOIN x ON i.year = x.year AND starts_with(x.stem, i.id) GROUP BY ALL")
 def priority_match(load):
     """J3."""
-    return L.priority_lookup(_ids(load), _stems(load)).select("year", "id", "stem")
+    return P.priority_lookup(_ids(load), _stems(load)).select("year", "id", "stem")
 
 
 @query("latest_before_cutoff", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS latest FROM events WHERE ts < (SELECT min(ts) + INTERVAL 10 DAY FROM events) GROUP BY user_id")

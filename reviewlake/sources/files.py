@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.sources.records import read_csv
@@ -19,8 +19,7 @@ def load_notes(spark: SparkSession, path: str, years: list[int] | None = None) -
     notes = spark.read.parquet(path)
     if years:
         notes = notes.filter(F.col("year").isin(*years))
-    w = Window.partitionBy("id").orderBy(F.desc("year"))
-    return notes.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return notes.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct(*notes.columns), F.struct(F.col("year").isNotNull(), F.col("year"))).alias("_note")).select("_note.*")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import generation, layout, lookups, notes, splits, statistics
+from reviewlake.operators import generation, layout, lookups, notes, prefixes, splits, statistics
 from reviewlake.sources import files
 
 
@@ -17,9 +17,9 @@ def test_two_key_lookup(spark):
 def test_prefix_and_priority(spark):
     ids = spark.createDataFrame([(2020, "ab"), (2020, "abc"), (2021, "ab"), (2020, "zz"), (2020, "longid")], "year int, id string")
     index = spark.createDataFrame([(2020, "abc_2", 1, "p1"), (2020, "ab_1", 2, "p2"), (2020, "abc_1", 3, "p3"), (2020, "longid_7", 0, "p4")], "year int, stem string, priority int, path string")
-    got = {(r["year"], r["id"]): r["stem"] for r in lookups.prefix_lookup(ids, index).collect()}
+    got = {(r["year"], r["id"]): r["stem"] for r in prefixes.prefix_lookup(ids, index).collect()}
     assert got == {(2020, "ab"): "ab_1", (2020, "abc"): "abc_1", (2021, "ab"): None, (2020, "zz"): None, (2020, "longid"): "longid_7"}
-    best = {r["id"]: r["path"] for r in lookups.priority_lookup(ids.filter("year = 2020"), index).collect()}
+    best = {r["id"]: r["path"] for r in prefixes.priority_lookup(ids.filter("year = 2020"), index).collect()}
     assert best == {"ab": "p1", "abc": "p1", "zz": None, "longid": "p4"}
 
 
