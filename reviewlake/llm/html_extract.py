@@ -12,13 +12,16 @@ name), else the lowest element that holds all texts in varying slots that are ne
 Boilerplate is what its tag or role says, or a class or id made of such words alone (share-buttons, not share-price): text that
 varies from page to page as an article does (adverts, reader comments) has no other mark.
 
-Every page takes part. Wrappers are first merged inside each task, so that a host with most of the pages sends one small
+Every page takes part. A first pass counts on how many of a host's pages each element with its classes stands: classes that fewer
+than one page in SHARED (or one page alone) has are left out of the wrapper's names, so that classes made for one page neither let
+wrappers grow nor keep equal texts apart. Wrappers are first merged inside each task, so that a host with most of the pages sends one small
 row a task; they are merged again by host and a salt, then by host, one row at a time. Work on a page is linear in its length
 but for sorting; elements nested deeper than DEPTH stand in the wrapper beside the one at that depth. Words with a digit in
-classes and ids are alike, so that names made for one page don't let wrappers grow. Extraction matches each whole page with its
-host's wrapper and gives the blocks of the main element in page order, without boilerplate inside it and without slots that are
-constant over at least CONSTANT_PAGES different pages. On fewer pages, or if a page would keep nothing, equal text is no
-evidence and stays.
+classes and ids are alike. Extraction matches each whole page with its host's wrapper and gives the blocks of the main element in page order,
+without boilerplate inside it and without slots that are constant over at least CONSTANT_PAGES different pages and are no part of
+the article's own flow: those of a box (an element that isn't a heading, paragraph, list or table, all of whose slots are constant and not headings
+alone), those in links, and those before the first or after the last varying slot, but for headings. So an Introduction or a set
+phrase between an article's paragraphs stays. On fewer pages, or if a page would keep nothing, equal text is no evidence and stays.
 
 Defined results: null or empty html gives the empty text; a null url is the host ''; pages without the host's main element
 give their own best element; unclosed and stray tags close as browsers close them, and a head without its end tag ends at
@@ -52,6 +55,8 @@ CONSTANT_PAGES = 8
 #: Characters of wrappers up to which they are broadcast.
 BROADCAST_CHARS = 16_000_000
 
+#: A class counts in the wrapper's names if at least one page in so many of its host has it.
+SHARED = 20
 #: Items of a repeated group at most, and depth of the wrapper.
 PERIOD, DEPTH = 16, 200
 #: Groups of a host's wrappers that are merged before the host's are.
@@ -80,9 +85,12 @@ BOILERPLATE_WORDS = frozenset(
     toolbar""".split()
 )
 NEUTRAL_WORDS = frozenset(
-    """0 area bar block body bottom box btn button buttons container content dialog fixed form global google group holder icons inner item items left link links list main mobile module overlay page
+    """0 area bar block body bottom box btn button buttons container content dialog fixed form global google group holder icons inner items left link links list main mobile module overlay page
     panel posts primary reader readers right secondary site slot sticky text thread top unit user widget wrap wrapper""".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of an article's own flow; others are boxes.
+FLOW = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table caption colgroup thead tbody tfoot tr td th figure figcaption article main body html".split())
 #: Elements that an opening tag of the given kind closes first.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table tbody thead body article section main div".split())
@@ -98,6 +106,14 @@ def _marked(names: str) -> bool:
     return False
 
 
+@lru_cache(16384)
+def _label(attributes: str) -> tuple[str, str]:
+    """Class, id and role of a tag, and how they stand in a wrapper's names."""
+    names = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+    label = " ".join(x for x in (names.get("class", ""), names.get("id", ""), names.get("role", "")) if x)
+    return label, re.sub(r"\w*\d\w*", "0", label.lower()).replace("/", " ")
+
+
 def tokens(page: str) -> Iterator[re.Match | str]:
     """Matches of TOKEN, and the rest of the page as a text if it has no tag any more."""
     at, pattern = 0, TOKEN
@@ -114,8 +130,9 @@ def tokens(page: str) -> Iterator[re.Match | str]:
             yield m
 
 
-def parse(page: str) -> Iterator[tuple[str, str, bool]]:
-    """Events of a page: (open, key, boilerplate), (close, "", False), (text, text, in a link)."""
+def parse(page: str, shared: frozenset[str] | None = None) -> Iterator[tuple[str, str, bool]]:
+    """Events of a page: (open, key, boilerplate), (close, "", False), (text, text, in a link). Of the keys with classes only shared ones
+    are given, if any are named."""
     open_tags: list[str] = []
     held: Counter = Counter()  # of the open tags
     links = 0
@@ -173,9 +190,10 @@ def parse(page: str) -> Iterator[tuple[str, str, bool]]:
         while open_tags and (open_tags[-1] in closes):
             close()
             yield "close", "", False
-        names = dict((k.lower(), v.strip("\"'")) for k, v in ATTRIBUTE.findall(m.group(4))) if m.group(4) else {}
-        label = " ".join(x for x in (names.get("class", ""), names.get("id", ""), names.get("role", "")) if x)
-        key = tag + "." + re.sub(r"\w*\d\w*", "0", label.lower()).replace("/", " ") if label else tag
+        label, written = _label(m.group(4)) if m.group(4) else ("", "")
+        key = f"{tag}.{written}" if label else tag
+        if shared is not None and label and key not in shared:
+            key = tag
         bad = tag in BOILERPLATE_TAGS or bool(label and tag not in ("html", "body", "article", "main") and _marked(label)) or tag == "header" and not (held["article"] > 0 or held["main"] > 0)
         open_tags.append(tag)
         held[tag] += 1
@@ -186,8 +204,8 @@ def parse(page: str) -> Iterator[tuple[str, str, bool]]:
 
 
 # --- wrappers: an item is [key, items, least, most]; key "" is a group; least 0 means optional, most 2 means repeated ----
-# A slot (key #) has a fifth field: in a page its [numbers, texts] in page order; in a host's wrapper [digest of the texts,
-# up to CONSTANT_PAGES digests of pages], or None if it varies.
+# A slot (key #) has a fifth field: in a page its [numbers, texts, words less twice those in links] in page order; in a host's
+# wrapper [digest of the texts, up to CONSTANT_PAGES digests of pages, whether it is mostly links], or None if it varies.
 
 
 def _digest(texts: list[str]) -> str:
@@ -196,12 +214,12 @@ def _digest(texts: list[str]) -> str:
 
 def _within(x: list, y: list) -> list:
     """Slots of one page that fall together."""
-    return [x[0] + y[0], x[1] + y[1]]
+    return [x[0] + y[0], x[1] + y[1], x[2] + y[2]]
 
 
 def _across(x: list | None, y: list | None) -> list | None:
     """Slots of different pages that fall together."""
-    return [x[0], sorted({*x[1], *y[1]})[:CONSTANT_PAGES]] if x and y and x[0] == y[0] else None
+    return [x[0], sorted({*x[1], *y[1]})[:CONSTANT_PAGES], x[2] and y[2]] if x and y and x[0] == y[0] else None
 
 
 def _name(item: list) -> str:
@@ -312,6 +330,35 @@ def is_constant(slot: list) -> bool:
     return slot[4] is not None and len(slot[4][1]) >= CONSTANT_PAGES
 
 
+def keep_boilerplate(items: list[list], path: str | None) -> bool:
+    """Leaves those constant slots of a host's wrapper marked that aren't part of the article at path; whether there are any."""
+    inside: list[tuple[list, bool]] = []  # slots of the main element in order, and whether they stand in a heading
+    boxed: set[int] = set()
+
+    def visit(items: list[list], here: str, within: bool, heading: bool) -> list[tuple[list, bool]]:
+        mine = []
+        for x in items:
+            if x[0] == "#":
+                mine.append((x, heading))
+                if within:
+                    inside.append((x, heading))
+                continue
+            at, tag = f"{here}/{x[0]}".lstrip("/") if x[0] else here, x[0].partition(".")[0]
+            got = visit(x[1], at, within or at == path, heading or tag in HEADINGS)
+            if within and x[0] and tag not in FLOW and all(is_constant(y) for y, _ in got) and not all(h for _, h in got):
+                boxed.update(id(y) for y, _ in got)
+            mine += got
+        return mine
+
+    every = visit(items, "", path == "", False)
+    varying = [k for k, (x, _) in enumerate(inside) if not is_constant(x)]
+    drop = {id(x) for k, (x, heading) in enumerate(inside) if varying and is_constant(x) and (id(x) in boxed or not heading and (x[4][2] or not varying[0] < k < varying[-1]))}
+    for x, _ in every:
+        if id(x) not in drop:
+            x[4] = None
+    return bool(drop)
+
+
 def match(wrapper: list[list], page: list[list]) -> Iterator[int]:
     """Numbers of the page's texts that stand in constant slots of the wrapper; items fall together as in align."""
     wn, pn = [_name(x) for x in wrapper], [_name(x) for x in page]
@@ -375,10 +422,11 @@ def page_tree(events: Iterable[tuple[str, str, bool]]) -> dict:
             path.pop()
         elif kind == "text" and (n := len(words := value.split())):
             if slot is None:
-                slot = [[number], [""]]
+                slot = [[number], [""], 0]
                 stack[-1].append(["#", [], 1, 1, slot])
                 number += 1
             pieces += words
+            slot[2] += n - 2 * n * flag
             s = stats.setdefault("/".join(path), [1, 0, 0, bad[-1]])
             s[1] += n
             s[2] += n if flag else 0
@@ -389,13 +437,13 @@ def page_tree(events: Iterable[tuple[str, str, bool]]) -> dict:
     return {"items": fold(stack[0]), "stats": stats}
 
 
-def page_wrapper(page: str) -> dict:
+def page_wrapper(page: str, shared: frozenset[str] | None = None) -> dict:
     """The wrapper of one page: as page_tree, with digests in place of the texts."""
-    one = page_tree(parse(page))
+    one = page_tree(parse(page, shared))
     held = [x for _, x in slots(one["items"])]
     whole = _digest([t for x in held for t in x[4][1]])
     for x in held:
-        x[4] = [_digest(x[4][1]), [whole]]
+        x[4] = [_digest(x[4][1]), [whole], x[4][2] < 0]
     return one
 
 
@@ -431,11 +479,11 @@ def main_path(stats: dict[str, list], constant: frozenset[str] = frozenset()) ->
     return "/".join(commonprefix([p.split("/") if p else [] for p in own]))
 
 
-def extract(page: str | None, path: str | None, wrapper: str | None = None) -> str:
+def extract(page: str | None, path: str | None, wrapper: str | None = None, shared: frozenset[str] | None = None) -> str:
     """Blocks of the main element at path, in page order, without texts in constant slots of the host's wrapper (its items as JSON)."""
     if not page:
         return ""
-    events = list(parse(page))
+    events = list(parse(page, shared))
     fixed = set(match(_items(wrapper), page_tree(events)["items"])) if wrapper else set()
 
     def read(target: str | None, without: set[int]) -> tuple[bool, list[str]]:
@@ -494,23 +542,57 @@ def _items(wrapper: str) -> list[list]:
 
 
 WRAPPER = "host string, wrapper string"
+KEYS = "host string, key string, n long"
 
 
-def _host(url: object) -> str:
-    m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", url) if isinstance(url, str) else None
-    return m.group(1).rpartition("@")[2].lower() if m else ""
+def _count_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, key, pages) of elements with classes; the empty key counts the pages."""
+    held: Counter = Counter()
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in held.items()], columns=["host", "key", "n"])
+
+    for pdf in batches:
+        for host, page in zip(pdf["page_host"], pdf["html"]):
+            if page:
+                found = {""}
+                for m in tokens(page):
+                    if not isinstance(m, str) and m.group(4) and not m.group(2) and (tag := m.group(3).lower()) not in INLINE and tag not in VOID and (written := _label(m.group(4)))[0]:
+                        found.add(f"{tag}.{written[1]}")
+                held.update((host, k) for k in found)
+        if len(held) > 200_000:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def shared_keys(pages: DataFrame) -> DataFrame:
+    """(host, keys): elements with classes that one page in SHARED of the host has, and two at least; at most SHARED times as many as a page has."""
+    counts = pages.select("page_host", "html").mapInPandas(_count_keys, KEYS).groupBy("host", "key").agg(F.sum("n").alias("n"))
+    counts = cut(counts.filter("key = '' or n > 1"))
+    total = counts.filter("key = ''").select(F.col("host").alias("_host"), F.col("n").alias("_pages"))
+    often = counts.filter("key != ''").join(total, F.col("host") == F.col("_host")).filter(F.col("n") * SHARED >= F.col("_pages"))
+    return often.groupBy("host").agg(F.collect_list("key").alias("keys"))
+
+
+def _keys_of(keys: object) -> frozenset[str]:
+    return frozenset(keys) if keys is not None else frozenset()
 
 
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, dict] = {}
+    shared: dict[str, frozenset[str]] = {}
     for pdf in batches:
-        for url, page in zip(pdf["url"], pdf["html"]):
+        for host, page, keys in zip(pdf["page_host"], pdf["html"], pdf["keys"]):
             if page:
-                host, one = _host(url), page_wrapper(page)
+                if host not in shared:
+                    shared[host] = _keys_of(keys)
+                one = page_wrapper(page, shared[host])
                 held[host] = merge(held[host], one) if host in held else one
         if len(held) > 5000:
             yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
-            held = {}
+            held, shared = {}, {}
     if held:
         yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
 
@@ -536,32 +618,54 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for host, whole in _merged(batches):
         held = list(slots(whole["items"]))
-        items = json.dumps(whole["items"]) if any(is_constant(x) for _, x in held) else None
         constant = frozenset(p for p, x in held if is_constant(x)) - {p for p, x in held if not is_constant(x)}
-        yield pd.DataFrame({"host": [host], "path": [main_path(whole["stats"], constant)], "expression": [expression(whole["items"])], "items": [items]}, dtype=object)
+        path = main_path(whole["stats"], constant)
+        text = expression(whole["items"])
+        items = json.dumps(whole["items"]) if keep_boilerplate(whole["items"], path) else None
+        yield pd.DataFrame({"host": [host], "path": [path], "expression": [text], "items": [items]}, dtype=object)
+
 
+def with_host(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, page_host) of pages."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1))
+    return lean(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("page_host", host))
+
+
+def _joined(pages: DataFrame, hosts: DataFrame, broadcast_rows: int, chars: str) -> DataFrame:
+    """pages with their host's row; hosts are broadcast if they are few and small."""
+    rows, size = hosts.agg(F.count("*"), F.sum(F.expr(chars).cast("long"))).first()
+    return pages.join(small_side(hosts, rows if (size or 0) <= BROADCAST_CHARS else None, broadcast_rows), F.col("page_host") == F.col("host"), "left").drop("host")
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path, expression, items): the wrapper of every host of pages(url, html), and the path of its main element; items is null if no slot is constant."""
-    parts = lean(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))).mapInPandas(_infer, WRAPPER)
+
+def infer_wrappers(pages: DataFrame, keys: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
+    """(host, path, expression, items): the wrapper of every host of with_host(pages), the path of its main element, and the wrapper's items if
+    any of its slots are to be dropped; keys as from shared_keys()."""
+    with_keys = _joined(pages, keys, broadcast_rows, "aggregate(keys, 0L, (n, k) -> n + length(k))")
+    parts = with_keys.select("page_host", "html", "keys").mapInPandas(_infer, WRAPPER)
     parts = parts.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).sortWithinPartitions("host", "wrapper").mapInPandas(_combine, WRAPPER)
     return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInPandas(_finish, "host string, path string, expression string, items string")
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shared: dict[str, frozenset[str]] = {}
     for pdf in batches:
-        text = [extract(p, w if isinstance(w, str) else None, i if isinstance(i, str) else None) for p, w, i in zip(pdf["html"], pdf["path"], pdf["items"])]
+        text = []
+        for host, page, w, i, keys in zip(pdf["page_host"], pdf["html"], pdf["path"], pdf["items"], pdf["keys"]):
+            if host not in shared:
+                if len(shared) > 5000:
+                    shared.clear()
+                shared[host] = _keys_of(keys)
+            text.append(extract(page, w if isinstance(w, str) else None, i if isinstance(i, str) else None, shared[host]))
         yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
 
 def extract_pages(pages: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html)."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = cut(infer_wrappers(pages).select("host", "path", "items"))
-    rows, chars = found.agg(F.count("*"), F.sum(F.length("items").cast("long"))).first()
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1))
-    joined = pages.withColumn("page_host", host).join(small_side(found, rows if (chars or 0) <= BROADCAST_CHARS else None, broadcast_rows), F.col("page_host") == F.col("host"), "left")
-    return joined.select("page_id", "url", "html", "path", "items").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    pages = with_host(pages)
+    keys = cut(shared_keys(pages))
+    found = cut(infer_wrappers(pages, keys, broadcast_rows).select("host", "path", "items").join(keys.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").drop("_host"))
+    joined = _joined(pages, found, broadcast_rows, "coalesce(length(items), 0) + coalesce(aggregate(keys, 0L, (n, k) -> n + length(k)), 0)")
+    return joined.select("page_id", "url", "html", "page_host", "path", "items", "keys").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

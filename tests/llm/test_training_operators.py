@@ -794,3 +794,35 @@ def test_smallest_by_hash(spark):
         want.setdefault(r["lang"], []).append(r["doc_id"])
     assert got == {k: dict(enumerate(want[k][:30], 1)) for k in ("a", "b")}
     assert common.smallest_by_hash(ids, "lang", {}, 30).count() == 0
+
+
+def test_html_keeps_the_articles_constant_parts(spark):
+    """Equal headings and phrases between an article's paragraphs stay; equal boxes, links and what frames the body go."""
+    rng = random.Random(41)
+    made = {
+        "plain": (lambda t, p, q: f"<article><h1>{t}</h1><h2>Introduction</h2><p>{p}</p><h2>Conclusion</h2><p>{q}</p></article>", lambda t, p, q: [t, "Introduction", p, "Conclusion", q]),
+        "boxes": (lambda t, p, q: f"<main><div class='kick'>Our best stories</div><h1>{t}</h1><section><h2>Method</h2><p>As ever, we ask.</p><p>{p}</p></section><div class='box-x'><h3>Who we are</h3><p>A paper.</p></div><blockquote><a href=/all>All our stories</a></blockquote><p>{q}</p><pre>Send us a letter</pre></main>", lambda t, p, q: [t, "Method", "As ever, we ask.", p, q]),
+        "lists": (lambda t, p, q: f"<div class=post><h1>{t}</h1><ul><li>{p}</li><li>Same in all</li><li>{q}</li></ul><div><h2>Notes</h2></div><p>{p[::-1]}</p></div>", lambda t, p, q: [t, p, "Same in all", q, "Notes", p[::-1]]),
+        "menu": (lambda t, p, q: f"<article><h1>{t}</h1><div class='menu-item'>{p}</div><p>{q}</p></article>", lambda t, p, q: [t, p, q]),
+    }
+    rows, want = [], {}
+    for k, (host, (page, text)) in enumerate(made.items()):
+        for i in range(24):
+            parts = [prose(rng, rng.randint(2, 12)) for _ in range(3)]
+            slug = "-".join(prose(rng, 4).split()) + chr(97 + i)  # a class that only this page has
+            rows.append((100 * k + i, f"http://{host}.example/{i}", f"<html><body class='{slug}'><div id='p-{slug}'>{page(*parts)}</div></body></html>"))
+            want[100 * k + i] = "\n".join(text(*parts))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(make(spark, rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_html_wrappers_stay_small(spark):
+    """Classes made for one page don't make a host's wrapper grow with its pages."""
+    def size(n):
+        word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+        rows = [(i, "http://h/", f"<body class='x{word(i)}'><nav class='{word(i)}b'>m</nav><article id='{word(i)}c'><h1>{word(7 * i)}</h1><p class=lead>{word(3 * i)}</p></article></body>") for i in range(n)]
+        pages = html_extract.with_host(make(spark, rows, "page_id long, url string, html string").repartition(4))
+        (host,) = html_extract.infer_wrappers(pages, html_extract.shared_keys(pages)).collect()
+        return len(host["expression"])
+
+    assert size(60) == size(600)
