@@ -7,7 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from reviewlake.functions import text as X
+from reviewlake.functions.validation import form_faults as form_faults_of
 from reviewlake.operators import assembly as A
+from reviewlake.operators import attempts as T
 from reviewlake.operators import generation as G
 from reviewlake.operators import layout as Y
 from reviewlake.operators import notes as N
@@ -18,11 +20,11 @@ from reviewlake.operators import submissions as S
 from reviewlake.plans.nested import _items
 from reviewlake.plans.registry import query
 from reviewlake.plans.scalars import _VENUES, _pick, _pick_sql
+from reviewlake.session import scratch
 from reviewlake.sources import files as IO
 from reviewlake.sources import outputs as O
 
 
-
 def _doc():
     return F.col("doc_id")
 
@@ -134,10 +136,92 @@ def metas_parsed(load):
     return _threads(load).select("conv_id", F.get_json_object(found["json"], "$.decision").alias("decision"), F.get_json_object(found["json"], "$.metareview").alias("metareview"), found["error"].alias("error"))
 
 
-@query("form_texts", f"SELECT region.r_regionkey, {_lit(R.form_text(R.UNIVERSAL_REVIEW))} AS fields, {_lit(R.form_example(R.UNIVERSAL_META))} AS example FROM region")
+# What the forms look like in prompts, written out.
+_REVIEW_FIELDS = """- summary: str (required) - Main summary/points of the review
+- strengths: str (required) - Paper strengths identified by reviewer
+- weaknesses: str (required) - Paper weaknesses identified by reviewer
+- questions: list of str (optional) - Questions for authors
+- sources: list of Source (optional) - Papers/sources mentioned in the review
+  Fields for Source:
+    - ref: str (required) - Link or title of referenced paper
+    - within: str (required) - Which field: 'summary', 'strengths', 'weaknesses', 'questions'
+- technical_novelty_contribution: str or null (optional) - Technical novelty assessment (if mentioned)
+- empirical_novelty_contribution: str or null (optional) - Empirical contribution assessment (if mentioned)
+- presentation: str or null (optional) - Presentation quality assessment (if mentioned)"""
+_REVIEW_EXAMPLE = """{
+  "summary": "...",
+  "strengths": "...",
+  "weaknesses": "...",
+  "questions": [
+    "..."
+  ],
+  "sources": [
+    {
+      "ref": "...",
+      "within": "..."
+    }
+  ],
+  "technical_novelty_contribution": "...",
+  "empirical_novelty_contribution": "...",
+  "presentation": "..."
+}"""
+_META_EXAMPLE = """{
+  "summary": "...",
+  "strengths": "...",
+  "weaknesses": "...",
+  "why_not_higher": "...",
+  "why_not_lower": "..."
+}"""
+
+
+@query("form_texts", f"SELECT doc_id, {_lit(_REVIEW_FIELDS)} || chr(10) || text AS fields, {_lit(_META_EXAMPLE)} || text AS example FROM documents")
 def form_texts(load):
-    """X5."""
-    return load("region").select("r_regionkey", F.lit(R.form_text(R.UNIVERSAL_REVIEW)).alias("fields"), F.lit(R.form_example(R.UNIVERSAL_META)).alias("example"))
+    """The forms as text, as prompts put them before a document."""
+    fields, example = F.lit(R.form_text(R.UNIVERSAL_REVIEW)), F.lit(R.form_example(R.UNIVERSAL_META))
+    return load("documents").select("doc_id", F.concat(fields, F.lit("\n"), "text").alias("fields"), F.concat(example, "text").alias("example"))
+
+
+_FAULTY = {
+    0: ('{"summary": @, "strengths": "s", "weaknesses": "w", "questions": ["q", @], "sources": [{"ref": @, "within": "summary"}], "more": 1}', []),
+    1: ("x@", [("", "json_invalid")]),
+    2: ('{"summary": @, "weaknesses": 5}', [("strengths", "missing"), ("weaknesses", "string_type")]),
+    3: ('{"summary": "", "strengths": @, "weaknesses": "w", "questions": @, "sources": null}', [("questions", "list_type"), ("sources", "list_type")]),
+    4: ('{"summary": @, "strengths": "s", "weaknesses": "w", "questions": [@, 5, null]}', [("questions[1]", "string_type"), ("questions[2]", "string_type")]),
+    5: ('{"summary": @, "strengths": "s", "weaknesses": "w", "sources": [{"ref": @}, @, {"ref": true, "within": "w"}]}', [("sources[0].within", "missing"), ("sources[1]", "model_type"), ("sources[2].ref", "string_type")]),
+    6: ("[@]", [("", "model_type")]),
+    7: ('{"summary": null, "strengths": @, "weaknesses": "w", "presentation": false, "empirical_novelty_contribution": null}', [("summary", "string_type"), ("presentation", "string_type")]),
+}
+
+
+def _completions(load):
+    """(doc_id, text, json): documents with a completion that holds the whole text, of eight kinds by id."""
+    kind, value = _doc() % 8, R.json_value(F.col("text"))
+    made = F.coalesce(*[F.when(kind == k, F.concat(*[x for i, part in enumerate(form.split("@")) for x in ([value] if i else []) + [F.lit(part)]])) for k, (form, _) in _FAULTY.items()])
+    return load("documents").select("doc_id", "text", made.alias("json"))
+
+
+@query("form_faults", f"SELECT doc_id, path, reason FROM documents, (VALUES {', '.join(f'({k}, {_lit(path)}, {_lit(reason)})' for k, (_, faults) in _FAULTY.items() for path, reason in faults)}) v(k, path, reason) WHERE doc_id % 8 = k")
+def form_faults(load):
+    """Every fault of completions held against the review form, with its place."""
+    return _completions(load).select("doc_id", F.explode(form_faults_of(F.col("json"), R.UNIVERSAL_REVIEW)).alias("f")).select("doc_id", "f.path", "f.reason")
+
+
+@query(
+    "failed_rows",
+    r"""WITH d AS (SELECT *, doc_id % 8 <> 0 AS faulty, regexp_matches(text, '[^\x00-\x7F]') AS wide FROM documents)
+SELECT doc_id, CASE WHEN faulty THEN 'failed' WHEN wide THEN 'failed' ELSE 'good' END AS outcome, CASE WHEN faulty THEN 'form' WHEN wide THEN 'encode' END AS stage,
+  CASE WHEN faulty THEN CASE doc_id % 8 WHEN 1 THEN 'json_invalid' WHEN 2 THEN 'missing' WHEN 3 THEN 'list_type' WHEN 6 THEN 'model_type' WHEN 5 THEN 'missing' ELSE 'string_type' END WHEN wide THEN 'UnicodeEncodeError' END AS error,
+  CASE WHEN NOT faulty AND NOT wide THEN strlen(text) END AS n_bytes FROM d""",
+)
+def failed_rows(load):
+    """A check and a function that raises for some texts, over whole texts; both outputs are written in one pass and read back."""
+    rows = _completions(load).withColumn("faults", form_faults_of(F.col("json"), R.UNIVERSAL_REVIEW))
+    rows = rows.withColumn("tried", T.attempt(lambda text: len(text.encode("ascii")), "long", F.col("text"), when=F.size("faults") == 0))
+    both = T.with_outcome(rows.select("doc_id", "faults", "tried"), [("form", F.when(F.size("faults") > 0, F.get("faults", 0)["reason"])), ("encode", F.col("tried.error"))])
+    path = scratch(both.sparkSession, "outcomes")
+    T.write_both(both, path)
+    read = lambda outcome: T.read_outcome(both.sparkSession, path, outcome, both).select("doc_id", F.lit(outcome).alias("outcome"), "stage", F.regexp_extract("error", r"^\w+", 0).alias("error"), F.col("tried.value").alias("n_bytes"))
+    return read(T.GOOD).unionByName(read(T.FAILED))
 
 
 # --- prompts --------------------------------------------------------------------------------------------------------------
@@ -148,7 +232,7 @@ _ORIGINAL = '{{\n  "rating": "6: fair",\n  "confidence": "3: sure",\n  "review":
 @query(
     "normaliser_prompts",
     f"""WITH o AS (SELECT doc_id, {_sql_fill(_ORIGINAL, review="to_json(text)", title="CASE WHEN doc_id % 2 = 0 THEN to_json(source) ELSE '\"\"' END")} AS original FROM documents WHERE text IS NOT NULL)
-SELECT doc_id::VARCHAR AS submission_id, 'review' AS type, 0 AS review_index, original AS original_json, {_sql_fill(P.NORMALISE, kind="'Review'", original="original", fields=_lit(R.form_text(R.UNIVERSAL_REVIEW)), example=_lit(R.form_example(R.UNIVERSAL_REVIEW)))} AS prompt FROM o""",
+SELECT doc_id::VARCHAR AS submission_id, 'review' AS type, 0 AS review_index, original AS original_json, {_sql_fill(P.NORMALISE, kind="'Review'", original="original", fields=_lit(_REVIEW_FIELDS), example=_lit(_REVIEW_EXAMPLE))} AS prompt FROM o""",
 )
 def normaliser_prompts(load):
     """P16, X5."""

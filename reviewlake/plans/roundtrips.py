@@ -14,6 +14,7 @@ from reviewlake.plans.registry import query
 from reviewlake.session import scratch
 from reviewlake.sources import files as IO
 from reviewlake.sources import outputs as O
+from reviewlake.sources import versions as V
 
 
 @query("notes_scanned", "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN 2022 ELSE 2021 END AS year, text FROM documents WHERE doc_id % 4 < 3 OR doc_id % 3 = 0")
@@ -131,6 +132,25 @@ def replaced_folders(load):
     return p.sparkSession.read.parquet(path).groupBy("year", "decision").agg(F.count("*").alias("n"))
 
 
+@query("replaced_parts", f"WITH {PAPERS_SQL} SELECT year, CASE WHEN year = 2021 THEN 'new' ELSE decision END AS decision, text FROM papers WHERE year <> 2022")
+def replaced_parts(load):
+    """Parts of a table replaced by commits; a part that gets no rows goes, and readers see the last commit."""
+    p = papers(load).select("submission_id", "year", "decision", "text")
+    path = scratch(p.sparkSession, "parts")
+    V.replace_parts(p, path, "year")
+    V.replace_parts(p.filter("year = 2021").withColumn("decision", F.lit("new")), path, "year", [2021, 2022])
+    return V.read_parts(p.sparkSession, path, "submission_id long, year int, decision string, text string").select("year", "decision", "text")
+
+
+@query("citations_scanned", "SELECT p_partkey AS pos, p_name AS normalized_title, p_size::BIGINT AS gs_citation FROM part WHERE p_partkey % 3 > 0")
+def citations_scanned(load):
+    """One conference's papers; the filter and the columns reach the files."""
+    part = load("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("normalized_title"), F.col("p_size").cast("long").alias("gs_citation"), F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 3 > 0, "iclr").otherwise("other").alias("conference"), F.lit("unused").alias("more"))
+    path = scratch(part.sparkSession, "papers")
+    part.write.parquet(path)
+    return O.load_citations(part.sparkSession, path).select("pos", "normalized_title", "gs_citation")
+
+
 @query("holdout_rows", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT item_id * 3 FROM benchmark)")
 def holdout_rows(load):
     """Rows but for the examples of a JSON file by year."""

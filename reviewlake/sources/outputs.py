@@ -36,10 +36,18 @@ def normalized_index(files: DataFrame, metas: DataFrame) -> DataFrame:
     return found.join(held, F.col("meta_path") == F.col("_path"), "left").withColumn("meta", F.when(F.col("_json"), whole)).drop("_path", "_m", "_json")
 
 
-def load_citations(spark: SparkSession, source: str, conference: str = "iclr") -> DataFrame:
-    """(id, normalized_title, gs_citation, pos) of a conference's papers, from Parquet or a JDBC address; filter and columns reach the source."""
+def load_citations(spark: SparkSession, source: str, conference: str = "iclr", by: str | None = None, parts: int = 16) -> DataFrame:
+    """(id, normalized_title, gs_citation, pos) of a conference's papers, from Parquet or a JDBC address; filter and columns reach the
+    source. by names a numeric column of a JDBC table, over whose range in the source the scan is dealt to parts connections."""
     if source.startswith("jdbc:"):
-        rows = spark.read.format("jdbc").option("url", source).option("dbtable", "papers").load()
+        table = spark.read.format("jdbc").option("url", source)
+        if by is not None:
+            rows = table.option("dbtable", "papers").load().filter(F.col("conference") == conference)
+            least, most = rows.agg(F.min(by), F.max(by)).first()  # one row, computed in the source
+            if least is not None:
+                table = table.option("partitionColumn", by).option("lowerBound", str(least)).option("upperBound", str(most + 1)).option("numPartitions", str(parts))
+        rows = table.option("dbtable", "papers").load()
+        rows = rows.toDF(*[c.lower() for c in rows.columns])
     else:
         rows = spark.read.parquet(source)
     return rows.filter(F.col("conference") == conference).select("id", "normalized_title", "gs_citation", *(["pos"] if "pos" in rows.columns else [F.lit(0).alias("pos")]))
