@@ -43,9 +43,10 @@ def _pack(side: int, others: int, size: int):
                         body[i, : len(v)] = v
                     most = max(int(body.max(initial=0)), -1 - int(body.min(initial=0)))
                     body = body.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(k).max))
-                    ids = rows["vec_id"].to_numpy(np.int64).tobytes()
-                    keys = [(block, j) if side == 0 else (j, block) for j in range(others)]
-                    yield pd.DataFrame([(q, c, side, ids, dims, body.itemsize, body.tobytes()) for q, c in keys], columns=["qb", "cb", "side", "ids", "dims", "width", "body"])
+                    ids, packed = rows["vec_id"].to_numpy(np.int64).tobytes(), body.tobytes()
+                    for j in range(others):  # one copy at a time
+                        q, c = (block, j) if side == 0 else (j, block)
+                        yield pd.DataFrame([(q, c, side, ids, dims, body.itemsize, packed)], columns=["qb", "cb", "side", "ids", "dims", "width", "body"])
 
     return run
 
