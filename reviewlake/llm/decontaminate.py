@@ -20,7 +20,6 @@ repeated items one result each; extra columns are ignored (find) or kept (remove
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -244,8 +243,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = MIN
     docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id long, item_id {kind}, score double, n_seeds long, first_word long, end_word long"
-    parts = [docs.mapInPandas(_find(docs.sparkSession.sparkContext.broadcast(ix)), schema) for ix in build_indices(benchmark, least, min_words, block_chars)]
-    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    found: DataFrame | None = None
+    held = None  # the index of the part that isn't checkpointed yet
+    for ix in build_indices(benchmark, least, min_words, block_chars):
+        if held is not None:
+            found = cut(found)
+            held.unpersist()
+        held = docs.sparkSession.sparkContext.broadcast(ix)
+        part = docs.mapInPandas(_find(held), schema)
+        found = part if found is None else found.unionByName(part)
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def _clean(index, at: int):
