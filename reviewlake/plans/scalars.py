@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewlake.functions import decisions as D
+from reviewlake.functions import markdown as M
 from reviewlake.functions import text as X
 from reviewlake.plans.registry import query
 
@@ -94,10 +95,19 @@ def abstract_no_git(load):
     return load("documents").select("doc_id", X.remove_git_sentences(text).alias("abstract"))
 
 
-@query("github_mentions", "SELECT page_id, contains(lower(url), 'github.com/') AS link, contains(lower(url), 'example') AS word FROM pages")
+@query("github_mentions", "SELECT page_id, contains(lower(h), 'github.com/') AS link, contains(lower(h), 'github') AS word FROM (SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN '<a href=\"https://GitHub.com/x\">' WHEN 1 THEN ' on GITHUB.' ELSE '' END AS h FROM pages)")
 def github_mentions(load):
-    """F11."""
-    return load("pages").select("page_id", X.mentions_github_link(F.col("url")).alias("link"), F.contains(F.lower("url"), F.lit("example")).alias("word"))
+    """F11, the first two forms, over whole pages."""
+    html = F.concat("html", F.element_at(F.array(F.lit('<a href="https://GitHub.com/x">'), F.lit(" on GITHUB."), F.lit("")), (F.col("page_id") % 3 + 1).cast("int")))
+    return load("pages").select("page_id", X.mentions_github_link(html).alias("link"), X.mentions_github(html).alias("word"))
+
+
+@query("github_in_abstracts", "SELECT doc_id, doc_id % 3 = 0 OR contains(lower(text), 'github') AS in_abstract, doc_id % 3 < 2 OR contains(lower(text), 'github') AS anywhere FROM documents")
+def github_in_abstracts(load):
+    """F11, the third form: within the abstract of a markdown text that holds the whole document, and beyond it."""
+    said = lambda k: F.when(F.col("doc_id") % 3 == k, "See GitHub.\n").otherwise("")
+    md = F.concat(F.lit("# T\n\n## Abstract\n"), said(0), F.replace("text", F.lit("#"), F.lit("")), F.lit("\n\n# 1 Introduction\n"), said(1))
+    return load("documents").select("doc_id", X.mentions_github(F.coalesce(M.md_abstract(md), F.lit(""))).alias("in_abstract"), X.mentions_github(md).alias("anywhere"))
 
 
 @query("truncated_paper", "SELECT doc_id, CASE WHEN length(text) > 353 THEN left(text, 353) || chr(10) || chr(10) || '[... truncated for length ...]' ELSE text END AS text FROM documents")
@@ -130,10 +140,10 @@ _ANSWERS = ["Accept", "I would reject it", "accept, not reject", "7.5", "11", "8
 
 
 def _completion():
-    return F.concat(F.lit("Reasoning: because of "), F.left("source", F.lit(20)), F.lit("\nAnswer: "), _pick(_ANSWERS))
+    return F.concat(F.lit("Reasoning: because of "), F.col("text"), F.lit("\nAnswer: "), _pick(_ANSWERS))
 
 
-_ANSWER_SQL = f"SELECT doc_id, 'because of ' || left(source, 20) AS reasoning, {_pick_sql(_ANSWERS)} AS a FROM documents"
+_ANSWER_SQL = f"SELECT doc_id, 'because of ' || rtrim(text, ' ' || chr(10)) AS reasoning, {_pick_sql(_ANSWERS)} AS a FROM documents"
 
 
 @query("answers_decision", f"WITH q AS ({_ANSWER_SQL}) SELECT doc_id, reasoning, CASE WHEN contains(lower(a), 'accept') THEN 'Accept' WHEN contains(lower(a), 'reject') THEN 'Reject' END AS decision FROM q")
