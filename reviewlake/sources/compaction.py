@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from reviewlake.session import held
 
 
-def shard_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """(path, length) of the shards under a folder; contents aren't read."""
+def shard_files(spark: SparkSession, root: str | list[str], pattern: str = "*.parquet") -> DataFrame:
+    """(path, length) of the shards under folders; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return files.select("path", "length")
 
@@ -40,16 +40,16 @@ def _name(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[a-z]+:/+", "/")
 
 
-def compact(spark: SparkSession, root: str, out: str, bound: int = 1 << 30, expected: list[str] | None = None) -> DataFrame:
-    """Writes the Parquet shards under root to out, one file a bin, and gives (path, file_bin, first_row, n_rows, bytes, missing).
+def compact(spark: SparkSession, root: str | list[str], out: str, bound: int = 1 << 30, expected: list[str] | None = None) -> DataFrame:
+    """Writes the Parquet shards under root (a folder or several, of one schema) to out, one file a bin, and gives (path, file_bin, first_row, n_rows, bytes, missing).
 
-    Rows keep the order of their shards and their order inside them. expected names folders or files under root that should be
+    Rows keep the order of their shards and their order inside them. expected names folders or files under the first root that should be
     there; those without any shard come back with missing true and no bin."""
     bins = held(pack(shard_files(spark, root), bound))
     n = (bins.agg(F.max(F.col("bin") + F.col("bins"))).first()[0]) or 0
     found = None
     if n:
-        rows = spark.read.option("recursiveFileLookup", "true").parquet(root)
+        rows = spark.read.option("recursiveFileLookup", "true").parquet(*([root] if isinstance(root, str) else root))
         kept = rows.columns
         rows = rows.select("*", _name(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.row_index").alias("_row"))
         sizes = rows.groupBy("_path").agg(F.count("*").alias("_rows"))  # from the files' footers and row numbers alone
@@ -60,7 +60,7 @@ def compact(spark: SparkSession, root: str, out: str, bound: int = 1 << 30, expe
         cuts = place.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
         edge = lambda k: F.ceil(k * F.col("_rows") / F.col("bins")).cast("long")  # noqa: E731  the first row with floor(row * bins / rows) = k
         found = cuts.select("path", (F.col("bin") + F.col("_part")).alias("file_bin"), edge(F.col("_part")).alias("first_row"), (edge(F.col("_part") + 1) - edge(F.col("_part"))).alias("n_rows"), F.floor(F.col("length") / F.col("bins")).alias("bytes"), F.lit(False).alias("missing"))
-    absent = missing(bins, root, expected or [])
+    absent = missing(bins, root if isinstance(root, str) else root[0], expected or [])
     return absent if found is None else found.unionByName(absent)
 
 

@@ -69,9 +69,10 @@ def write_parts(df: DataFrame, path: str, parts: int) -> None:
     df.repartition(parts).write.mode("overwrite").parquet(path)
 
 
-def merge_shards(spark: SparkSession, root: str, out: str, shards: int, bound: int = 1 << 30) -> DataFrame:
-    """The shards shard_00, shard_01, ... under root as files of at most bound bytes; the table of moves, which lists missing shards too."""
-    return compact(spark, root, out, bound, [f"shard_{i:02d}" for i in range(shards)])
+def merge_shards(spark: SparkSession, paths: str | list[str], out: str, shards: int | None = None, bound: int = 1 << 30) -> DataFrame:
+    """The shards under a folder (or several) as files of at most bound bytes; the table of moves. With shards it also lists
+    those of shard_00, shard_01, ... that are missing in the first folder."""
+    return compact(spark, paths, out, bound, None if shards is None else [f"shard_{i:02d}" for i in range(shards)])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
