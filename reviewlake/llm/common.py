@@ -5,14 +5,17 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a counted table of a few numbers a row is broadcast (a few MB).
 BROADCAST_ROWS = 100_000
+#: Bits of the largest filter of ids (16 MB).
+FILTER_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +67,56 @@ def small_side(df: DataFrame, rows: int | None, bound: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows is not None and rows <= bound else df
 
 
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Four places in a Bloom filter of each id."""
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    step = mix(h) | np.uint64(1)
+    return ((h[:, None] + step[:, None] * np.arange(4, dtype=np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def may_hold(ids: DataFrame, n: int, most_bits: int = FILTER_BITS) -> Callable[[str], Column]:
+    """A test of a column's ids that fails only for ids that ids, n rows of one column, lacks. Rows of large texts that fail it need no
+    shuffle to be told apart; those that pass go through a join. Null ids fail.
+
+    It is a Bloom filter of at least 16 bits an id (some 0.3 % pass by chance) up to most_bits, from where on more pass."""
+    bits = min(most_bits, 1 << max(16, (16 * n - 1).bit_length()))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.unique(_places(pdf["id"].to_numpy(), bits))
+            yield pd.DataFrame({"piece": at >> 16, "at": at & 0xFFFF})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << 16, bool)
+        held[pdf["at"].to_numpy()] = True
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+
+    named = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).filter("id is not null")
+    pieces = named.mapInPandas(place, "piece long, at long").groupBy("piece").applyInPandas(pack, "piece long, bits binary")
+    whole = np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for piece, part in pieces.collect():  # the filter, 16 MB at most
+        whole[piece] = np.frombuffer(part, np.uint8)
+    sent = ids.sparkSession.sparkContext.broadcast(whole.ravel())
+
+    @F.pandas_udf("boolean")
+    def passes(held: pd.Series) -> pd.Series:
+        at = _places(held.to_numpy(), bits)
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1))
+
+    return lambda column: F.col(column).isNotNull() & passes(F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long")))
+
+
+def with_ids(df: DataFrame, column: str, side: DataFrame, n: int, bound: int, how: str = "inner") -> DataFrame:
+    """df joined to the n rows of side, whose first column holds its ids: how is inner, left_semi or left_anti. Up to bound rows of side
+    are broadcast; beyond, only those rows of df are shuffled that a filter of the ids lets pass."""
+    on = F.col(column) == F.col(side.columns[0])
+    if n <= bound:
+        return df.join(F.broadcast(side), on, how)
+    passes = may_hold(side.select(side.columns[0]), n)(column)
+    near = df.filter(passes).join(side, on, how)
+    return df.filter(~passes).unionByName(near) if how == "left_anti" else near
+
+
 def bucket_of(column: str, modulus: int):
     """crc32 of the id as text, modulo: the split that contracts fix."""
     return F.crc32(F.col(column).cast("string")) % modulus

@@ -15,7 +15,9 @@ join is exact (but for collisions of two 63-bit digests at once, or of 64-bit sh
    edges. So no signature, however common, piles up. Buckets of signatures hold neighbouring levels, each level as many as
    its tokens need, so that the signatures that two sets share meet in few buckets and few edges tell the same.
 3. In each family sets are sorted into groups of similar sets; each group has its token union. A query set opens only the
-   groups whose union overlaps it enough, and compares with members that its component lacks. Families above a bound are
+   groups whose union overlaps it enough, and compares with members that its component lacks. Families above a bound grow
+   faster than the table, by chains of sets of which most link with nothing. There a set goes on only if enough of its tokens are
+   in other sets of the family too; tokens are dealt by ranges of their hashes to count that. What is still above the bound is
    cut into blocks. A set stays in its own block, and goes on to those others whose token union (a bitmap, which only ever adds
    tokens) it overlaps enough; what two blocks exchanged in this way is one task.
 4. Components of the links give every row the smallest doc_id.
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from reviewlake.llm.common import blocks, cut, free_name, lean, mix, shingle_sets, small_side, table
+from reviewlake.llm.common import blocks, cut, free_name, lean, mix, shingle_sets, small_side, table, with_ids
 from reviewlake.llm.components import LOCAL_EDGES, components, star_forest
 
 #: Signatures gathered in a map task before they are combined and sent.
@@ -47,6 +49,8 @@ BUCKET_SIGNATURES = 1_000_000
 #: Sets and tokens of one block of a family, on average; bits of a block's token union; blocks whose unions a task holds at once.
 BLOCK_SETS, BLOCK_TOKENS = 2048, 1_000_000
 UNION_BITS, UNIONS = 23, 32
+#: Tokens of large families gathered in a map task before they are dealt.
+DEALT_TOKENS = 2_000_000
 #: Sets of one group of the token-group matrix.
 GROUP_SETS = 16
 #: Differences from which on parts have three thirds.
@@ -300,6 +304,52 @@ def _fetch(k: int, shared: np.ndarray):
     return run
 
 
+def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tokens of a family's sets by ranges of their hashes, as many as the family has blocks: half of each token, and its set's class."""
+    held: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    n = 0
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for (fam, nb), sets in held.items():
+            tokens = np.concatenate([t for _, t in sets])
+            owner = np.repeat(np.array([c for c, _ in sets], np.int64), [len(t) for _, t in sets])
+            part = ((tokens >> np.uint64(32)) * np.uint64(nb)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            owner, half = owner[order], tokens[order].astype(np.uint32)
+            ends = np.searchsorted(part[order], np.arange(nb + 1).astype(np.uint64))
+            rows = [(fam, i, owner[s:e].tobytes(), half[s:e].tobytes()) for i, (s, e) in enumerate(zip(ends[:-1], ends[1:])) if e > s]
+            yield pd.DataFrame(rows, columns=["fam", "part", "owners", "halves"])
+
+    for pdf in batches:
+        for fam, nb, cls, blob in zip(pdf["fam"], pdf["nb"], pdf["cls"], pdf["tokens"]):
+            tokens = np.frombuffer(blob, np.uint64)
+            held.setdefault((int(fam), int(nb)), []).append((cls, tokens))
+            n += len(tokens)
+        if n > DEALT_TOKENS:
+            yield from flush()
+            held, n = {}, 0
+    yield from flush()
+
+
+def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """How many tokens of each set other sets hold too, in one range of a family (equal halves only add)."""
+    owner, half = (np.concatenate([np.frombuffer(b, kind) for b in pdf[c]]) for c, kind in (("owners", np.int64), ("halves", np.uint32)))
+    _, at, n = np.unique(half, return_inverse=True, return_counts=True)
+    cls, shared = np.unique(owner[n[at] > 1], return_counts=True)
+    return pd.DataFrame({"fam": np.full(len(cls), pdf["fam"].iloc[0]), "cls": cls, "shared": shared})
+
+
+def _shared_enough(sets: DataFrame, percent: int, block_sets: int, block_tokens: int) -> DataFrame:
+    """The sets of large families of which so many tokens are in other sets that they may link, dealt to blocks anew."""
+    dealt = sets.select("fam", "nb", "cls", "tokens").mapInPandas(_deal, "fam long, part long, owners binary, halves binary")
+    counts = dealt.groupBy("fam", "part").applyInPandas(_count_shared, "fam long, cls long, shared long").groupBy("fam", "cls").agg(F.sum("shared").alias("shared"))
+    n = F.length("tokens") / 8
+    kept = cut(sets.select("fam", "cls", "tokens").join(counts, ["fam", "cls"]).filter(F.col("shared") * 100 >= n * percent).drop("shared"))
+    blocks_of = kept.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(n) / block_tokens)).cast("long").alias("nb"))
+    blk = F.pmod(F.xxhash64("cls"), F.col("nb"))
+    return kept.join(blocks_of, "fam").select("fam", "nb", blk.alias("bi"), blk.alias("bj"), blk.alias("blk"), "cls", "tokens")
+
+
 def _bit(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte and bit of each token in a block's union."""
     at = tokens >> np.uint64(64 - UNION_BITS)
@@ -465,17 +515,23 @@ def _linked(docs: DataFrame, k: int, percent: int, block_sets: int, block_tokens
     slots = [F.coalesce(F.max(F.when(F.col("down") == x, F.col(c))), F.lit(0).cast("long")).alias(f"{c}{x}") for x in (0, 1) for c in ("fam", "nb")]
     member = cut(member.groupBy("cls").agg(F.min("low").alias("doc_id"), *slots))
     n_member = member.count()
-    asked = docs.join(small_side(member, n_member, broadcast_rows), "doc_id").select("text", "cls", "fam0", "nb0", "fam1", "nb1")
-    home = asked.mapInPandas(_fetch(k, shared), "fam long, nb long, bi long, bj long, blk long, cls long, tokens binary")
+
+    def fetched(which: str) -> DataFrame:  # the sets of the families whose number of blocks is such
+        some = member.filter(f"nb0 {which} or nb1 {which}").withColumnRenamed("doc_id", "member_id").select("member_id", "cls", "fam0", "nb0", "fam1", "nb1")
+        asked = with_ids(docs, "doc_id", some, n_member, broadcast_rows).select("text", "cls", "fam0", "nb0", "fam1", "nb1")
+        return asked.mapInPandas(_fetch(k, shared), "fam long, nb long, bi long, bj long, blk long, cls long, tokens binary").filter(f"nb {which}")
+
     keys = ["fam", "bi", "bj"]
 
     def linked_in(sets: DataFrame) -> DataFrame:
         return sets.select(*keys, "blk", "cls", "tokens").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_verify(percent), "a long, b long")
 
-    links = linked_in(home)
+    links = linked_in(fetched("= 1"))
     if member.filter("nb0 > 1 or nb1 > 1").limit(1).count():
-        large = cut(asked.filter("nb0 > 1 or nb1 > 1").mapInPandas(_fetch(k, shared), home.schema).filter("nb > 1"))
-        links = links.unionByName(linked_in(_exchanged(large, percent)))
+        large = cut(_shared_enough(cut(fetched("> 1")), percent, block_sets, block_tokens))
+        links = links.unionByName(linked_in(large))
+        if large.filter("nb > 1").limit(1).count():
+            links = links.unionByName(linked_in(_exchanged(large.filter("nb > 1"), percent)))
     comp = cut(components(links, local_edges))
     found = comp.select(F.col("node").alias("cls"), F.col("comp").alias("of")).union(comp.select(F.col("comp").alias("cls"), F.col("comp").alias("of")).distinct())
     # every class of a component, or with copies, gets the smallest doc_id; all others keep their own
@@ -516,13 +572,11 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, broadcast_r
     gone_id, again_id, size, cls, own, of, low = (free_name(docs.columns, x) for x in ("gone_id", "again_id", "set_size", "set_digest", "named_digest", "component_of", "component_low"))
     gone = cut(_name(rows, named, broadcast_rows).filter("component_id != doc_id").select(F.col("doc_id").alias(gone_id)))
     again = cut(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias(again_id)).count().filter("count > 1").select(again_id))
-    n = again.count()
-    gone = small_side(gone, gone.count(), broadcast_rows)
+    n, n_gone = again.count(), gone.count()
     if not n:
-        return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
-    same, again = F.col("doc_id") == F.col(again_id), small_side(again, n, broadcast_rows)
-    once = docs.join(again, same, "left_anti").join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
-    many = lean(docs.join(again, same, "left_semi"))  # ids of several rows: their texts tell which component each row is of
+        return with_ids(docs, "doc_id", gone, n_gone, broadcast_rows, "left_anti")
+    once = with_ids(docs, "doc_id", again.union(gone).distinct(), n + n_gone, broadcast_rows, "left_anti")
+    many = lean(with_ids(docs, "doc_id", again, n, broadcast_rows, "left_semi"))  # ids of several rows: their texts tell which component each row is of
     schema = StructType([*many.schema.fields, StructField(size, LongType()), StructField(cls, LongType())])
     many = cut(many.mapInArrow(_add_classes(k, docs.columns.index("text"), shared, [size, cls]), schema))
     empty = many.filter(F.col(size) == 0).dropDuplicates(["doc_id", "text"]).select(*docs.columns)

@@ -81,6 +81,55 @@ def test_jaccard_of_many_blocks(spark):
     assert got == brute_components(rows, 3, 60)
 
 
+def test_jaccard_sends_few_sets_of_large_families(spark, monkeypatch):
+    """Of sets that only a shared passage holds together in one family, none goes between blocks; links across blocks stay."""
+    rng = random.Random(31)
+    passage = prose(rng, 60)
+    texts = [f"{passage} {prose(rng, 32)}" for _ in range(80)]
+    texts += [t + " end" for t in texts[:6]]
+    rows = list(enumerate(texts))
+    sent, exchanged = [], jaccard._exchanged
+
+    def counted(home, percent):
+        sent.append(home.count())
+        return exchanged(home, percent)
+
+    monkeypatch.setattr(jaccard, "_exchanged", counted)
+    # one family for all, as chains of signatures make them
+    monkeypatch.setattr(jaccard, "signatures", lambda h, doc, n, percent: (np.full((n > 0).sum(), 7, np.uint64), np.flatnonzero(n), np.zeros((n > 0).sum(), np.int64)))
+    monkeypatch.setattr(jaccard, "place_signatures", lambda sig, scheme, bounds: sig)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(make(spark, rows, "doc_id long, text string"), 3, 80, block_sets=3).collect()}
+    assert got == brute_components(rows, 3, 80) and sum(c != i for i, (_, c) in got.items()) == 6
+    assert sum(sent) <= 12  # 86 before
+
+
+def test_joins_by_a_filter_of_ids(spark):
+    rows = [(i if i % 10 else None, f"text {i}") for i in range(3000)]
+    docs, ids = make(spark, rows, "doc_id int, text string"), make(spark, [(i, i % 3) for i in range(1, 5000, 7)], "other long, k int")
+    passing = {r[0] for r in docs.filter(common.may_hold(ids.select("other"), ids.count())("doc_id")).collect()}
+    held = {i for i, _ in rows if i is not None and i % 7 == 1}
+    assert held <= passing and len(passing) < len(held) + 60 and None not in passing
+    full = common.may_hold(ids.select("other"), ids.count(), 1 << 16)  # a filter too small for its ids passes more
+    assert held <= {r[0] for r in docs.filter(full("doc_id")).collect()}
+    for how in ("inner", "left_semi", "left_anti"):
+        want = docs.join(ids, F.col("doc_id") == F.col("other"), how)
+        for bound in (0, 10_000):
+            assert sorted(map(str, common.with_ids(docs, "doc_id", ids, ids.count(), bound, how).collect())) == sorted(map(str, want.collect()))
+    assert common.with_ids(docs, "doc_id", ids.limit(0), 0, -1, "left_anti").count() == 3000
+
+
+def test_removal_shuffles_few_texts(spark):
+    """Beyond the bound of a broadcast, what stays is as below it, and texts that surely stay aren't shuffled."""
+    rng = random.Random(8)
+    texts = [prose(rng, 50) for _ in range(400)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts + [t + " end" for t in texts[:20]])]
+    docs = make(spark, rows)
+    kept = jaccard.keep_one_of_each(docs, broadcast_rows=0)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(400))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("Join LeftAnti") == 1  # only one side of the union is joined
+
+
 def test_jaccard_with_shared_digests(spark):
     rows = corpus()
     docs = make(spark, rows, "doc_id long, text string")
