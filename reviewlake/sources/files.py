@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.sources.records import read_csv
+from reviewlake.sources.records import counted_csv, read_csv
 
 # Fixed value: a layout output of at most this many bytes is empty.
 LEAST_LAYOUT_BYTES = 10
@@ -66,10 +66,11 @@ def load_completions(spark: SparkSession, glob: str) -> DataFrame:
 
 def labelled_csvs(spark: SparkSession, paths: dict[str, str], columns: list[str], split_bytes: int | None = None) -> DataFrame:
     """CSVs under labels with their columns, and a running row index over all of them in file order; no row is sorted or moved."""
-    parts = [(label, read_csv(spark, path, None, split_bytes)) for label, path in paths.items()]
-    counts = reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("n")).withColumn("place", F.lit(i)) for i, (_, rows) in enumerate(parts)])
-    sizes = {r.place: r.n for r in counts.collect()}  # one number a label
-    out = [rows.select(*columns, F.lit(label).alias("label"), (F.col("row_index") + sum(sizes[k] for k in range(i))).alias("row_index")) for i, (label, rows) in enumerate(parts)]
+    out, before = [], 0
+    for label, path in paths.items():
+        rows, n = counted_csv(spark, path, None, split_bytes)
+        out.append(rows.select(*columns, F.lit(label).alias("label"), (F.col("row_index") + before).alias("row_index")))
+        before += n.first()["n"]  # one number a label
     return reduce(DataFrame.unionByName, out)
 
 

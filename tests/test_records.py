@@ -59,3 +59,15 @@ def test_manifest_and_labels(spark, tmp_path):
     (tmp_path / "u.csv").write_text("id,year\nz,3\n")
     got = IO.labelled_csvs(spark, {"train": str(tmp_path / "t.csv"), "test": str(tmp_path / "u.csv")}, ["id", "year"]).collect()
     assert sorted(map(tuple, got), key=lambda r: r[3]) == [("x", "1", "train", 0), ("y", "2", "train", 1), ("z", "3", "test", 2)]
+
+
+def test_small_splits_share_tasks_and_passes(spark, tmp_path):
+    """Headers and counts come from the first pass, and a task reads many splits; so labelled CSVs take one more pass, of few tasks."""
+    with open(tmp_path / "t.csv", "w") as f:
+        f.write("\n" * 200 + '"i\nd",year\n' + "".join(f'"x\n{i}",{i}\n' for i in range(3000)))
+    (tmp_path / "u.csv").write_text('"i\nd",year')
+    paths = [str(tmp_path / "t.csv"), str(tmp_path / "u.csv")]
+    assert R.file_lines(spark, paths, 64).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # hundreds before
+    rows, n = R.counted_csv(spark, paths, None, 64)
+    assert rows.columns == ["i\nd", "year", "row_index"] and n.first()["n"] == 3000
+    assert sorted((r[2], r[0], r[1]) for r in rows.collect()) == [(i, f"x\n{i}", str(i)) for i in range(3000)]
